@@ -63,7 +63,7 @@ def _condition(selector: str) -> tuple[str | None, str]:
     name = m["tag"] or "[a-z][a-z0-9]*+"
     test = f"{name}{END}"
     if m["cls"]:
-        word = re.escape(m["cls"])
+        word = f"(?-i:{re.escape(m['cls'])})"
         test += (rf"""(?=[^>]*?\sclass\s*=\s*(?:"(?:[^">]*\s)?{word}(?:\s[^">]*)?"|"""
                  rf"""'(?:[^'>]*\s)?{word}(?:\s[^'>]*)?'|{word}(?=[\s/>])))""")
     if m["attr"]:
@@ -71,7 +71,7 @@ def _condition(selector: str) -> tuple[str | None, str]:
         if m["op"] is None:
             test += rf"(?=[^>]*?\s{attr}(?=[\s=/>]))"
         else:
-            v = re.escape(m["value"])
+            v = f"(?-i:{re.escape(m['value'])})"
             inner = v if m["op"] == "=" else None
             double = inner if inner is not None else f'[^">]*{v}[^">]*'
             single = inner if inner is not None else f"[^'>]*{v}[^'>]*"
@@ -111,7 +111,8 @@ def select_first(html: Column, selector: str) -> Column:
 
 
 def inner_html(element: Column) -> Column:
-    return F.regexp_replace(element, r"(?is)\A<[^>]*+>|</[a-z][a-z0-9]*\s*>\z", "")
+    """What follows the element's start tag; the end tag stays, it starts no element."""
+    return F.substr(element, F.instr(element, ">") + 1)
 
 
 def let(value: Column, body) -> Column:
@@ -130,10 +131,14 @@ def unescape(c: Column) -> Column:
         return F.when(real, F.replace(text, F.concat(F.lit("&#"), code, F.lit(";")), char)).otherwise(text)
 
     codes = F.lit("&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});")
-    out = let(c, lambda v: F.aggregate(F.array_distinct(F.regexp_extract_all(v, codes, F.lit(1))), v, one))
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+
+    def all_of(v: Column) -> Column:
+        out = F.aggregate(F.array_distinct(F.regexp_extract_all(v, codes, F.lit(1))), v, one)
+        for name, char in ENTITIES:
+            out = F.replace(out, F.lit(name), F.lit(char))
+        return F.when(v.contains("&"), out).otherwise(v)
+
+    return let(c, all_of)
 
 
 def text_of(fragment: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marquee.functions import fixed_values as fv
 from marquee.functions.html import clean_text_of, select_all, select_first, text_of
 from marquee.functions.text import (
-    ascii_digits, fill, first_token, join_names, lookup_query, missing_as_null, strip_text)
+    ascii_digits, clean_text, fill, first_token, join_names, lookup_query, missing_as_null, strip_text)
 
 
 # ---- parsing of a rating page (columns over its noise-free HTML)
@@ -53,6 +53,17 @@ def top_reviews(texts: Column, n: int = fv.REVIEWS_KEPT) -> Column:
     return F.slice(F.filter(texts, lambda t: t != ""), 1, n)
 
 
+def first_reviews(reviews: DataFrame, keys: list[str], order: str, text: str, n: int = fv.REVIEWS_KEPT) -> DataFrame:
+    """First n non-empty cleaned texts per key from a table of reviews, numbered from 1.
+
+    The window's limit is applied on every task before the shuffle, so a key with very many
+    reviews moves only n rows per task.
+    """
+    cleaned = reviews.withColumn(text, clean_text(F.col(text))).filter(F.col(text) != "")
+    place = Window.partitionBy(*keys).orderBy(order)
+    return cleaned.withColumn("n", F.row_number().over(place)).filter(F.col("n") <= n).select(*keys, "n", text)
+
+
 def subject_columns(html: Column, reviews: int = fv.REVIEWS_KEPT) -> list[Column]:
     score, votes = parse_rating(html)
     director, cast, genre = parse_people(html)

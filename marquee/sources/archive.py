@@ -55,10 +55,10 @@ def scan_archive(spark: SparkSession, path: str, layout: str = ISSUES) -> DataFr
 
 def read_archive(spark: SparkSession, path: str, wanted: DataFrame, layout: str = ISSUES) -> DataFrame:
     """Whole text of each wanted file_name; '' when there is no such report."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if layout == FILES:
         reader = reader.option("pathGlobFilter", fv.ARCHIVE_GLOB)
-    pieces = _names(reader.text(path).withColumn("path", F.col("_metadata.file_path")), layout)
+    pieces = _names(reader.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path")), layout)
     texts = (pieces.join(wanted.select("file_name").distinct(), "file_name", "left_semi")
              .groupBy("file_name")
              .agg(F.array_sort(F.collect_list(F.struct("path", "value"))).alias("p"))
