@@ -21,27 +21,27 @@ def rank_order(films: DataFrame) -> list[Column]:
     return [F.desc("rec_score"), F.col("first_seen.sched_ord").asc(), F.col("first_seen.pos").asc()]
 
 
-def rank_all(films: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Adds the overall rank without sorting everything in one task.
+def rank_all(films: DataFrame, block: int = BLOCK, keys: list[str] | None = None) -> DataFrame:
+    """Adds the rank over all films, or over those of each key, without one task sorting them all.
 
     A film's rank is the films in better scores, plus those in earlier blocks of the same
     score, plus its place in its block. Blocks are (score, source, range of positions), so even
     a score shared by a third of all films is numbered in bounded pieces. Counts are hash
-    aggregates; the running sum without a partition sees one row per distinct score, which two
-    decimals keep to some thousands.
+    aggregates; the running sum over scores sees one row per distinct score, which two decimals
+    keep to some thousands.
     """
+    keys = keys or []
     cell = films.withColumn("_s", F.col("first_seen.sched_ord")).withColumn(
         "_b", F.floor(F.col("first_seen.pos") / F.lit(block)))
-    blocks = cell.groupBy("rec_score", "_s", "_b").agg(F.count("*").alias("_n"))
-    within = Window.partitionBy("rec_score").orderBy("_s", "_b")
-    earlier = within.rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    scores = blocks.groupBy("rec_score").agg(F.sum("_n").alias("_t"))
-    better = Window.orderBy(F.desc("rec_score")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = cell.groupBy(*keys, "rec_score", "_s", "_b").agg(F.count("*").alias("_n"))
+    within = Window.partitionBy(*keys, "rec_score").orderBy("_s", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0)))
+    scores = blocks.groupBy(*keys, "rec_score").agg(F.sum("_n").alias("_t"))
+    better = Window.partitionBy(*keys).orderBy(F.desc("rec_score")).rowsBetween(Window.unboundedPreceding, -1)
     scores = scores.withColumn("_above", F.coalesce(F.sum("_t").over(better), F.lit(0))).drop("_t")
-    offsets = blocks.drop("_n").join(scores, "rec_score")
-    place = Window.partitionBy("rec_score", "_s", "_b").orderBy("first_seen.pos")
-    return (cell.join(offsets, ["rec_score", "_s", "_b"])
+    offsets = blocks.drop("_n").join(scores, [*keys, "rec_score"])
+    place = Window.partitionBy(*keys, "rec_score", "_s", "_b").orderBy("first_seen.pos")
+    return (cell.join(offsets, [*keys, "rec_score", "_s", "_b"])
             .withColumn("rank", F.col("_above") + F.col("_before") + F.row_number().over(place))
             .drop("_s", "_b", "_before", "_above"))
 
