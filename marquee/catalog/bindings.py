@@ -14,10 +14,15 @@ from pyspark.sql import functions as F
 AS_OF = "1998-12-15"
 WEEK = "1998-06-03"
 FIRST_MONDAY = "1994-12-12"
+_SCHEMAS: dict = {}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A driver table. Its schema is read once; later reads start no job for it."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def spread_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -160,12 +165,13 @@ ranked as (
 
 def issue_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(film records, showings, issues) of every weekly capture."""
-    shown = screenings(spark, sf)
-    issues = shown.select("issue_number", "week_start").distinct()
-    records = (shown.select("issue_number", "l_partkey").distinct()
+    captured = table(spark, sf, "lineitem").select("l_partkey", capture_week().alias("week_start")).distinct()
+    records = (captured.select(issue_number(F.col("week_start")).alias("issue_number"), "l_partkey")
                .join(films(spark, sf, "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
                .drop("l_partkey", "p_partkey"))
-    return records, shown.drop("week_start", "l_partkey"), issues
+    weeks = table(spark, sf, "lineitem").select(capture_week().alias("week_start")).distinct()
+    issues = weeks.select(issue_number(F.col("week_start")).alias("issue_number"), "week_start")
+    return records, screenings(spark, sf).drop("l_partkey"), issues
 
 
 # ---- pages made from orders: two film blocks in chain A's markup

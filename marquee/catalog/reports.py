@@ -17,7 +17,7 @@ from marquee.functions.text import display_title, short_title
 from marquee.operators.rank import top_n
 from marquee.operators.report import (
     ReportOptions, film_columns, issue_labels, issue_parts, section_text)
-from marquee.plans.weekly import generate_reports, raw_tables
+from marquee.plans.weekly import generate_reports, raw_tables, stage, stage_folder
 from marquee.plans.weekly import scored_films as issue_scored_films
 from marquee.operators.extract import extract_chain_a
 from marquee.operators.merge import film_stats, merge_titles, with_stats
@@ -125,7 +125,7 @@ PARTS_SQL = f"""{ISSUE_SQL},
 @query("issue_parts", f"with {PARTS_SQL} select issue_number, section, text from parts")
 def issue_parts_query(spark: SparkSession, sf: str) -> DataFrame:
     records, shown, issues = issue_tables(spark, sf)
-    scored = issue_scored_films(records, shown, issues)
+    scored = stage(issue_scored_films(records, shown, issues), "scored_films", stage_folder(spark))
     return issue_parts(issues, scored, OPTIONS).select("issue_number", "part_key.section", "text")
 
 
@@ -133,7 +133,7 @@ def issue_parts_query(spark: SparkSession, sf: str) -> DataFrame:
     select p.issue_number, i.week_start, concat(string_agg(text, chr(10) order by section, place), chr(10)) as markdown
     from parts p join issues i on i.issue_number = p.issue_number group by all""")
 def issue_document_query(spark: SparkSession, sf: str) -> DataFrame:
-    documents, _ = generate_reports(*issue_tables(spark, sf), OPTIONS)
+    documents, _ = generate_reports(*issue_tables(spark, sf), OPTIONS, stage_folder(spark))
     return documents
 
 

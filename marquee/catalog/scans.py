@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -158,8 +157,7 @@ def _archive(spark: SparkSession, sf: str) -> str:
     number = F.substring("source", 4, 9).cast("int") * 10 + lang
     parts = table(spark, sf, "documents").select(
         issue_filename(number, F.lit("2026-04-13").cast("date")).alias("file_name"), F.col("doc_id").alias("part_key"), "text")
-    folder = stage_folder(spark) or tempfile.mkdtemp(prefix="archive-")
-    path = f"{folder.rstrip('/')}/archive-{uuid.uuid4().hex}"
+    path = f"{stage_folder(spark) or tempfile.mkdtemp(prefix='archive-')}/archive"
     write_issues(parts, path)
     return path
 

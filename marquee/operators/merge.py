@@ -41,32 +41,38 @@ def merge_titles(films: DataFrame, scope: list[str] | None = None) -> DataFrame:
 
 
 def screening_counts(screenings: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """Showings per title key; nothing is deduplicated."""
-    return with_title_key(screenings).groupBy(*(scope or []), "title_key").agg(
-        F.count("*").alias("screening_count"))
+    """Showings per title key; nothing is deduplicated.
+
+    Counted per written title first, so that the key is computed once per title, not per showing.
+    """
+    scope = scope or []
+    per_title = screenings.groupBy(*scope, "title_jp").agg(F.count("*").alias("n"))
+    return with_title_key(per_title).groupBy(*scope, "title_key").agg(F.sum("n").alias("screening_count"))
 
 
-def film_stats(screenings: DataFrame, scope: list[str] | None = None,
-               week_start: Column | None = None) -> DataFrame:
+def film_stats(screenings: DataFrame, scope: list[str] | None = None, week_start: Column | None = None,
+               showings: Column | None = None) -> DataFrame:
     """Per film: showing count, theatre list, known dates, showings this and next week.
 
-    Two levels: (film, theatre) first, which spreads a hot film over many tasks, then film. The
-    list collected last holds distinct theatre names only.
+    Two levels: (written title, theatre) first, which spreads a hot film over many tasks and
+    leaves few titles to normalise, then film. What is collected last are distinct theatre names.
+    ``showings`` is the number of showings a row stands for, 1 if not given.
     """
     scope = scope or []
-    keyed = with_title_key(screenings)
-    if week_start is not None:
-        keyed = keyed.withColumn("_w", F.datediff("show_date", week_start))
-    else:
-        keyed = keyed.withColumn("_w", F.lit(None).cast("int"))
-    per_theater = keyed.groupBy(*scope, "title_key", "theater_name").agg(
-        F.count("*").alias("n"), F.count("show_date").alias("dated"),
-        F.count_if(F.col("_w").between(0, 6)).alias("this_week"),
-        F.count_if(F.col("_w").between(7, 13)).alias("next_week"))
-    return (per_theater.groupBy(*scope, "title_key").agg(
+    n = F.lit(1).cast("long") if showings is None else showings
+    day = F.lit(None).cast("int") if week_start is None else F.datediff("show_date", week_start)
+    rows = screenings.select(*scope, "title_jp", "theater_name", "show_date", n.alias("n"), day.alias("day"))
+
+    def counted(condition: Column) -> Column:
+        return F.sum(F.when(condition, F.col("n")).otherwise(0))
+
+    per_theater = rows.groupBy(*scope, "title_jp", "theater_name").agg(
+        F.sum("n").alias("n"), counted(F.col("show_date").isNotNull()).alias("dated"),
+        counted(F.col("day").between(0, 6)).alias("this_week"), counted(F.col("day").between(7, 13)).alias("next_week"))
+    return (with_title_key(per_theater).groupBy(*scope, "title_key").agg(
         F.sum("n").alias("screening_count"), F.sum("dated").alias("dated"),
         F.sum("this_week").alias("this_week"), F.sum("next_week").alias("next_week"),
-        F.array_sort(F.collect_list("theater_name")).alias("theater_names"))
+        F.array_sort(F.collect_set("theater_name")).alias("theater_names"))
         .withColumn("theaters", F.array_join("theater_names", fv.THEATER_SEPARATOR)))
 
 
@@ -77,10 +83,10 @@ def with_stats(films: DataFrame, stats: DataFrame, scope: list[str] | None = Non
     """Merged films with their statistics; films without showings get zeros and no theatres."""
     own = [c for c in films.columns if c in (*STATS, "theater_names", "theaters")]
     joined = films.drop(*own).join(stats, [*(scope or []), "title_key"], "left")
-    for c in STATS:
-        joined = joined.withColumn(c, F.coalesce(c, F.lit(0)))
-    return (joined.withColumn("theater_names", F.coalesce("theater_names", F.expr("cast(array() as array<string>)")))
-            .withColumn("theaters", F.coalesce("theaters", F.lit(""))))
+    none = F.expr("cast(array() as array<string>)")
+    return joined.withColumns({
+        **{c: F.coalesce(c, F.lit(0)) for c in STATS},
+        "theater_names": F.coalesce("theater_names", none), "theaters": F.coalesce("theaters", F.lit(""))})
 
 
 def theater_list(screenings: DataFrame, keys: list[str]) -> DataFrame:

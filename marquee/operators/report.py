@@ -80,50 +80,46 @@ def issue_labels(issues: DataFrame, options: ReportOptions) -> DataFrame:
                                              F.col("start_label"), F.col("end_label"))))
 
 
-def _fixed_part(issues: DataFrame, section: int, text: Column) -> DataFrame:
-    return issues.select("issue_number", part_key(section).alias("part_key"), text.alias("text"))
-
-
-def issue_parts(issues: DataFrame, films: DataFrame, options: ReportOptions | None = None) -> DataFrame:
-    """All parts of all issues; films carry issue_number, rank columns and week statistics.
-
-    Joined with newlines in part_key order, an issue's parts are its document. An issue without
-    films still has its fixed parts.
-    """
-    o = options or ReportOptions()
-    now = this_week(films)
+def fixed_parts(issues: DataFrame, films: DataFrame, o: ReportOptions) -> DataFrame:
+    """Head, section headings and footer of every issue, from one row per issue."""
     labels = issue_labels(issues, o)
-    # one row per issue: which optional pieces it needs
     filled = films.groupBy("issue_number").agg(
-        F.count("*").alias("ranked"),
-        F.count_if(is_this_week()).alias("now"),
-        F.count_if(is_next_week()).alias("coming"))
+        F.count("*").alias("ranked"), F.count_if(is_this_week()).alias("now"), F.count_if(is_next_week()).alias("coming"))
     head = labels.join(filled, "issue_number", "left").fillna(0, ["ranked", "now", "coming"])
     c = {n: F.col(n) for n in head.columns}
 
     def blank_line_if_empty(count: Column) -> Column:
         return F.when(count == 0, F.lit("\n")).otherwise(F.lit(""))
 
-    pieces = [
-        _fixed_part(head, 1, fill(fv.ISSUE_HEAD, title=c["title"], subtitle=F.lit(o.subtitle),
-                                  week_start=c["start_label"], week_end=c["end_label"])),
-        film_parts(now, 2, o.reviews_to_show),
-        _fixed_part(head, 3, F.concat(
-            blank_line_if_empty(c["now"]), fill(fv.RANKING_HEAD, top_n=F.lit(o.top_n)),
-            F.lit("\n" + fv.RANKING_HEADER), blank_line_if_empty(c["ranked"]))),
-        ranking_parts(films, 4, o.top_n),
+    texts = [
+        (1, fill(fv.ISSUE_HEAD, title=c["title"], subtitle=F.lit(o.subtitle), week_start=c["start_label"],
+                 week_end=c["end_label"])),
+        (3, F.concat(blank_line_if_empty(c["now"]), fill(fv.RANKING_HEAD, top_n=F.lit(o.top_n)),
+                     F.lit("\n" + fv.RANKING_HEADER), blank_line_if_empty(c["ranked"]))),
+        (7, F.lit(fv.FOOTER_RULE + "\n" + o.footer)),
     ]
+    if o.include_next_week:
+        heading = fill(fv.NEXT_WEEK_HEAD, next_start=c["next_start_label"], next_end=c["next_end_label"])
+        texts.append((5, F.when(c["coming"] > 0, heading)))
+    parts = F.array(*[F.struct(part_key(section).alias("part_key"), text.alias("text")) for section, text in texts])
+    return head.select("issue_number", F.explode(parts).alias("p")).select("issue_number", "p.*").filter(
+        F.col("text").isNotNull())
+
+
+def issue_parts(issues: DataFrame, films: DataFrame, options: ReportOptions | None = None) -> DataFrame:
+    """All parts of all issues; films carry issue_number, rank columns and week statistics.
+
+    Joined with newlines in part_key order, an issue's parts are its document. An issue without
+    films still has its fixed parts. ``films`` is read once per section: stage it first.
+    """
+    o = options or ReportOptions()
+    parts = (fixed_parts(issues, films, o)
+             .unionByName(film_parts(this_week(films), 2, o.reviews_to_show))
+             .unionByName(ranking_parts(films, 4, o.top_n)))
     if o.include_next_week:
         coming = next_week_preview(films, ["issue_number"], fv.NEXT_WEEK_SHOWN)
-        pieces.append(_fixed_part(
-            head.filter("coming > 0"), 5,
-            fill(fv.NEXT_WEEK_HEAD, next_start=c["next_start_label"], next_end=c["next_end_label"])))
-        pieces.append(film_parts(coming, 6, fv.NEXT_WEEK_REVIEWS))
-    pieces.append(_fixed_part(head, 7, F.lit(fv.FOOTER_RULE + "\n" + o.footer)))
-    out = pieces[0]
-    for piece in pieces[1:]:
-        out = out.unionByName(piece)
-    return out
+        parts = parts.unionByName(film_parts(coming, 6, fv.NEXT_WEEK_REVIEWS))
+    return parts
 
 
 def section_text(parts: DataFrame, keys: list[str], order: str, text: str = "text",

@@ -5,17 +5,19 @@ Film and showing tables carry ``issue_number``: one issue is one capture of all
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.functions import fixed_values as fv
+from marquee.functions.dates import week_start
 from marquee.operators.enrich import best_match, enrich
 from marquee.operators.extract import (
     extract_chain_a, extract_chain_b, extract_independent, page_movies, page_screenings, union_sources)
 from marquee.operators.merge import film_stats, merge_titles, with_stats
 from marquee.operators.rank import with_score
 from marquee.operators.report import ReportOptions, issue_document, issue_parts
-from marquee.functions.dates import week_start
 
 SCOPE = ["issue_number"]
 # Film columns no page carries; '' and 0 mean missing.
@@ -37,8 +39,9 @@ def stage(df: DataFrame, name: str, folder: str | None) -> DataFrame:
 
 
 def stage_folder(spark: SparkSession) -> str | None:
-    """The cluster's shared folder for cut lineage, if the session names one."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """A new folder for one run below the cluster's shared checkpoint folder, if the session names one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}" if shared else None
 
 
 def extract_all(pages: DataFrame, as_of, profiles: dict | None = None, generic: dict | None = None) -> DataFrame:
@@ -64,20 +67,31 @@ def rate(films: DataFrame, candidates: DataFrame, subjects: DataFrame) -> DataFr
     return enrich(keyed, best_match(titles, candidates, "lookup"), subjects, "lookup").drop("lookup")
 
 
+def weekly_stats(screenings: DataFrame, issues: DataFrame) -> DataFrame:
+    """Statistics of every issue's films relative to the issue's week.
+
+    Showings that carry week_start need no join. Others are counted per day first: the join with
+    the issues then moves one row per title, theatre and day.
+    """
+    if "week_start" in screenings.columns:
+        return film_stats(screenings, SCOPE, week_start(F.col("week_start")))
+    per_day = screenings.groupBy(*SCOPE, "title_jp", "theater_name", "show_date").agg(F.count("*").alias("showings"))
+    dated = per_day.join(issues.select("issue_number", "week_start"), "issue_number")
+    return film_stats(dated, SCOPE, week_start(F.col("week_start")), F.col("showings"))
+
+
 def scored_films(films: DataFrame, screenings: DataFrame, issues: DataFrame,
                  weights: dict[str, float] | None = None) -> DataFrame:
     """Merged, counted and scored films of every issue, with week statistics."""
     merged = films if "title_key" in films.columns else merge_titles(films, SCOPE)
-    dated = screenings.join(issues.select("issue_number", "week_start"), "issue_number")
-    stats = film_stats(dated, SCOPE, week_start(F.col("week_start")))
-    return with_score(with_stats(merged, stats, SCOPE), weights)
+    return with_score(with_stats(merged, weekly_stats(screenings, issues), SCOPE), weights)
 
 
 def generate_reports(films: DataFrame, screenings: DataFrame, issues: DataFrame,
-                     options: ReportOptions | None = None) -> tuple[DataFrame, DataFrame]:
+                     options: ReportOptions | None = None, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, ranked films) of every issue."""
     o = options or ReportOptions()
-    scored = scored_films(films, screenings, issues, o.weights)
+    scored = stage(scored_films(films, screenings, issues, o.weights), "scored_films", folder)
     return issue_document(issues, scored, o), scored
 
 
