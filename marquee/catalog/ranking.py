@@ -18,6 +18,7 @@ from marquee.operators.merge import first_value, merge_titles, screening_counts,
 from marquee.operators.rank import rank_all, top_n, top_n_per_group, top_summary
 from marquee.operators.weeks import in_week, next_week, next_week_preview, this_week
 from marquee.plans.weekly import scored_films as issue_scored_films
+from marquee.plans.weekly import stage, stage_folder
 
 
 @query("normalize_title", r"""
@@ -88,7 +89,8 @@ def rec_score_weights(spark: SparkSession, sf: str) -> DataFrame:
 @query("rank_all", f"""with {MERGED_SQL}
     select title_key, rec_score, row_number() over (order by rec_score desc, ord) as rank from scored""")
 def rank_all_query(spark: SparkSession, sf: str) -> DataFrame:
-    return rank_all(scored_films(spark, sf)).select("title_key", "rec_score", F.col("rank").cast("long").alias("rank"))
+    scored = scored_films(spark, sf).select("title_key", "rec_score", "first_seen")
+    return rank_all(stage(scored, "scored", stage_folder(spark))).select("title_key", "rec_score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("top_n", f"""with {MERGED_SQL}, r as (select *, row_number() over (order by rec_score desc, ord) as rank from scored)
@@ -176,6 +178,6 @@ def theater_list_query(spark: SparkSession, sf: str) -> DataFrame:
 @query("rank_within_issues", f"""with {ISSUE_SQL} select issue_number, title_key, rec_score, rank from ranked""")
 def rank_within_issues(spark: SparkSession, sf: str) -> DataFrame:
     """Every film of every issue with its place; an issue's films are one merged row per title."""
-    scored = issue_scored_films(*issue_tables(spark, sf))
-    return rank_all(scored, keys=["issue_number"]).select(
+    scored = issue_scored_films(*issue_tables(spark, sf)).select("issue_number", "title_key", "rec_score", "first_seen")
+    return rank_all(stage(scored, "scored", stage_folder(spark)), keys=["issue_number"]).select(
         "issue_number", "title_key", "rec_score", F.col("rank").cast("long").alias("rank"))

@@ -196,7 +196,8 @@ def draft_payload_query(spark: SparkSession, sf: str) -> DataFrame:
 def pages_to_films(spark: SparkSession, sf: str) -> DataFrame:
     """Pages to extracted, merged, counted and scored films in one plan."""
     pages = order_pages(spark, sf).withColumn("issue_number", F.lit(1))
-    raw, shown = raw_tables(extract_chain_a(pages.drop("page_id"), AS_OF))
+    page_films = stage(extract_chain_a(pages.drop("page_id"), AS_OF), "page_films", stage_folder(spark))
+    raw, shown = raw_tables(page_films)
     merged = merge_titles(raw.drop("screening_count"), ["issue_number"])
     scored = with_score(with_stats(merged, film_stats(shown, ["issue_number"]), ["issue_number"]))
     return scored.select(

@@ -30,8 +30,8 @@ def parse_month_day(c: Column, as_of, year: Column | None = None) -> Column:
     month = F.regexp_extract(text, MONTH_DAY, 1).try_cast("int")
     rolls_over = (F.month(today) == 12) & (month == 1)
     full_year = base_year + F.when(rolls_over, 1).otherwise(0)
-    return F.try_to_date(
-        F.concat(full_year.cast("string"), F.lit("-"), F.regexp_extract(text, MONTH_DAY, 0)), "yyyy-M/d")
+    month_day = F.replace(F.regexp_extract(text, MONTH_DAY, 0), F.lit("/"), F.lit("-"))
+    return F.concat(full_year.cast("string"), F.lit("-"), month_day).try_cast("date")
 
 
 def is_recent(show_date: Column, as_of, days: int = 7) -> Column:

@@ -22,7 +22,7 @@ from marquee.functions.fixed_values import ENTITIES
 from marquee.functions.text import clean_text
 
 DEPTH = 12
-NOISE = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+NOISE = r"(?is)<(?:script\b.*?</script\s*>|style\b.*?</style\s*>|!--.*?-->)"
 TAG = r"</?[a-zA-Z!][^>]*+>"
 END = r"(?=[\s/>])"
 VOID = "area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr"
@@ -39,7 +39,7 @@ IMPLIED_END = {
 }
 SELECTOR = re.compile(
     r"""(?P<tag>[a-z][a-z0-9]*)?(?:\.(?P<cls>[\w-]+))?"""
-    r"""(?:\[(?P<attr>[\w:-]+)(?:(?P<op>\*?=)['"]?(?P<value>[^'"\]]*)['"]?)?\])?""")
+    r"""(?:\[(?P<attr>[\w:-]+)(?:(?P<op>[*~]?=)['"]?(?P<value>[^'"\]]*)['"]?)?\])?""")
 
 
 def _balanced(name: str, depth: int) -> str:
@@ -56,39 +56,54 @@ def _implied(tag: str) -> str:
     return rf"{tag}{END}[^>]*+>(?:[^<]++|{nested}<(?!(?:{stop}){END}))*+(?:</{tag}\s*+>)?"
 
 
-def _condition(selector: str) -> tuple[str | None, str]:
+def _attribute_test(attr: str, op: str | None, value: str) -> str:
+    """Lookahead from inside a start tag for an attribute and its value."""
+    name = re.escape(attr)
+    if op is None:
+        return rf"(?=[^>]*?\s{name}(?=[\s=/>]))"
+    v = f"(?-i:{value})"
+    around = {"=": ("", "", ""), "*=": ('[^">]*', "[^'>]*", r"[^\s'\">]*"), "~=": (None, None, "")}[op]
+    quoted = [f"(?:[^{q}>]*\\s)?{v}(?:\\s[^{q}>]*)?" if pad is None else f"{pad}{v}{pad}"
+              for q, pad in zip("\"'", around)]
+    bare = f"{around[2]}{v}{around[2]}"
+    return rf"""(?=[^>]*?\s{name}\s*=\s*(?:"{quoted[0]}"|'{quoted[1]}'|{bare}(?=[\s>])))"""
+
+
+def _parse(selector: str) -> dict:
     m = SELECTOR.fullmatch(selector)
     if not m or not selector:
         raise ValueError(f"selector not supported: {selector!r}")
-    name = m["tag"] or "[a-z][a-z0-9]*+"
-    test = f"{name}{END}"
-    if m["cls"]:
-        word = f"(?-i:{re.escape(m['cls'])})"
-        test += (rf"""(?=[^>]*?\sclass\s*=\s*(?:"(?:[^">]*\s)?{word}(?:\s[^">]*)?"|"""
-                 rf"""'(?:[^'>]*\s)?{word}(?:\s[^'>]*)?'|{word}(?=[\s/>])))""")
-    if m["attr"]:
-        attr = re.escape(m["attr"])
-        if m["op"] is None:
-            test += rf"(?=[^>]*?\s{attr}(?=[\s=/>]))"
-        else:
-            v = f"(?-i:{re.escape(m['value'])})"
-            inner = v if m["op"] == "=" else None
-            double = inner if inner is not None else f'[^">]*{v}[^">]*'
-            single = inner if inner is not None else f"[^'>]*{v}[^'>]*"
-            bare = inner if inner is not None else rf"[^\s'\">]*{v}[^\s'\">]*"
-            test += rf"""(?=[^>]*?\s{attr}\s*=\s*(?:"{double}"|'{single}'|{bare}(?=[\s>])))"""
-    return m["tag"], test
+    return m.groupdict()
+
+
+def _tests(parts: list[dict]) -> list[str]:
+    """What may follow '<'. Parts that differ only in tag, or only in class, share one test."""
+    plain = [p["tag"] for p in parts if not p["cls"] and not p["attr"]]
+    tests = [f"(?:{'|'.join(plain)}){END}"] if plain else []
+    classes: dict[str, list[str]] = {}
+    for p in parts:
+        name = p["tag"] or "[a-z][a-z0-9]*+"
+        if p["attr"]:
+            tests.append(f"{name}{END}" + _attribute_test(p["attr"], p["op"], re.escape(p["value"] or "")))
+        elif p["cls"]:
+            classes.setdefault(name, []).append(re.escape(p["cls"]))
+    for name, words in classes.items():
+        tests.append(f"{name}{END}" + _attribute_test("class", "~=", f"(?:{'|'.join(words)})"))
+    return tests
 
 
 @lru_cache(maxsize=None)
 def element_pattern(selector: str) -> str:
     """Java regex whose group 1 is a matching element; it consumes only the opening '<'."""
-    tags, tests = zip(*(_condition(s.strip()) for s in selector.split(",")))
-    shapes = [_implied(t) for t in IMPLIED_END if t in tags or None in tags]
-    if None in tags or any(re.fullmatch(VOID, t) for t in tags):
+    parts = [_parse(s.strip()) for s in selector.split(",")]
+    tags = {p["tag"] for p in parts}
+    known = None not in tags
+    shapes = [_implied(t) for t in IMPLIED_END if t in tags or not known]
+    if not known or any(re.fullmatch(VOID, t) for t in tags):
         shapes.append(rf"(?:{VOID}){END}[^>]*+>")
-    shapes.append(rf"([a-z][a-z0-9]*+){END}[^>]*+>{_balanced(chr(92) + '2', DEPTH)}(?:</\2\s*+>|\z)")
-    return rf"(?is)(?=(<(?={'|'.join(tests)})(?:{'|'.join(shapes)})))<"
+    if not known or any(t not in IMPLIED_END and not re.fullmatch(VOID, t) for t in tags):
+        shapes.append(rf"([a-z][a-z0-9]*+){END}[^>]*+>{_balanced(chr(92) + '2', DEPTH)}(?:</\2\s*+>|\z)")
+    return rf"(?is)(?=<(?:{'|'.join(_tests(parts))}))(?=(<(?:{'|'.join(shapes)})))<"
 
 
 def strip_noise(html: Column) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from marquee.functions.fixed_values import PLACEHOLDERS
 
-# Unicode white space as one run; the four ASCII separators are not in Java's class on every JDK.
+# Unicode white space and the four ASCII separators as one run. Measured faster than the same
+# set spelled out, and than patterns that skip single blanks.
 WS = r"(?U)[\s\x1c-\x1f]+"
 TIME = r"(?U)\d{1,2}:\d{2}"
 FULL_WIDTH_DIGITS = "０１２３４５６７８９"

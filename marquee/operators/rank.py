@@ -28,7 +28,7 @@ def rank_all(films: DataFrame, block: int = BLOCK, keys: list[str] | None = None
     score, plus its place in its block. Blocks are (score, source, range of positions), so even
     a score shared by a third of all films is numbered in bounded pieces. Counts are hash
     aggregates; the running sum over scores sees one row per distinct score, which two decimals
-    keep to some thousands.
+    keep to some thousands. ``films`` is read twice: stage it first when it is costly.
     """
     keys = keys or []
     cell = films.withColumn("_s", F.col("first_seen.sched_ord")).withColumn(
