@@ -147,7 +147,7 @@ ARTICLE_STYLE = (
 
 # --- Fixed values: HTML entities that are unescaped by name; "&amp;" comes last.
 ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "),
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\xa0"),
     ("&copy;", "©"), ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"),
     ("&times;", "×"), ("&amp;", "&"),
 )
