@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.catalog.bindings import FILMS_SQL, KEY_SQL, ORDER_SQL, WS_SQL, films, table
+from marquee.catalog.bindings import FILMS_SQL, KEY_SQL, ORDER_SQL, WS_SQL, films, spread_table, table
 from marquee.catalog.registry import query
 from marquee.functions.text import first_token, lookup_query
 from marquee.operators.enrich import (
@@ -160,7 +160,7 @@ def local_title_query(spark: SparkSession, sf: str) -> DataFrame:
 @query("first_token", f"""
     select doc_id, nullif(string_split(trim(regexp_replace(text, '{WS_SQL}', ' ', 'g')), ' ')[1], '') as word from documents""")
 def first_token_query(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", first_token(F.col("text")).alias("word"))
+    return spread_table(spark, sf, "documents").select("doc_id", first_token(F.col("text")).alias("word"))
 
 
 @query("top_reviews", f"""

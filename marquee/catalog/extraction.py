@@ -12,14 +12,14 @@ from marquee.functions.dates import parse_month_day
 from marquee.functions.html import absolute_link, attribute, clean_text_of, strip_noise
 from marquee.functions.text import clean_text, parse_time_lenient, parse_time_strict
 from marquee.operators.extract import (
-    anchor_titles, block_titles, drop_placeholders, explode_blocks, extract_chain_a, extract_independent,
+    anchor_titles, block_titles, drop_placeholders, explode_blocks, extract_chain_a, extract_chain_b, extract_independent,
     filter_dates, generic_titles, page_movies, page_screenings, row_cells, selector_profile, theater_coverage,
     union_sources)
 
 
 @query("clean_text", f"select doc_id, trim(regexp_replace(text, '{WS_SQL}', ' ', 'g')) as text from documents")
 def clean_text_query(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", clean_text(F.col("text")).alias("text"))
+    return spread_table(spark, sf, "documents").select("doc_id", clean_text(F.col("text")).alias("text"))
 
 
 @query("page_blocks", f"""with {CLEAN_PAGES_SQL},
@@ -174,6 +174,35 @@ def independent_pages(spark: SparkSession, sf: str) -> DataFrame:
     return page_movies(extract_independent(pages, AS_OF, profiles={}, generic=own), ["page_id"])
 
 
+@query("chain_b_pages", """
+    select p_partkey as page_id, 0 as pos, p_name as title_jp,
+           case when p_size % 2 = 0 then concat('https://b.example/', p_partkey, '.png') else '' end as poster_url,
+           p_type not in ('PROMO', 'LARGE') as is_new_release,
+           case p_type when 'PROMO' then 0 when 'LARGE' then 0 when 'SMALL' then 3 else 2 end::bigint as screening_count
+    from part where p_type <> 'LARGE' and p_type <> 'PROMO'
+    union all
+    select p_partkey, 0, p_brand, '', false, 0 from part where p_type = 'PROMO'
+    union all
+    select p_partkey, 1, concat(p_name, '!'), '', false, 0 from part where p_type = 'PROMO'""")
+def chain_b_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """A page per part in chain B's markup: films with times, films without, or only links."""
+    kind = F.col("p_type")
+    image = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("<img src='/"), F.col("p_partkey").cast("string"), F.lit(".png'>"))).otherwise("")
+    extra = F.when(kind == "SMALL", F.lit("<div class='movie-block'><h3>%</h3><span class='time'>9:00</span></div>")).otherwise("")
+    block = F.concat(
+        F.lit("<div class=programBox><div><h2> "), F.col("p_name"), F.lit("</h2>"), image,
+        F.lit("</div><span class='showtime'>13:20～</span><time>売切</time><time> </time></div>"))
+    links = F.concat(
+        F.lit("<div class=programBox><h2>no times</h2></div><a href='/film/1'>"), F.col("p_brand"),
+        F.lit("</a><a href='/movie/2'> "), F.col("p_name"), F.lit("!</a><a href='/film/3'>x</a><a href='/movie/2'>"), F.col("p_brand"),
+        F.lit("</a><a href='/about'>about</a>"))
+    html = F.when(kind == "PROMO", links).when(kind == "LARGE", F.lit("<p>closed</p>")).otherwise(
+        F.concat(block, F.replace(extra, F.lit("%"), F.col("p_name"))))
+    pages = spread_table(spark, sf, "part").select(
+        F.col("p_partkey").alias("page_id"), F.lit("https://b.example").alias("base_url"), html.alias("html"))
+    return page_movies(extract_chain_b(pages, AS_OF), ["page_id"])
+
+
 ANCHOR_SQL = f"""{CLEAN_PAGES_SQL},
     anchors as (select page_id, unnest(regexp_extract_all(html, '(?s)<a href="[^"]*e[^"]*">(.*?)</a>', 1)) as a,
                        unnest(range(0, len(regexp_extract_all(html, '(?s)<a href="[^"]*e[^"]*">(.*?)</a>', 1)))) as i from clean_pages),

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.catalog.bindings import (
-    FILMS_SQL, ISSUE_SQL, KEY_SQL, MERGED_SQL, ORDER_SQL, SCREENINGS_SQL, films, issue_tables, screenings, table)
+    FILMS_SQL, ISSUE_SQL, KEY_SQL, MERGED_SQL, ORDER_SQL, SCREENINGS_SQL, films, issue_tables, screenings, spread_table,
+    table)
 from marquee.catalog.flagship import top_films
 from marquee.catalog.registry import query
 from marquee.catalog.scans import scored_films
@@ -26,7 +27,7 @@ from marquee.plans.weekly import stage, stage_folder
         '[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', '', 'g')) as title_key
     from documents""")
 def normalize_title_query(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", normalize_title(F.col("text")).alias("title_key"))
+    return spread_table(spark, sf, "documents").select("doc_id", normalize_title(F.col("text")).alias("title_key"))
 
 
 @query("merge_titles", f"""with {FILMS_SQL}, keyed as (select *, {KEY_SQL} as title_key, {ORDER_SQL} as ord from films),

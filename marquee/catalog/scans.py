@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,7 +155,7 @@ def _archive(spark: SparkSession, sf: str) -> str:
     number = F.substring("source", 4, 9).cast("int") * 10 + lang
     parts = table(spark, sf, "documents").select(
         issue_filename(number, F.lit("2026-04-13").cast("date")).alias("file_name"), F.col("doc_id").alias("part_key"), "text")
-    path = f"{stage_folder(spark) or tempfile.mkdtemp(prefix='archive-')}/archive"
+    path = f"{stage_folder(spark)}/archive"
     write_issues(parts, path)
     return path
 

@@ -5,6 +5,7 @@ Film and showing tables carry ``issue_number``: one issue is one capture of all
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,10 +39,17 @@ def stage(df: DataFrame, name: str, folder: str | None) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def stage_folder(spark: SparkSession) -> str | None:
-    """A new folder for one run below the cluster's shared checkpoint folder, if the session names one."""
+def stage_folder(spark: SparkSession) -> str:
+    """A new folder for one run below the shared folder the session names in spark.checkpoint.dir.
+
+    Only a local session may go without that setting; it then gets a temporary folder.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}" if shared else None
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="stage-")
+    return f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}"
 
 
 def extract_all(pages: DataFrame, as_of, profiles: dict | None = None, generic: dict | None = None) -> DataFrame:
