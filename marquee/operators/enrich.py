@@ -99,10 +99,15 @@ def lookup_attempts(films: DataFrame, key: str) -> DataFrame:
 
 
 def two_stage_lookup(films: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
-    """Candidates of the first attempt that has any, per film."""
-    hits = lookup_attempts(films, key).join(candidates, "query")
-    best_attempt = hits.groupBy(key).agg(F.min("attempt").alias("attempt"))
-    return hits.join(best_attempt, [key, "attempt"], "left_semi")
+    """Candidates of the first attempt that has any, per film.
+
+    Which attempts have any is decided on the distinct queries, so the candidates themselves are
+    joined once.
+    """
+    asked = candidates.select("query").distinct()
+    answered = lookup_attempts(films, key).join(asked, "query", "left_semi")
+    first = answered.groupBy(key).agg(F.min_by(F.struct("film_year", "attempt", "query"), "attempt").alias("a"))
+    return first.select(key, "a.*").join(candidates, "query")
 
 
 def best_match(films: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
