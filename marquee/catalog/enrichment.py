@@ -227,9 +227,9 @@ def enrich_query(spark: SparkSession, sf: str) -> DataFrame:
                   case when m.year = 0 or contains(c.year::varchar, m.year::varchar) then 0 else 1 end, c.p_partkey) as n
               from merged m join candidates c on c.query = m.title_jp)
     select m.title_key, m.title_jp, coalesce(t.p_partkey::varchar, '') as rating_id,
-           case when t.p_partkey % 2 = 0 then concat('dir', t.p_partkey) else m.director end as director,
-           case when t.p_partkey % 2 = 0 then t.p_partkey * 10 else m.votes end as votes,
-           case when t.p_partkey % 2 = 0 and t.p_partkey % 20 <> 0 then (t.p_partkey % 20) / 2.0::double else t.score end as score
+           case when t.genre in ('PROMO', 'SMALL', 'ECONOMY') then concat('dir', t.p_partkey) else m.director end as director,
+           case when t.genre in ('PROMO', 'SMALL', 'ECONOMY') then t.p_partkey * 10 else m.votes end as votes,
+           case when t.genre in ('PROMO', 'SMALL', 'ECONOMY') and t.p_partkey % 20 <> 0 then (t.p_partkey % 20) / 2.0::double else t.score end as score
     from merged m left join tried t on t.title_key = m.title_key and t.n = 1""")
 def enrich_all_query(spark: SparkSession, sf: str) -> DataFrame:
     """Film records merged first, then each looked up once among the records of its own title."""
@@ -239,7 +239,7 @@ def enrich_all_query(spark: SparkSession, sf: str) -> DataFrame:
         F.col("title_jp").alias("query"), "pos", F.col("pos").cast("string").alias("id"),
         F.when(F.col("genre").isin("PROMO", "LARGE"), "movie").otherwise("tv").alias("type"),
         F.col("year").cast("string").alias("year"), F.lit(True).alias("has_rating"), F.col("score").cast("string").alias("rating"))
-    subjects = table(spark, sf, "part").filter("p_partkey % 2 = 0").select(
+    subjects = table(spark, sf, "part").filter("p_type in ('PROMO', 'SMALL', 'ECONOMY')").select(
         F.col("p_partkey").cast("string").alias("id"), F.lit("").alias("title_cn"),
         F.concat(F.lit("dir"), F.col("p_partkey").cast("string")).alias("director"), F.lit("").alias("cast"), F.lit("").alias("genre"),
         F.lit(0).alias("year"), F.lit(0).alias("duration"), ((F.col("p_partkey") % 20) / 2).alias("score"),

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from marquee.functions.fixed_values import ENTITIES
 from marquee.functions.text import clean_text
 
-DEPTH = 12
+DEPTH = 24
 NOISE = r"(?is)<(?:script\b.*?</script\s*>|style\b.*?</style\s*>|!--.*?-->)"
 TAG = r"</?[a-zA-Z!][^>]*+>"
 END = r"(?=[\s/>])"

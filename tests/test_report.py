@@ -5,11 +5,13 @@ from pyspark.sql import functions as F
 
 from marquee.functions import report_text as RT
 from marquee.operators.merge import merge_titles
-from marquee.operators.report import ReportOptions, film_columns, issue_document, issue_parts
+from marquee.operators.report import ReportOptions, film_columns, issue_document, issue_parts, named_parts
 from marquee.plans.weekly import generate_reports, rate, scored_films, weekly_job
+from marquee.sources.archive import next_issue, read_archive, scan_archive, write_issues
 from marquee.sources.candidates import scan_candidates
 from marquee.sources.export import EXPORT_COLUMNS, export_json, export_rows
-from marquee.sources.pages import scan_subjects
+from marquee.sources.pages import scan_pages, scan_subjects
+from marquee.sources.theaters import theater_dim
 
 OPTIONS = ReportOptions(title_template="第{issue_number}期 {week_start} ~ {week_end}", subtitle="副标题", footer="## end", top_n=2)
 
@@ -188,3 +190,25 @@ def test_same_title_in_two_issues_is_rated_in_both(spark):
     rated = rate(merge_titles(both, ["issue_number"]), candidates, subjects)
     assert rated.count() == 14
     assert [(r.issue_number, r.score) for r in rated.filter("rating_id = '9'").orderBy("issue_number").collect()] == [(1, 6.0), (2, 6.0)]
+
+
+def test_config_to_archive(spark, tmp_path):
+    """Theatre list, captured pages, job, archive, and the archive read back."""
+    config = {"toho": {"enabled": True, "base_url": "https://a.jp", "locations": [{"id": "1", "name": "A1"}, {"id": "2", "name": "A2"}]},
+              "independent": {"enabled": True, "locations": [{"name": "I1", "url": "https://i.jp/x/", "schedule_path": "now.html"}]}}
+    captured = spark.createDataFrame([
+        (1, "https://a.jp/net/movie/1/schedule/list.do", '<a href="/net/movie/9">映画L</a>'),
+        (2, "https://i.jp/x/now.html", '<article><h2>映画Z</h2><b class="time">9:30</b></article>'),
+        (3, "https://else.jp/", "<h2>other</h2>")], "page_id long, url string, html string")
+    pages = scan_pages(theater_dim(spark, config), captured).withColumn("issue_number", F.lit(12))
+    issues = spark.createDataFrame([(12, demo.DAY)], "issue_number int, week_start date")
+    parts, films = weekly_job(pages, None, None, issues, "2026-04-13", OPTIONS, str(tmp_path / "stage"))
+    assert {(r.title_jp, r.screening_count, r.theaters) for r in films.collect()} == {("映画L", 0, ""), ("映画Z", 1, "I1")}
+    path = str(tmp_path / "archive")
+    write_issues(named_parts(issues, parts, F.col("week_start")), path)
+    names = scan_archive(spark, path).select("file_name")
+    assert [r.file_name for r in names.collect()] == ["briefing_012_2026-04-13.md"]
+    text = read_archive(spark, path, names).first().text
+    assert text == issue_document(issues, films, OPTIONS).first().markdown
+    assert text.startswith("# 第12期 4月13日 ~ 4月19日\n") and "| 🥇 | 映画Z | 1/100 | — | I1 |" in text
+    assert next_issue(names).first()[0] == 13
