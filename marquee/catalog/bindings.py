@@ -25,16 +25,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
-def spread_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table whose rows are parsed next: spread over all cores when its scan gives fewer tasks.
-
-    A large table already has more scan tasks than cores and is left as it is.
-    """
-    df = table(spark, sf, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 # ---- films
 
 FILM_FIELDS = {
@@ -169,15 +159,14 @@ def issue_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Da
     records = (captured.select(issue_number(F.col("week_start")).alias("issue_number"), "l_partkey")
                .join(films(spark, sf, "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
                .drop("l_partkey", "p_partkey"))
-    weeks = table(spark, sf, "lineitem").select(capture_week().alias("week_start")).distinct()
-    issues = weeks.select(issue_number(F.col("week_start")).alias("issue_number"), "week_start")
+    issues = captured.select("week_start").distinct().select(issue_number(F.col("week_start")).alias("issue_number"), "week_start")
     return records, screenings(spark, sf).drop("l_partkey"), issues
 
 
 # ---- pages made from orders: two film blocks in chain A's markup
 
 def order_pages(spark: SparkSession, sf: str) -> DataFrame:
-    o = spread_table(spark, sf, "orders")
+    o = table(spark, sf, "orders")
     key = F.col("o_orderkey").cast("string")
     day = F.concat(F.month("o_orderdate").cast("string"), F.lit("/"), F.dayofmonth("o_orderdate").cast("string"))
     second = (F.when(F.col("o_orderstatus") == "F", F.lit("<tr><td>2/30</td><td>8:05</td><td>-</td></tr>"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.catalog.bindings import FILMS_SQL, KEY_SQL, ORDER_SQL, WS_SQL, films, spread_table, table
+from marquee.catalog.bindings import FILMS_SQL, KEY_SQL, ORDER_SQL, WS_SQL, films, table
 from marquee.catalog.registry import query
+from marquee.functions.html import tree
 from marquee.functions.text import first_token, lookup_query
 from marquee.operators.enrich import (
     best_match, enrich, enrich_all, first_reviews, local_title, parse_people, parse_rating, parse_year_duration,
@@ -88,7 +89,7 @@ def prefer_type(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("quick_rating", """
-    select event_id, case when event_type in ('error', 'view', 'click') then 0.0 else coalesce(value, 0.0) end as score from events""")
+    select event_id, case when event_type = 'error' then null when event_type in ('view', 'click') then 0.0 else coalesce(value, 0.0) end as score from events""")
 def quick_rating_query(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.col("event_type")
     text = (F.when(kind == "error", F.lit("n/a")).when(kind == "view", F.lit("")).when(kind == "click", F.lit(None))
@@ -107,7 +108,7 @@ def parse_rating_query(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("p_size") % 4 == 0, F.lit("none")).otherwise(rating), F.lit(" </strong>"),
         F.when(F.col("p_size") % 7 == 0, F.lit("<span>12</span>")).otherwise(
             F.concat(F.lit("<a><span property='v:votes'>"), votes, F.lit("</span>人评价</a>"))), F.lit("</div>"))
-    page = table(spark, sf, "part").select("p_partkey", html.alias("html"))
+    page = table(spark, sf, "part").select("p_partkey", tree(html).alias("html"))
     score, found = parse_rating(F.col("html"))
     return page.select("p_partkey", score.alias("score"), found.alias("votes"))
 
@@ -123,7 +124,7 @@ def join_top5(spark: SparkSession, sf: str) -> DataFrame:
     html = F.concat(
         F.lit("<span class='attrs'><a rel=\"v:directedBy\">"), F.col("p_brand"), F.lit("</a></span>"), many,
         F.lit("<span property=\"v:genre\">"), F.col("p_type"), F.lit("</span> / <span property=\"v:genre\">A &amp; B</span>"))
-    page = table(spark, sf, "part").select("p_partkey", html.alias("html"))
+    page = table(spark, sf, "part").select("p_partkey", tree(html).alias("html"))
     director, cast, genre = parse_people(F.col("html"))
     return page.select("p_partkey", director.alias("director"), cast.alias("cast"), genre.alias("genre"))
 
@@ -139,7 +140,7 @@ def parse_year(spark: SparkSession, sf: str) -> DataFrame:
         F.when(size % 3 == 0, F.lit("")).otherwise(F.concat(
             F.lit("<span property=\"v:runtime\" content=\"9\">"), F.translate((size + 60).cast("string"), "0123456789", "０１２３４５６７８９"),
             F.lit("分钟 / 90分钟</span>"))))
-    page = table(spark, sf, "part").select("p_partkey", html.alias("html"))
+    page = table(spark, sf, "part").select("p_partkey", tree(html).alias("html"))
     year, duration = parse_year_duration(F.col("html"))
     return page.select("p_partkey", year.alias("year"), duration.alias("duration"))
 
@@ -153,22 +154,22 @@ def local_title_query(spark: SparkSession, sf: str) -> DataFrame:
         .when(size % 4 == 1, F.concat(F.lit("<h1>x<span>"), F.col("p_name")))
         .when(size % 4 == 2, F.concat(F.lit("<h1><span>no</span></h1><b><span property='v:itemreviewed'>"), F.col("p_name")))
         .otherwise(F.lit("<h1>plain")), F.lit("</span></h1>"))
-    page = table(spark, sf, "part").select("p_partkey", html.alias("html"))
+    page = table(spark, sf, "part").select("p_partkey", tree(html).alias("html"))
     return page.select("p_partkey", local_title(F.col("html")).alias("title_cn"))
 
 
 @query("first_token", f"""
     select doc_id, nullif(string_split(trim(regexp_replace(text, '{WS_SQL}', ' ', 'g')), ' ')[1], '') as word from documents""")
 def first_token_query(spark: SparkSession, sf: str) -> DataFrame:
-    return spread_table(spark, sf, "documents").select("doc_id", first_token(F.col("text")).alias("word"))
+    return table(spark, sf, "documents").select("doc_id", first_token(F.col("text")).alias("word"))
 
 
 @query("top_reviews", f"""
-    with c as (select conv_id, turn, trim(regexp_replace(text, '{WS_SQL}', ' ', 'g')) as text from conversations where role = 'user'),
+    with c as (select conv_id, turn, trim(regexp_replace(text, '{WS_SQL}', ' ', 'g')) as text from conversations),
     p as (select *, row_number() over (partition by conv_id order by turn) as n from c where text <> '')
     select conv_id, n::integer as n, text from p where n <= 3""")
 def top_reviews_query(spark: SparkSession, sf: str) -> DataFrame:
-    return first_reviews(table(spark, sf, "conversations").filter("role = 'user'"), ["conv_id"], "turn", "text", 3)
+    return first_reviews(table(spark, sf, "conversations"), ["conv_id"], "turn", "text", 3)
 
 
 @query("top_reviews_array", """
@@ -187,7 +188,7 @@ def top_reviews_array(spark: SparkSession, sf: str) -> DataFrame:
         case when found then 'cast' else '' end as "cast", case when found then 'g' else 'old' end as genre,
         case when found and quality = 1 then 2000 else 1 end as year, case when found and toxic = 1 then 99 else 2 end as duration,
         case when found and toxic = 1 then 7.5 when matched and lang in ('en', 'fr') then round(n_chars / 10.0::double, 1)
-             when matched and lang = 'de' then 0.0 else 1.5 end as score,
+             when matched and lang = 'de' and doc_id % 2 = 1 then 0.0 else 1.5 end as score,
         case when found then 100::bigint * quality else 3 end as votes,
         case when matched then concat('https://movie.douban.com/subject/', doc_id, '/') else '' end as url,
         case when found then 'r1|r2' else 'old' end as reviews,
@@ -204,7 +205,7 @@ def enrich_query(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(2).alias("duration"), F.lit(1.5).alias("score"), F.lit(3).cast("long").alias("votes"), F.lit("").alias("url"),
         F.array(F.lit("old")).alias("reviews"))
     rating = (F.when(F.col("lang").isin("en", "fr"), F.round(F.col("n_chars") / 10, 1).cast("string"))
-              .when(F.col("lang") == "de", "?"))
+              .when(F.col("lang") == "de", F.when(F.col("doc_id") % 2 == 0, "?").otherwise("")))
     matches = d.filter(F.col("source") != "src1").select(
         "doc_id", F.when(F.col("source") == "src0", "").otherwise(F.col("doc_id").cast("string")).alias("id"),
         (F.col("lang") != "es").alias("has_rating"), rating.alias("rating"))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.catalog.bindings import (
-    AS_OF, CLEAN_PAGES_SQL, ORDER_DATE_SQL, ORDER_SHOWS_SQL, SHOW_DATE, WS_SQL, order_pages, spread_table, table, text_sql)
+    AS_OF, CLEAN_PAGES_SQL, ORDER_DATE_SQL, ORDER_SHOWS_SQL, SHOW_DATE, WS_SQL, order_pages, table, text_sql)
 from marquee.catalog.registry import query
 from marquee.functions.dates import parse_month_day
-from marquee.functions.html import absolute_link, attribute, clean_text_of, strip_noise
+from marquee.functions.html import absolute_link, attribute, clean_text_of, tree
 from marquee.functions.text import clean_text, parse_time_lenient, parse_time_strict
 from marquee.operators.extract import (
     anchor_titles, block_titles, drop_placeholders, explode_blocks, extract_chain_a, extract_chain_b, extract_independent,
@@ -19,7 +19,7 @@ from marquee.operators.extract import (
 
 @query("clean_text", f"select doc_id, trim(regexp_replace(text, '{WS_SQL}', ' ', 'g')) as text from documents")
 def clean_text_query(spark: SparkSession, sf: str) -> DataFrame:
-    return spread_table(spark, sf, "documents").select("doc_id", clean_text(F.col("text")).alias("text"))
+    return table(spark, sf, "documents").select("doc_id", clean_text(F.col("text")).alias("text"))
 
 
 @query("page_blocks", f"""with {CLEAN_PAGES_SQL},
@@ -28,7 +28,7 @@ def clean_text_query(spark: SparkSession, sf: str) -> DataFrame:
     select page_id, pos::integer as pos, {text_sql("regexp_replace(block, '(?s)(</p>|</article>|</body>).*', '')")} as block_text from blocks""")
 def page_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Paragraphs, many of which lack their end tag, in page order."""
-    blocks = explode_blocks(spread_table(spark, sf, "pages"), "p")
+    blocks = explode_blocks(table(spark, sf, "pages"), "p")
     return blocks.select("page_id", "pos", clean_text_of(F.col("block")).alias("block_text"))
 
 
@@ -36,7 +36,7 @@ def page_blocks(spark: SparkSession, sf: str) -> DataFrame:
     select page_id, {text_sql("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} as title_jp from clean_pages
     where length({text_sql("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}) >= 2""")
 def page_titles(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = explode_blocks(spread_table(spark, sf, "pages"), "article, .movie")
+    blocks = explode_blocks(table(spark, sf, "pages"), "article, .movie")
     return block_titles(blocks, "h1, .movie-title", min_length=2).select("page_id", "title_jp")
 
 
@@ -57,13 +57,13 @@ LINKS_SQL = f"""{CLEAN_PAGES_SQL},
     from hrefs""")
 def absolute_links(spark: SparkSession, sf: str) -> DataFrame:
     """Anchor links of every page, in the five forms a link can take, resolved against the page."""
-    anchors = explode_blocks(spread_table(spark, sf, "pages"), "a[href]")
+    anchors = explode_blocks(table(spark, sf, "pages"), "a[href]")
     rows = anchors.select("page_id", "url", "pos", attribute(F.col("block"), "href").alias("href"))
     form = F.col("pos") % 5
-    link = (F.when(form == 0, F.col("href")).when(form == 1, F.substring("href", 2, 100_000))
+    link = (F.when(form == 0, F.col("href")).when(form == 1, F.substr("href", F.lit(2)))
             .when(form == 2, F.concat(F.lit("https://cdn.example"), "href"))
             .when(form == 3, F.concat(F.lit("//cdn.example"), "href"))
-            .otherwise(F.concat(F.lit("?q="), F.substring("href", 2, 100_000))))
+            .otherwise(F.concat(F.lit("?q="), F.substr("href", F.lit(2)))))
     rows = rows.withColumn("form", link)
     return rows.select("page_id", "pos", absolute_link(F.col("form"), F.col("url"), join_links=True).alias("link"),
                        absolute_link(F.col("href"), F.lit("https://b.example"), join_links=False).alias("joined"))
@@ -163,18 +163,23 @@ def page_screenings_query(spark: SparkSession, sf: str) -> DataFrame:
     return page_screenings(extract_chain_a(order_pages(spark, sf), AS_OF))
 
 
+OWN_PROFILE = {"block": "article", "title": "h1", "time": ".time"}
+
+
+def _plain_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", F.col("url").alias("base_url"), "html")
+
+
 @query("independent_pages", f"""with {CLEAN_PAGES_SQL}
     select page_id, 0 as pos, {text_sql("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} as title_jp, '' as poster_url,
            false as is_new_release, 0::bigint as screening_count
     from clean_pages where length({text_sql("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}) >= 2""")
 def independent_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Films of pages with the selectors given for them; films without showings are kept."""
-    pages = spread_table(spark, sf, "pages").withColumnRenamed("url", "base_url")
-    own = {"block": "article", "title": "h1", "time": ".time"}
-    return page_movies(extract_independent(pages, AS_OF, profiles={}, generic=own), ["page_id"])
+    return page_movies(extract_independent(_plain_pages(spark, sf), AS_OF, profiles={}, generic=OWN_PROFILE), ["page_id"])
 
 
-@query("chain_b_pages", """
+PART_PAGES_SQL = """part_films as (
     select p_partkey as page_id, 0 as pos, p_name as title_jp,
            case when p_size % 2 = 0 then concat('https://b.example/', p_partkey, '.png') else '' end as poster_url,
            p_type not in ('PROMO', 'LARGE') as is_new_release,
@@ -183,8 +188,15 @@ def independent_pages(spark: SparkSession, sf: str) -> DataFrame:
     union all
     select p_partkey, 0, p_brand, '', false, 0 from part where p_type = 'PROMO'
     union all
-    select p_partkey, 1, concat(p_name, '!'), '', false, 0 from part where p_type = 'PROMO'""")
+    select p_partkey, 1, concat(p_name, '!'), '', false, 0 from part where p_type = 'PROMO')"""
+
+
+@query("chain_b_pages", f"with {PART_PAGES_SQL} select * from part_films")
 def chain_b_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return page_movies(extract_chain_b(part_pages(spark, sf), AS_OF), ["page_id"])
+
+
+def part_pages(spark: SparkSession, sf: str) -> DataFrame:
     """A page per part in chain B's markup: films with times, films without, or only links."""
     kind = F.col("p_type")
     image = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("<img src='/"), F.col("p_partkey").cast("string"), F.lit(".png'>"))).otherwise("")
@@ -198,9 +210,8 @@ def chain_b_pages(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("</a><a href='/about'>about</a>"))
     html = F.when(kind == "PROMO", links).when(kind == "LARGE", F.lit("<p>closed</p>")).otherwise(
         F.concat(block, F.replace(extra, F.lit("%"), F.col("p_name"))))
-    pages = spread_table(spark, sf, "part").select(
+    return table(spark, sf, "part").select(
         F.col("p_partkey").alias("page_id"), F.lit("https://b.example").alias("base_url"), html.alias("html"))
-    return page_movies(extract_chain_b(pages, AS_OF), ["page_id"])
 
 
 ANCHOR_SQL = f"""{CLEAN_PAGES_SQL},
@@ -213,7 +224,7 @@ ANCHOR_SQL = f"""{CLEAN_PAGES_SQL},
     select page_id, title_jp, (row_number() over (partition by page_id order by i) - 1)::integer as pos
     from titles where length(title_jp) >= 2""")
 def anchor_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    pages = spread_table(spark, sf, "pages").withColumn("html", strip_noise(F.col("html")))
+    pages = table(spark, sf, "pages").withColumn("html", tree(F.col("html")))
     return pages.select("page_id", F.posexplode(anchor_titles(F.col("html"), ("e",), 2)).alias("pos", "title_jp"))
 
 
@@ -230,34 +241,87 @@ def selector_profile_query(spark: SparkSession, sf: str) -> DataFrame:
                   unnest(range(0, len(regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1)))) as i from clean_pages),
     h1 as (select page_id, 2 as sel, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) as t, 0 as i from clean_pages),
     texts as (select page_id, sel, {text_sql('t')} as title_jp, i from (select * from li union all select * from h1)),
-    accepted as (select page_id, sel, title_jp, min(i) as i from texts where length(title_jp) > 5 group by all),
+    accepted as (select page_id, sel, title_jp, min(i) as i from texts
+                 where length(title_jp) >= 3 and (length(title_jp) >= 6 or regexp_matches(title_jp, '[぀-ヿ一-鿿]')) group by all),
     best as (select *, min(sel) over (partition by page_id) as first_sel from accepted),
     numbered as (select page_id, title_jp, row_number() over (partition by page_id order by i) - 1 as pos from best where sel = first_sel)
-    select page_id, pos::integer as pos, title_jp from numbered where pos < 5""")
+    select page_id, pos::integer as pos, title_jp from numbered where pos < 20""")
 def generic_titles_query(spark: SparkSession, sf: str) -> DataFrame:
-    pages = spread_table(spark, sf, "pages").withColumn("html", strip_noise(F.col("html")))
-    titles = generic_titles(F.col("html"), ("h2.title", ".movie-title", "li", "h1"), cap=5)
+    pages = table(spark, sf, "pages").withColumn("html", tree(F.col("html")))
+    titles = generic_titles(F.col("html"), ("h2.title", ".movie-title", "li", "h1"))
     return pages.select("page_id", F.posexplode(titles).alias("pos", "title_jp"))
 
 
 @query("theater_coverage", """
     select s_suppkey, s_name, count(distinct p_name) as films
-    from supplier left join (select l_suppkey, p_name from lineitem join part on l_partkey = p_partkey
-                             where l_quantity = 50 and l_discount > 0.09 and l_returnflag = 'R') on l_suppkey = s_suppkey
+    from supplier left join (select l_suppkey, p_name from lineitem join part on l_partkey = p_partkey) on l_suppkey = s_suppkey and s_nationkey <> 3
     group by s_suppkey, s_name""")
 def theater_coverage_query(spark: SparkSession, sf: str) -> DataFrame:
-    shown = table(spark, sf, "lineitem").filter("l_quantity = 50 and l_discount > 0.09 and l_returnflag = 'R'")
-    found = (shown.select("l_suppkey", "l_partkey").join(
+    """All showings; the pages of one nation's theatres count as not captured."""
+    theaters = table(spark, sf, "supplier")
+    # Distinct on every task first: a theatre and film meet once, however often it is shown there.
+    shown = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct().join(
+        theaters.filter("s_nationkey <> 3").select(F.col("s_suppkey").alias("l_suppkey")), "l_suppkey")
+    found = (shown.join(
         table(spark, sf, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
         .select(F.col("l_suppkey").alias("s_suppkey"), "p_name"))
-    return theater_coverage(table(spark, sf, "supplier").select("s_suppkey", "s_name"), found, "s_suppkey", "p_name")
+    return theater_coverage(theaters.select("s_suppkey", "s_name"), found, "s_suppkey", "p_name")
 
 
-@query("union_sources", """
-    select case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end as sched_ord, l_returnflag as source, count(*) as films,
-           sum(l_quantity::bigint)::bigint as slots from lineitem group by l_returnflag""")
+@query("union_sources", f"""with {ORDER_SHOWS_SQL}, {CLEAN_PAGES_SQL},
+    a as (select distinct page_id, pos, title_jp from shows), {PART_PAGES_SQL}
+    select 0 as chain, 'T' as theater, count(*) as films, (select count(*) from shows) as slots from a
+    union all select 1, 'P', count(*), sum(screening_count)::bigint from part_films
+    union all select 2, 'I', count(*), 0 from clean_pages where length({text_sql("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}) >= 2""")
 def union_sources_query(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").select("l_returnflag", F.col("l_quantity").cast("long").alias("q"))
-    chains = [lines.filter(F.col("l_returnflag") == flag).withColumn("sched_ord", F.lit(i)) for i, flag in enumerate("ANR")]
-    return union_sources(*chains).groupBy("sched_ord", F.col("l_returnflag").alias("source")).agg(
-        F.count("*").alias("films"), F.sum("q").alias("slots"))
+    """The films of three chains' pages in one table, counted by chain."""
+    a = extract_chain_a(order_pages(spark, sf).select("page_id", "base_url", "html"), AS_OF)
+    b = extract_chain_b(part_pages(spark, sf), AS_OF)
+    own = extract_independent(_plain_pages(spark, sf), AS_OF, profiles={}, generic=OWN_PROFILE)
+    named = [page_movies(films, ["page_id"]).select("page_id", "pos", F.lit(i).alias("chain"), F.lit(t).alias("theater"), "screening_count")
+             for i, (films, t) in enumerate(((a, "T"), (b, "P"), (own, "I")))]
+    return union_sources(*named).groupBy("chain", "theater").agg(
+        F.count("*").alias("films"), F.sum("screening_count").alias("slots"))
+
+
+# A page per customer in the markup that one of the six profiles, or the generic one, looks for.
+PROFILE_PAGES = (
+    ("uplink", "<div class='a event-item'>", "<h3>", "</h3>", "<i class=showtime>", "</i>", "</div>"),
+    ("imageforum", "<div class=nowShowing>", "<p class='movie-title'>", "</p>", "<b class='time'>", "</b>", "</div>"),
+    ("cinemavera", "<div class=program>", "<h2>", "</h2>", "<span class=time>", "</span>", "</div>"),
+    ("pole2", "<article>", "<h2>", "</h2>", "<span class='x showtime'>", "</span>", "</article>"),
+    ("ks-cinema", "<table><tr>", "<td>", "</td>", "<td>", "</td>", "</tr></table>"),
+    ("wasedashochiku", "<div class='program-item'>", "<h2>", "</h2>", "<span class=time>", "</span>", "</div>"),
+    ("other", "<article>", "<h2>", "</h2>", "<span class=time>", "</span>", "</article>"),
+)
+
+
+@query("independent_theaters", """
+    with p as (select *, c_custkey % 7 as kind from customer)
+    select c_custkey as page_id, 0 as pos, c_name as title_jp,
+           case c_custkey % 3 when 0 then concat('https://cdn.example/', c_custkey, '.png')
+                when 1 then concat('https://', site, '.example/now/img/', c_custkey, '.png') else '' end as poster_url,
+           false as is_new_release, (case when c_custkey % 5 = 0 then 1 else 2 end)::bigint as screening_count
+    from p join (values (0, 'uplink'), (1, 'imageforum'), (2, 'cinemavera'), (3, 'pole2'), (4, 'ks-cinema'), (5, 'wasedashochiku'), (6, 'other')) s(k, site)
+    on kind = k where c_nationkey <> 4
+    union all
+    select c_custkey, 0, concat('上映', c_custkey), '', false, 0 from customer where c_nationkey = 4""")
+def independent_theaters_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Independent theatres by their real profiles, with times and posters; some pages have headings only."""
+    key = F.col("c_custkey").cast("string")
+    poster = (F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("<img src='https://cdn.example/"), key, F.lit(".png'>")))
+              .when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("<img alt=x src=img/"), key, F.lit(".png>"))).otherwise(""))
+    site, html = F.lit(None), F.lit(None)
+    for i, (name, block, title, title_end, time, time_end, end) in enumerate(PROFILE_PAGES):
+        chosen = F.col("c_custkey") % len(PROFILE_PAGES) == i
+        second = F.when(F.col("c_custkey") % 5 == 0, F.lit("sold out")).otherwise(F.lit("19:05～"))
+        page = F.concat(F.lit(f"<body>{block}{title} "), F.col("c_name"), F.lit(f"{title_end}<p>"), poster, F.lit(f"{time}開映 9:30{time_end}{time}"),
+                        second, F.lit(f"{time_end}{end}</body>"))
+        if name == "ks-cinema":
+            page = F.concat(F.lit(f"<body>{block}{title} "), F.col("c_name"), poster, F.lit(f"{title_end}{time}開映 9:30{time_end}{time}"), second, F.lit(f"{time_end}{end}</body>"))
+        site, html = F.when(chosen, F.lit(name)).otherwise(site), F.when(chosen, page).otherwise(html)
+    bare = F.concat(F.lit("<div><h2 class=title>上映"), key, F.lit("</h2><h3 class=title>no</h3></div>"))
+    pages = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("page_id"), F.concat(F.lit("https://"), site, F.lit(".example/now/")).alias("base_url"),
+        F.when(F.col("c_nationkey") == 4, bare).otherwise(html).alias("html"))
+    return page_movies(extract_independent(pages, AS_OF), ["page_id"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.catalog.bindings import (
-    FILMS_SQL, ISSUE_SQL, KEY_SQL, MERGED_SQL, ORDER_SQL, SCREENINGS_SQL, films, issue_tables, screenings, spread_table,
+    FILMS_SQL, ISSUE_SQL, KEY_SQL, MERGED_SQL, ORDER_SQL, SCREENINGS_SQL, films, issue_tables, screenings,
     table)
 from marquee.catalog.flagship import top_films
 from marquee.catalog.registry import query
@@ -16,7 +16,7 @@ from marquee.functions.scoring import (
     new_component, rank_label, rating_component, rec_score, screens_component, votes_component)
 from marquee.functions.text import normalize_title
 from marquee.operators.merge import first_value, merge_titles, screening_counts, theater_list
-from marquee.operators.rank import rank_all, top_n, top_n_per_group, top_summary
+from marquee.operators.rank import rank_all, top_n_per_group, top_summary
 from marquee.operators.weeks import in_week, next_week, next_week_preview, this_week
 from marquee.plans.weekly import scored_films as issue_scored_films
 from marquee.plans.weekly import stage, stage_folder
@@ -27,7 +27,7 @@ from marquee.plans.weekly import stage, stage_folder
         '[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', '', 'g')) as title_key
     from documents""")
 def normalize_title_query(spark: SparkSession, sf: str) -> DataFrame:
-    return spread_table(spark, sf, "documents").select("doc_id", normalize_title(F.col("text")).alias("title_key"))
+    return table(spark, sf, "documents").select("doc_id", normalize_title(F.col("text")).alias("title_key"))
 
 
 @query("merge_titles", f"""with {FILMS_SQL}, keyed as (select *, {KEY_SQL} as title_key, {ORDER_SQL} as ord from films),
@@ -102,9 +102,10 @@ def top_n_query(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("rank_label", f"""with {MERGED_SQL}, r as (select *, row_number() over (order by rec_score desc, ord) as rank from scored)
-    select title_key, case rank when 1 then '🥇' when 2 then '🥈' when 3 then '🥉' else rank::varchar end as label from r where rank <= 20""")
+    select title_key, case rank when 1 then '🥇' when 2 then '🥈' when 3 then '🥉' else rank::varchar end as label from r""")
 def rank_label_query(spark: SparkSession, sf: str) -> DataFrame:
-    return top_n(scored_films(spark, sf), 20).select("title_key", rank_label(F.col("rank")).alias("label"))
+    ranked = rank_all(stage(scored_films(spark, sf).select("title_key", "rec_score", "first_seen"), "scored", stage_folder(spark)))
+    return ranked.select("title_key", rank_label(F.col("rank")).alias("label"))
 
 
 @query("top5_summary", f"""with {MERGED_SQL}, r as (select *, row_number() over (order by rec_score desc, ord) as rank from scored)

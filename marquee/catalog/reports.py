@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.catalog.bindings import AS_OF, FILMS_SQL, ISSUE_SQL, MERGED_SQL, films, issue_tables, order_pages, table
+from marquee.catalog.bindings import (
+    AS_OF, FILMS_SQL, ISSUE_SQL, MERGED_SQL, SCORE_EXPRESSION, WEEK, films, issue_tables, order_pages, table)
 from marquee.catalog.registry import query
 from marquee.catalog.scans import scored_films
 from marquee.functions import fixed_values as fv
@@ -14,14 +15,16 @@ from marquee.functions.dates import date_label
 from marquee.functions.report_text import issue_title, movie_block, ranking_row, review_block, stars
 from marquee.functions.scoring import rank_label
 from marquee.functions.text import display_title, short_title
-from marquee.operators.rank import top_n
+from marquee.operators.rank import rank_all
 from marquee.operators.report import (
     ReportOptions, film_columns, issue_labels, issue_parts, section_text)
-from marquee.plans.weekly import generate_reports, raw_tables, stage, stage_folder
+from marquee.plans.weekly import generate_reports, raw_tables, stage, stage_folder, weekly_job
 from marquee.plans.weekly import scored_films as issue_scored_films
 from marquee.operators.extract import extract_chain_a
 from marquee.operators.merge import film_stats, merge_titles, with_stats
 from marquee.operators.rank import with_score
+from marquee.sources.candidates import scan_candidates
+from marquee.sources.pages import scan_subjects
 
 OPTIONS = ReportOptions(title_template="Report {issue_number}: {week_start} ~ {week_end}", subtitle="weekly", footer="end")
 
@@ -81,10 +84,11 @@ def movie_block_query(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("ranking_row", f"""with {MERGED_SQL}, r as (select *, row_number() over (order by rec_score desc, ord) as rank from scored)
-    select rank::integer as rank, {ROW_SQL} as row_text from r where rank <= 100""")
+    select rank, {ROW_SQL} as row_text from r""")
 def ranking_row_query(spark: SparkSession, sf: str) -> DataFrame:
-    return top_n(scored_films(spark, sf), 100).select(
-        "rank", ranking_row(rank_label(F.col("rank")), film_columns()).alias("row_text"))
+    ranked = rank_all(stage(scored_films(spark, sf), "scored", stage_folder(spark)))
+    return ranked.select(
+        F.col("rank").cast("long").alias("rank"), ranking_row(rank_label(F.col("rank")), film_columns()).alias("row_text"))
 
 
 @query("section_text", """
@@ -106,7 +110,7 @@ def label_sql(days: int) -> str:
     return f"concat(month(week_start + {days}), '月', day(week_start + {days}), '日')"
 
 
-PARTS_SQL = f"""{ISSUE_SQL},
+PARTS_OF_SCORED = f"""
     flags as (select issue_number, bool_or(this_week > 0 or dated = 0) as now, bool_or(next_week > 0) as coming from scored group by all),
     head as (select i.*, coalesce(now, false) as now, coalesce(coming, false) as coming from issues i left join flags f on f.issue_number = i.issue_number),
     next_films as (select *, row_number() over (partition by issue_number order by rec_score desc, ord) as n from scored where next_week > 0),
@@ -121,6 +125,8 @@ PARTS_SQL = f"""{ISSUE_SQL},
         union all select issue_number, 6, n, {block_sql(1)} from next_films where n <= 5
         union all select issue_number, 7, 0, concat(chr(10), '---', chr(10), chr(10), 'end') from head)"""
 
+PARTS_SQL = f"{ISSUE_SQL},{PARTS_OF_SCORED}"
+
 
 @query("issue_parts", f"with {PARTS_SQL} select issue_number, section, text from parts")
 def issue_parts_query(spark: SparkSession, sf: str) -> DataFrame:
@@ -204,3 +210,63 @@ def pages_to_films(spark: SparkSession, sf: str) -> DataFrame:
         "title_key", "title_jp", F.col("first_seen.sched_ord").alias("first_page"), "poster_url", "screening_count",
         F.size("theater_names").cast("long").alias("theaters"),
         F.round(F.col("rec_score") - F.when(F.col("is_new_release"), 10.0).otherwise(0.0), 2).alias("score_without_new"))
+
+
+# The whole job. Customers are theatres with one captured page each, nations are issues. Pages are of five
+# kinds: chain A, chain B, an independent theatre, chain A with links only, an independent one with headings only.
+JOB_SQL = f"""base as (select c_custkey as k, c_nationkey as issue_number, c_name as theater, c_custkey % 40 as n, c_custkey % 5 as kind from customer),
+issues as (select distinct issue_number, cast(date '1998-06-01' - cast(7 * (issue_number % 3) as integer) as date) as week_start from base),
+rows as (select *, case kind when 0 then concat('Film ', n, '（字幕版）') when 4 then concat('上映 Film ', n) else concat('Film ', n) end as title_jp,
+                case kind when 4 then concat('上映film', n) else concat('film', n) end as title_key from base),
+merged as (select issue_number, title_key, min(k) as ord from rows group by all),
+shows as (select issue_number, title_key, theater, date '1998-06-03' as d, case kind when 2 then 1 else 2 end as c from rows where kind in (0, 1, 2)
+          union all select issue_number, title_key, theater, date '1998-06-09', 1 from rows where kind = 0),
+stats as (select s.issue_number, title_key, sum(c)::bigint as n, coalesce(sum(c) filter (where d - week_start between 0 and 6), 0)::bigint as this_week,
+                 coalesce(sum(c) filter (where d - week_start between 7 and 13), 0)::bigint as next_week,
+                 array_to_string(list_sort(list_distinct(list(theater))), '、') as theaters
+          from shows s join issues i on i.issue_number = s.issue_number group by all),
+rated as (select m.*, title_jp, n, kind in (0, 1) as is_new_release, kind in (1, 2, 3) and n % 4 <> 0 as matched, kind in (1, 2, 3) and n % 4 <> 0 and n % 3 = 0 as found
+          from merged m join rows r on r.issue_number = m.issue_number and r.k = m.ord),
+full_films as (
+    select r.issue_number, r.title_key, r.ord, r.title_jp, case when found then concat('CN', r.n) else '' end as title_cn,
+           case when found then 'D' else '' end as director, '' as actors, case when found then 'G' else '' end as genre,
+           case when matched then concat('https://movie.douban.com/subject/', r.n, '/') else '' end as url,
+           case when found then 8.5 when matched and r.n % 4 = 2 then r.n / 10.0::double else 0.0 end as score,
+           case when found then 1000 * r.n else 0 end as votes, is_new_release, case when found then ['r'] else []::varchar[] end as reviews,
+           coalesce(s.n, 0) as screening_count, coalesce(s.n, 0) as dated, coalesce(s.this_week, 0) as this_week, coalesce(s.next_week, 0) as next_week,
+           coalesce(s.theaters, '') as theaters
+    from rated r left join stats s on s.issue_number = r.issue_number and s.title_key = r.title_key),
+scored as (select *, {SCORE_EXPRESSION} as rec_score from full_films),
+ranked as (select *, row_number() over (partition by issue_number order by rec_score desc, ord) as rank from scored)"""
+
+
+@query("weekly_job", f"with {JOB_SQL},{PARTS_OF_SCORED} select issue_number, section, text from parts")
+def weekly_job_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Captured pages of all chains to the report parts of every issue, in one job."""
+    key, n, kind = F.col("c_custkey").cast("string"), F.col("c_custkey") % 40, F.col("c_custkey") % 5
+    title = F.concat(F.lit("Film "), n.cast("string"))
+    a = F.concat(F.lit("<div class=schedule-movie-detail><h3>"), title, F.lit("（字幕版）</h3><img src='/"), key,
+                 F.lit(".jpg'><table class=schedule-table><tr><td><b>6</b>/3</td><td>10:00</td><td>12:00</td></tr><tr><td>6/9</td><td>9:00</td></tr></table></div>"))
+    b = F.concat(F.lit("<div class=programBox><h2>"), title, F.lit("</h2><span class=showtime>13:20～</span><time>売切</time></div>"))
+    own = F.concat(F.lit("<article class=movie><h2>"), title, F.lit("</h2><span class=time>19:00</span></article>"))
+    links = F.concat(F.lit("<a href='/net/movie/"), key, F.lit("'>"), title, F.lit("</a><a href='/about'>about</a>"))
+    headings = F.concat(F.lit("<section><h2 class=title>上映 "), title, F.lit("</h2></section>"))
+    source = F.when(kind.isin(0, 3), fv.CHAIN_A_SOURCE).when(kind == 1, fv.CHAIN_B_SOURCE).otherwise(fv.INDEPENDENT_SOURCE)
+    pages = table(spark, sf, "customer").select(
+        F.col("c_nationkey").alias("issue_number"), source.alias("source"), F.col("c_custkey").alias("sched_ord"), F.col("c_name").alias("theater_name"),
+        F.when(kind.isin(2, 4), "https://uplink.example/").otherwise("https://a.example").alias("base_url"),
+        F.when(kind == 0, a).when(kind == 1, b).when(kind == 2, own).when(kind == 3, links).otherwise(headings).alias("html"))
+    titles = table(spark, sf, "customer").select(n.alias("n"), title.alias("title")).distinct()
+    number = F.col("n").cast("string")
+    rating = F.when(F.col("n") % 4 == 1, F.lit("n/a")).when(F.col("n") % 4 == 2, (F.col("n") / 10).cast("string")).otherwise("")
+    answers = titles.filter("n % 4 <> 0").select("title", F.concat(
+        F.lit('[{"id": "0", "type": "tv"}, '), F.to_json(F.struct(number.alias("id"), F.lit("movie").alias("type"), F.struct(rating.alias("value")).alias("rating"))), F.lit("]")).alias("payload"))
+    subjects = titles.filter("n % 3 = 0").select(
+        F.col("n").alias("page_id"), F.concat(F.lit("https://r.example/subject/"), number, F.lit("/")).alias("url"),
+        F.concat(F.lit("<h1><span property='v:itemreviewed'>CN"), number, F.lit("</span></h1><a rel='v:directedBy'>D</a><span property='v:genre'>G</span>"
+                 "<strong class='ll rating_num'>8.5</strong><span property='v:votes'>"), (F.col("n") * 1000).cast("string"),
+                 F.lit("人</span><div class=comment-item><span class=short>r</span></div>")).alias("html"))
+    issues = table(spark, sf, "customer").select(F.col("c_nationkey").alias("issue_number")).distinct().withColumn(
+        "week_start", F.date_sub(F.lit("1998-06-01").cast("date"), (F.col("issue_number") % 3) * 7))
+    parts, _ = weekly_job(pages, scan_candidates(answers, F.col("title"), F.col("payload")), scan_subjects(subjects), issues, WEEK, OPTIONS, stage_folder(spark))
+    return parts.select("issue_number", "part_key.section", "text")

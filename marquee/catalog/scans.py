@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.catalog.bindings import (
-    MERGED_SQL, WEEK, films, screenings, spread_table, table)
+    MERGED_SQL, WEEK, films, screenings, table)
 from marquee.catalog.registry import query
 from marquee.functions import fixed_values as fv
 from marquee.functions.archive_text import issue_filename
@@ -14,7 +16,6 @@ from marquee.functions.dates import week_start
 from marquee.operators.enrich import quick_rating
 from marquee.operators.merge import film_stats, merge_titles, with_stats
 from marquee.operators.rank import with_score
-from marquee.plans.weekly import stage_folder
 from marquee.sources.archive import next_issue, read_archive, scan_archive, write_issues
 from marquee.sources.candidates import scan_candidates
 from marquee.sources.export import export_rows
@@ -24,15 +25,15 @@ from marquee.sources.theaters import chain_theaters, independent_theaters
 
 @query("theater_urls", """
     with t as (select *, s_nationkey % 3 as chain from supplier where s_acctbal > 0)
-    select 'TOHO' as source, s_suppkey::integer as sched_ord, lpad(s_suppkey::varchar, 6, '0') as theater_id, s_name as theater_name,
+    select 'TOHO' as source, s_suppkey as sched_ord, lpad(s_suppkey::varchar, 6, '0') as theater_id, s_name as theater_name,
            'https://hlo.tohotheater.jp' as base_url,
            concat('https://hlo.tohotheater.jp/net/movie/', lpad(s_suppkey::varchar, 6, '0'), '/schedule/list.do') as schedule_url,
            true as enabled from t where chain = 0
     union all
-    select 'United', 100000000 + s_suppkey::integer, lpad(s_suppkey::varchar, 6, '0'), s_name, 'https://www.unitedcinemas.jp',
+    select 'United', 4294967296 + s_suppkey, lpad(s_suppkey::varchar, 6, '0'), s_name, 'https://www.unitedcinemas.jp',
            concat('https://www.unitedcinemas.jp/', lpad(s_suppkey::varchar, 6, '0'), '/daily.php'), true from t where chain = 1
     union all
-    select '独立影院', 200000000 + s_suppkey::integer, lpad(s_suppkey::varchar, 6, '0'), s_name,
+    select '独立影院', 8589934592 + s_suppkey, lpad(s_suppkey::varchar, 6, '0'), s_name,
            concat('https://t', s_suppkey, '.example/tokyo/home'),
            concat('https://t', s_suppkey, '.example', case s_nationkey % 5 when 0 then '/' when 1 then '/schedule/'
                   when 2 then '/tokyo/now.html?d=1' when 3 then '/list' else '/tokyo/a' end), true from t where chain = 2""")
@@ -110,7 +111,7 @@ def subject_pages_query(spark: SparkSession, sf: str) -> DataFrame:
         unless(p % 7 == 0, F.lit("<span property=\"v:votes\">"), F.format_number(p + 1000, 0), F.lit("人</span>")),
         F.lit("<div class=\"comment-item\"><p><span class=\"short\"> fine </span></p></div><div class=\"comment-item\">"),
         unless(p % 2 == 0, F.lit("<span class=\"short\">so<br>  so</span>")), F.lit("</div>"))
-    pages = spread_table(spark, sf, "pages").select(
+    pages = table(spark, sf, "pages").select(
         "page_id", F.concat(F.lit("https://r.example/subject/"), F.regexp_extract("url", "/([0-9]+)", 1), F.lit("/")).alias("url"),
         F.concat(F.replace(markup, F.lit("so<br>  so"), F.lit("so  <i>so</i>")), "html").alias("html"))
     return scan_subjects(pages).withColumn("reviews", F.array_join("reviews", "|"))
@@ -150,12 +151,16 @@ ARCHIVE_SQL = """archive as (
 
 
 def _archive(spark: SparkSession, sf: str) -> str:
-    """Write the archive to a new folder in the cluster's shared folder and return its path."""
+    """Write the archive to the folder that the cluster shares, or to the warehouse, and return its path.
+
+    Each set of tables has one folder; writing it again replaces its reports.
+    """
     lang = F.when(F.col("lang") == "de", 1).when(F.col("lang") == "en", 2).when(F.col("lang") == "es", 3).otherwise(4)
     number = F.substring("source", 4, 9).cast("int") * 10 + lang
     parts = table(spark, sf, "documents").select(
         issue_filename(number, F.lit("2026-04-13").cast("date")).alias("file_name"), F.col("doc_id").alias("part_key"), "text")
-    path = f"{stage_folder(spark)}/archive"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{shared.rstrip('/')}/archive-{zlib.crc32(sf.encode()):08x}"
     write_issues(parts, path)
     return path
 

@@ -48,7 +48,7 @@ SELECTOR_PROFILES = {
         "time": ".time, .showtime",
     },
     "ks-cinema": {
-        "block": "article, .movie, tr",
+        "block": "article, .movie, table tr",
         "title": "h2, h3, .title, td",
         "time": ".time, td",
     },
@@ -144,10 +144,3 @@ ARTICLE_STYLE = (
     "'Microsoft YaHei',sans-serif;font-size:15px;line-height:1.8;color:#333;"
     "max-width:680px;margin:0 auto;"
 )
-
-# --- Fixed values: HTML entities that are unescaped by name; "&amp;" comes last.
-ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\xa0"),
-    ("&copy;", "©"), ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"),
-    ("&times;", "×"), ("&amp;", "&"),
-)

@@ -1,61 +1,54 @@
-"""Element selection over an HTML string column with Spark's regex functions.
+"""Element selection over an HTML string column with Spark's functions.
 
 Supported selectors: ``tag``, ``.class``, ``tag.class``, ``tag[attr]``, ``tag[attr='v']``,
-``tag[attr*='v']`` and comma lists of them; a descendant step is a further argument. Elements
-come back in page order, nested ones included.
-
-Element bodies are matched with balanced tags up to ``DEPTH`` levels of the same tag. All
-quantifiers over bodies are possessive, so the match is linear and does not recurse per
-character. An element whose end tag is missing runs to the end of the text; ``tr td th li p``
-end where HTML lets them end.
+``tag[attr*='v']``, any of them after ``table`` (anywhere inside a table), and comma lists of them; descendant
+steps are further arguments. Elements come back in page order, nested ones included.
+
+``tree`` walks a page's tags once with a stack of the open elements. It writes the element's depth
+after every tag name (``<div\x013 class=x> ... </div\x013>``, with a ``t`` for a start tag inside a table) and adds the end tags that are missing: an element
+without one ends where its parent does, or where HTML lets it end (``tr td th li p dt dd`` and table
+sections). An end tag that closes nothing is dropped. With depths written down, an element ends at the first
+end tag of its name and depth, so selection needs no nesting limit and no recursion.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marquee.functions.fixed_values import ENTITIES
-from marquee.functions.text import clean_text
+from marquee.functions.text import clean_text, strip_text
 
-DEPTH = 24
 NOISE = r"(?is)<(?:script\b.*?</script\s*>|style\b.*?</style\s*>|!--.*?-->)"
 TAG = r"</?[a-zA-Z!][^>]*+>"
-END = r"(?=[\s/>])"
+MARK, MARK_CHAR = r"\x01", "\x01"
+PIECE = r"(?s)[^<]*+(?:</?[a-zA-Z][^>]*+>|<)|[^<]++\z"
+#: Pieces of a page that are walked together.
+BLOCK = 256
+END = rf"(?=[\s/>{MARK}])"
 VOID = "area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr"
-BLOCK_START = ("address|article|aside|blockquote|div|dl|fieldset|footer|form|h[1-6]|header|hr|main|nav|"
-               "ol|p|pre|section|table|ul")
-# tag -> (nested container skipped whole, what ends the element besides its own end tag)
+BLOCK_START = ("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav "
+               "ol p pre section table ul").split()
+CELL = ["td", "th", "caption"]
+# start tag -> (open elements that it ends, elements beyond which it ends none)
 IMPLIED_END = {
-    "tr": ("table", "/?(?:tr|tbody|thead|tfoot|table)"),
-    "td": ("table", "/?(?:td|th|tr|tbody|thead|tfoot|table)"),
-    "th": ("table", "/?(?:td|th|tr|tbody|thead|tfoot|table)"),
-    "li": ("(?:ul|ol)", "/?li|/(?:ul|ol)"),
-    "p": (None, f"/p|(?:{BLOCK_START})|/(?:article|aside|blockquote|body|div|footer|form|header|html|main|nav|"
-                "section|td|th|li)"),
+    "tr": (["tr"], ["table"]),
+    **dict.fromkeys(["td", "th"], (["td", "th"], ["tr", "table"])),
+    **dict.fromkeys(["tbody", "thead", "tfoot"], (["tbody", "thead", "tfoot"], ["table"])),
+    "li": (["li"], ["ul", "ol"]),
+    **dict.fromkeys(["dt", "dd"], (["dt", "dd"], ["dl"])),
+    **dict.fromkeys(BLOCK_START, (["p"], [*CELL, "table", "button"])),
 }
+TABLE_PARTS = ["table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption"]
 SELECTOR = re.compile(
     r"""(?P<tag>[a-z][a-z0-9]*)?(?:\.(?P<cls>[\w-]+))?"""
     r"""(?:\[(?P<attr>[\w:-]+)(?:(?P<op>[*~]?=)['"]?(?P<value>[^'"\]]*)['"]?)?\])?""")
 
 
-def _balanced(name: str, depth: int) -> str:
-    other = rf"[^<]++|<(?!/?{name}{END})"
-    body = rf"(?:{other})*+"
-    for _ in range(depth):
-        body = rf"(?:{other}|<{name}{END}[^>]*+>{body}</{name}\s*+>)*+"
-    return body
-
-
-def _implied(tag: str) -> str:
-    container, stop = IMPLIED_END[tag]
-    nested = rf"<{container}{END}[^>]*+>{_balanced(container, 3)}</{container}\s*+>|" if container else ""
-    return rf"{tag}{END}[^>]*+>(?:[^<]++|{nested}<(?!(?:{stop}){END}))*+(?:</{tag}\s*+>)?"
-
-
 def _attribute_test(attr: str, op: str | None, value: str) -> str:
     """Lookahead from inside a start tag for an attribute and its value."""
     name = re.escape(attr)
@@ -70,19 +63,20 @@ def _attribute_test(attr: str, op: str | None, value: str) -> str:
 
 
 def _parse(selector: str) -> dict:
-    m = SELECTOR.fullmatch(selector)
-    if not m or not selector:
+    inside = re.match(r"table\s+", selector)
+    m = SELECTOR.fullmatch(selector[inside.end():] if inside else selector)
+    if not m or not m.group():
         raise ValueError(f"selector not supported: {selector!r}")
-    return m.groupdict()
+    return m.groupdict() | {"inside": rf"{MARK}\d+t" if inside else ""}
 
 
 def _tests(parts: list[dict]) -> list[str]:
     """What may follow '<'. Parts that differ only in tag, or only in class, share one test."""
-    plain = [p["tag"] for p in parts if not p["cls"] and not p["attr"]]
+    plain = [p["tag"] + p["inside"] for p in parts if not p["cls"] and not p["attr"]]
     tests = [f"(?:{'|'.join(plain)}){END}"] if plain else []
     classes: dict[str, list[str]] = {}
     for p in parts:
-        name = p["tag"] or "[a-z][a-z0-9]*+"
+        name = (p["tag"] or "[a-z][a-z0-9]*+") + p["inside"]
         if p["attr"]:
             tests.append(f"{name}{END}" + _attribute_test(p["attr"], p["op"], re.escape(p["value"] or "")))
         elif p["cls"]:
@@ -94,15 +88,11 @@ def _tests(parts: list[dict]) -> list[str]:
 
 @lru_cache(maxsize=None)
 def element_pattern(selector: str) -> str:
-    """Java regex whose group 1 is a matching element; it consumes only the opening '<'."""
+    """Java regex whose group 1 is a matching element of a marked page; it consumes only the opening '<'."""
     parts = [_parse(s.strip()) for s in selector.split(",")]
-    tags = {p["tag"] for p in parts}
-    known = None not in tags
-    shapes = [_implied(t) for t in IMPLIED_END if t in tags or not known]
-    if not known or any(re.fullmatch(VOID, t) for t in tags):
-        shapes.append(rf"(?:{VOID}){END}[^>]*+>")
-    if not known or any(t not in IMPLIED_END and not re.fullmatch(VOID, t) for t in tags):
-        shapes.append(rf"([a-z][a-z0-9]*+){END}[^>]*+>{_balanced(chr(92) + '2', DEPTH)}(?:</\2\s*+>|\z)")
+    shapes = [rf"([a-z][a-z0-9]*+){MARK}(\d++)t?{END}[^>]*+>.*?</\2{MARK}\3>"]
+    if any(p["tag"] is None or re.fullmatch(VOID, p["tag"]) for p in parts):
+        shapes.insert(0, rf"(?:{VOID}){END}[^>]*+>")
     return rf"(?is)(?=<(?:{'|'.join(_tests(parts))}))(?=(<(?:{'|'.join(shapes)})))<"
 
 
@@ -111,17 +101,102 @@ def strip_noise(html: Column) -> Column:
     return F.regexp_replace(html, NOISE, "")
 
 
-def select_all(html: Column, selector: str, *descendants: str) -> Column:
-    """All matching elements, in page order, as array<string> of outer HTML."""
-    found = F.regexp_extract_all(html, F.lit(element_pattern(selector)), F.lit(1))
+def no_names() -> Column:
+    return F.expr("cast(array() as array<string>)")
+
+
+def _names(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values))
+
+
+def _last_in(stack: Column, wanted: Column) -> Column:
+    """Number (from 1) of the innermost open element among the wanted ones, 0 if none."""
+    return F.coalesce(F.array_max(F.transform(stack, lambda x, i: F.when(F.array_contains(wanted, x), i + 1))), F.lit(0))
+
+
+def _tag_of(piece: Column) -> Column:
+    """A text and the tag after it, with the tag's name, what kind it is, and which open elements it can end."""
+    tag = F.regexp_extract(piece, r"(?s)<.*\z", 0)
+
+    def named(p: Column) -> Column:
+        own = outer = no_names()
+        for ends in {str(v): v for v in IMPLIED_END.values()}.values():
+            starts = [n for n, v in IMPLIED_END.items() if v == ends]
+            own, outer = (F.when(p["name"].isin(*starts), _names(v)).otherwise(rest) for v, rest in zip(ends, (own, outer)))
+        beyond = F.when(p["name"].isin(*TABLE_PARTS), _names(["table"])).otherwise(_names(CELL))
+        closes = p["tag"].startswith("</")
+        return F.struct(
+            p["text"].alias("text"), p["tag"].alias("tag"), p["name"].alias("name"),
+            F.when(p["name"] == "", "text").when(closes, "end").when(p["name"].rlike(rf"\A(?:{VOID})\z"), "void").otherwise("start").alias("kind"),
+            F.when(closes, F.array(p["name"])).otherwise(own).alias("ends"),
+            F.when(closes, F.array_except(beyond, F.array(p["name"]))).otherwise(outer).alias("beyond"))
+
+    return let(F.struct(F.regexp_extract(piece, r"\A[^<]*", 0).alias("text"), tag.alias("tag"),
+                        F.lower(F.regexp_extract(tag, r"\A</?([a-zA-Z][a-zA-Z0-9]*)", 1)).alias("name")), named)
+
+
+def _walk(state: Column, t: Column) -> Column:
+    """The open elements and the text written so far, after one more piece."""
+    stack = state["stack"]
+
+    def after(left: Column) -> Column:
+        kept = F.slice(stack, F.lit(1), left)
+        closing = F.array_join(F.reverse(F.transform(F.slice(stack, left + 1, F.size(stack)), lambda n, i: _end_tag(n, left + i + 1))), "")
+        inside = F.when(F.array_contains(kept, "table"), "t").otherwise("")
+        opened = F.concat(F.lit("<"), t["name"], F.lit(MARK_CHAR), (left + 1).cast("string"), inside, F.substr(t["tag"], F.length(t["name"]) + 2))
+        shown = F.when(t["kind"] == "start", opened).when(t["kind"] == "end", "").otherwise(t["tag"])
+        return F.struct(F.array_append(state["out"], F.concat(t["text"], closing, shown)).alias("out"),
+                        F.when(t["kind"] == "start", F.array_append(kept, t["name"])).otherwise(kept).alias("stack"))
+
+    ended = let(_last_in(stack, t["ends"]), lambda at: F.when(at > _last_in(stack, t["beyond"]), at).otherwise(0))
+    return let(F.when(ended > 0, ended - 1).otherwise(F.size(stack)), after)
+
+
+def tree(html: Column) -> Column:
+    """The page without noise, with depths and all end tags written down. A page that has them stays as it is."""
+    start = F.struct(no_names().alias("out"), no_names().alias("stack"))
+
+    def block(state: Column, pieces: Column) -> Column:
+        """Pieces are walked in blocks, so that what is copied per piece is at most a block."""
+        walked = F.aggregate(pieces, F.struct(no_names().alias("out"), state["stack"].alias("stack")), _walk)
+        return let(walked, lambda w: F.struct(F.array_append(state["out"], F.array_join(w["out"], "")).alias("out"), w["stack"].alias("stack")))
+
+    def blocks(pieces: Column) -> Column:
+        count = F.floor((F.size(pieces) + BLOCK - 1) / BLOCK).cast("int")
+        return F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.expr("cast(array() as array<int>)")),
+                           lambda i: F.transform(F.slice(pieces, i * BLOCK + 1, F.lit(BLOCK)), _tag_of))
+
+    pieces = F.regexp_extract_all(F.replace(strip_noise(html), F.lit(MARK_CHAR), F.lit("")), F.lit(PIECE), F.lit(0))
+    walked = F.aggregate(let(pieces, blocks), start, block, lambda s: F.concat(
+        F.array_join(s["out"], ""), F.array_join(F.reverse(F.transform(s["stack"], lambda n, i: _end_tag(n, i + 1))), "")))
+    return F.when(html.contains(MARK_CHAR), html).otherwise(walked)
+
+
+def _end_tag(name: Column, depth: Column) -> Column:
+    return F.concat(F.lit("</"), name, F.lit(MARK_CHAR), depth.cast("string"), F.lit(">"))
+
+
+def without_marks(html: Column) -> Column:
+    """A marked page or element as HTML that others can read."""
+    return F.regexp_replace(html, rf"{MARK}\d+t?", "")
+
+
+def select_marked(page: Column, selector: str, *descendants: str) -> Column:
+    """``select_all`` on a page or element that ``tree`` has been applied to."""
+    found = F.regexp_extract_all(page, F.lit(element_pattern(selector)), F.lit(1))
     for step in descendants:
         pattern = F.lit(element_pattern(step))
         found = F.flatten(F.transform(found, lambda e: F.regexp_extract_all(inner_html(e), pattern, F.lit(1))))
     return found
 
 
+def select_all(html: Column, selector: str, *descendants: str) -> Column:
+    """All matching elements, in page order, as array<string> of outer HTML with depths."""
+    return let(tree(html), lambda page: select_marked(page, selector, *descendants))
+
+
 def select_first(html: Column, selector: str) -> Column:
-    """First matching element, '' if none."""
+    """First matching element of a marked page, '' if none."""
     return F.regexp_extract(html, element_pattern(selector), 1)
 
 
@@ -135,25 +210,47 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def unescape(c: Column) -> Column:
-    """Numeric references and a fixed list of named ones."""
+# References as HTML reads them: numbers, names with a semicolon, and old names also without one (the longest that fits).
+OLD_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+REFERENCE = rf"&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[a-zA-Z][a-zA-Z0-9]*+;|(?:{OLD_NAMES}))"
+# Numbers that stand for characters of an old code page.
+OLD_NUMBERS = {n: bytes([n]).decode("cp1252") for n in range(0x80, 0xA0) if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
+def _character(ref: Column) -> Column:
+    """What one reference stands for; an unknown name stays as it is."""
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    hexadecimal = F.regexp_extract(ref, r"\A&#[xX]0*([0-9a-fA-F]*)", 1)
+    decimal = F.regexp_extract(ref, r"\A&#0*([0-9]*)", 1)
+    number = F.when(ref.rlike(r"\A&#[xX]"), F.when(F.length(hexadecimal) > 6, 0x110000).otherwise(F.conv(F.concat(F.lit("0"), hexadecimal), 16, 10).cast("int"))
+                    ).otherwise(F.when(F.length(decimal) > 7, 0x110000).otherwise(F.concat(F.lit("0"), decimal).cast("int")))
+
+    def of_number(n: Column) -> Column:
+        old = F.lit(None)
+        for code, char in OLD_NUMBERS.items():
+            old = F.when(n == code, F.lit(char)).otherwise(old)
+        known = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        nothing = (n.between(1, 8) | n.between(0xE, 0x1F) | n.between(0x7F, 0x9F) | n.between(0xFDD0, 0xFDEF) | (n == 0xB)
+                   | ((n % 0x10000) >= 0xFFFE))
+        return F.when((n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), "\ufffd").when(old.isNotNull(), old).when(
+            n.isin(0x81, 0x8D, 0x8F, 0x90, 0x9D), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).when(nothing, "").otherwise(known)
 
-    def one(text: Column, code: Column) -> Column:
-        number = F.when(code.startswith("x") | code.startswith("X"),
-                        F.conv(F.substring(code, 2, 8), 16, 10)).otherwise(code).try_cast("int")
-        char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-        real = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
-        return F.when(real, F.replace(text, F.concat(F.lit("&#"), code, F.lit(";")), char)).otherwise(text)
+    def of_name(name: Column) -> Column:
+        old = F.regexp_extract(name, rf"\A(?:{OLD_NAMES})", 0)
+        return F.coalesce(F.try_element_at(names, name), F.concat(F.try_element_at(names, old), F.substr(name, F.length(old) + 1)), ref)
 
-    codes = F.lit("&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});")
+    return F.when(ref.startswith("&#"), let(number, of_number)).otherwise(let(F.substr(ref, F.lit(2)), of_name))
 
-    def all_of(v: Column) -> Column:
-        out = F.aggregate(F.array_distinct(F.regexp_extract_all(v, codes, F.lit(1))), v, one)
-        for name, char in ENTITIES:
-            out = F.replace(out, F.lit(name), F.lit(char))
-        return F.when(v.contains("&"), out).otherwise(v)
 
-    return let(c, all_of)
+def unescape(c: Column) -> Column:
+    """All references decoded, in one pass from left to right, so that nothing is decoded twice."""
+
+    def decoded(v: Column) -> Column:
+        references = F.transform(F.regexp_extract_all(v, F.lit(REFERENCE), F.lit(0)), _character)
+        between = F.split(v, REFERENCE, -1)
+        return F.array_join(F.zip_with(between, references, lambda text, char: F.concat(text, F.coalesce(char, F.lit("")))), "")
+
+    return let(c, lambda v: F.when(v.contains("&"), decoded(v)).otherwise(v))
 
 
 def text_of(fragment: Column) -> Column:
@@ -161,6 +258,11 @@ def text_of(fragment: Column) -> Column:
     return unescape(F.regexp_replace(fragment, TAG, ""))
 
 
+def node_text(fragment: Column) -> Column:
+    """Text content with every text between two tags stripped by itself."""
+    return F.array_join(F.transform(F.split(fragment, TAG, -1), lambda t: strip_text(unescape(t))), "")
+
+
 def clean_text_of(fragment: Column) -> Column:
     return clean_text(text_of(fragment))
 

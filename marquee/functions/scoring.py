@@ -33,7 +33,9 @@ def new_component(is_new_release: Column) -> Column:
 
 def rec_score(score: Column, votes: Column, screening_count: Column, is_new_release: Column,
               weights: dict[str, float] | None = None) -> Column:
-    """Weighted sum, two decimals. Missing weights take their default; no re-scaling."""
+    """Weighted sum, two decimals. Missing weights take their default, unknown names are refused; no re-scaling."""
+    if unknown := set(weights or {}) - set(DEFAULT_WEIGHTS):
+        raise ValueError(f"weights not known: {sorted(unknown)}; these are: {sorted(DEFAULT_WEIGHTS)}")
     w = {**DEFAULT_WEIGHTS, **(weights or {})}
     total = (
         F.lit(float(w["rating_score_weight"])) * rating_component(score)

@@ -6,22 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions import fixed_values as fv
-from marquee.functions.html import clean_text_of, select_all, select_first, text_of
+from marquee.functions.html import clean_text_of, node_text, select_first, select_marked, text_of
 from marquee.functions.text import (
     ascii_digits, clean_text, fill, first_token, join_names, lookup_query, missing_as_null, strip_text)
 
 
-# ---- parsing of a rating page (columns over its noise-free HTML)
+# ---- parsing of a rating page (columns over its marked HTML, see functions/html.py)
 
 def parse_rating(html: Column) -> tuple[Column, Column]:
     """(score, votes): 0 where the page has none or no number."""
-    score = strip_text(text_of(select_first(html, "strong.rating_num"))).try_cast("double")
-    digits = F.regexp_replace(ascii_digits(text_of(select_first(html, "span[property='v:votes']"))), r"\D", "")
+    score = node_text(select_first(html, "strong.rating_num")).try_cast("double")
+    digits = F.regexp_replace(ascii_digits(node_text(select_first(html, "span[property='v:votes']"))), r"\D", "")
     return F.coalesce(score, F.lit(0.0)), F.coalesce(digits.try_cast("long"), F.lit(0).cast("long"))
 
 
 def _texts(html: Column, selector: str) -> Column:
-    return F.transform(select_all(html, selector), lambda e: strip_text(text_of(e)))
+    return F.transform(select_marked(html, selector), node_text)
 
 
 def parse_people(html: Column, cast_shown: int = fv.CAST_SHOWN) -> tuple[Column, Column, Column]:
@@ -44,7 +44,7 @@ def parse_year_duration(html: Column) -> tuple[Column, Column]:
 def local_title(html: Column) -> Column:
     """First word of the reviewed item's name, else of the heading; NULL if neither exists."""
     item = select_first(html, "span[property='v:itemreviewed']")
-    heading = F.try_element_at(select_all(html, "h1", "span"), F.lit(1))
+    heading = F.try_element_at(select_marked(html, "h1", "span"), F.lit(1))
     return first_token(text_of(F.coalesce(missing_as_null(item), heading)))
 
 
@@ -68,7 +68,7 @@ def subject_columns(html: Column, reviews: int = fv.REVIEWS_KEPT) -> list[Column
     score, votes = parse_rating(html)
     director, cast, genre = parse_people(html)
     year, duration = parse_year_duration(html)
-    comments = F.transform(select_all(html, ".comment-item", ".short"), clean_text_of)
+    comments = F.transform(select_marked(html, ".comment-item", ".short"), clean_text_of)
     return [local_title(html).alias("title_cn"), director.alias("director"), cast.alias("cast"),
             genre.alias("genre"), year.alias("year"), duration.alias("duration"), score.alias("score"),
             votes.alias("votes"), top_reviews(comments, reviews).alias("reviews")]
@@ -77,8 +77,8 @@ def subject_columns(html: Column, reviews: int = fv.REVIEWS_KEPT) -> list[Column
 # ---- lookup
 
 def quick_rating(value: Column) -> Column:
-    """Rating of a suggestion; missing or not a number gives 0."""
-    return F.coalesce(value.try_cast("double"), F.lit(0.0))
+    """Rating of a suggestion: 0 if missing or empty, NULL (no new rating) if it is no number."""
+    return F.when(F.coalesce(value, F.lit("")) == "", F.lit(0.0)).otherwise(value.try_cast("double"))
 
 
 def thin_candidates(candidates: DataFrame) -> DataFrame:
@@ -122,8 +122,8 @@ def best_match(films: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
 def pick_best(hits: DataFrame, keys: list[str], lead: list[Column], year: Column) -> DataFrame:
     """First row per key by (lead, wrong type, wrong year, pos)."""
     wrong_type = F.when(F.col("type") == fv.WANTED_TYPE, 0).otherwise(1)
-    right_year = (year == 0) | F.contains(F.col("year"), year.cast("string"))
-    wrong_year = F.when(F.coalesce(right_year, F.lit(True)), 0).otherwise(1)
+    right_year = (F.coalesce(year, F.lit(0)) == 0) | F.contains(F.col("year"), year.cast("string"))
+    wrong_year = F.when(right_year, 0).otherwise(1)
     order = Window.partitionBy(*keys).orderBy(*lead, wrong_type, wrong_year, "pos")
     return hits.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
@@ -162,7 +162,8 @@ def enrich(films: DataFrame, matches: DataFrame, subjects: DataFrame, key: str)
         key, F.col("id").alias("rating_id"),
         F.when(F.col("has_rating"), quick_rating(F.col("rating"))).alias("m_score"))
     base = films.drop("rating_id")
-    joined = base.join(match, key, "left").join(page, "rating_id", "left")
+    # Matches meet their pages first: only matched films take part, so no NULL id gathers the others.
+    joined = base.join(match.join(page, "rating_id", "left"), key, "left")
     found = F.col("p_found")
     quick = F.coalesce("m_score", "score")
     rules = {c: (quick if c == "score" else F.col(c), F.col(f"p_{c}"), rule) for c, rule in PAGE_RULES.items()}

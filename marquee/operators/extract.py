@@ -1,7 +1,7 @@
 """Extraction of films and showings from captured pages.
 
-A page is parsed inside its row, so extraction needs no shuffle and reads the HTML once: the
-fallbacks for pages without films look at the same row's result instead of an anti join.
+A page is parsed inside its row, so extraction needs no shuffle and reads the HTML once, whatever the
+chain: the fallbacks for pages without films look at the same row's result instead of an anti join.
 The only shuffle merges equal titles of a page, on short rows.
 """
 
@@ -13,19 +13,22 @@ from pyspark.sql import functions as F
 from marquee.functions import fixed_values as fv
 from marquee.functions.dates import as_date, date_wanted, is_recent, parse_month_day
 from marquee.functions.html import (
-    clean_text_of, inner_html, let, poster_url, select_all, select_first, strip_noise, text_of)
+    clean_text_of, inner_html, let, node_text, poster_url, select_all, select_first, select_marked, text_of, tree)
 from marquee.functions.text import is_placeholder, parse_time_lenient, parse_time_strict
 
-PAGE_FILMS = "array<struct<title_jp:string,poster_url:string,showings:array<struct<show_date:date,start_time:string>>>>"
+PAGE_FILMS = ("array<struct<title_jp:string,poster_url:string,showings:array<struct<show_date:date,start_time:string>>,"
+              "is_new_release:boolean>>")
 
 
 # ---- parts usable on their own
 
 def explode_blocks(pages: DataFrame, selector: str, *descendants: str, html: str = "html") -> DataFrame:
-    """One row per matching element, with its position on the page; html is dropped."""
+    """One row per matching element, with its position on the page; html is dropped.
+
+    Blocks keep the marks that ``tree`` has made; ``without_marks`` removes them.
+    """
     keep = [c for c in pages.columns if c != html]
-    return pages.select(*keep, F.posexplode(select_all(strip_noise(F.col(html)), selector, *descendants))
-                        .alias("pos", "block"))
+    return pages.select(*keep, F.posexplode(select_all(F.col(html), selector, *descendants)).alias("pos", "block"))
 
 
 def block_title(block: Column, selector: str) -> Column:
@@ -42,8 +45,8 @@ def block_titles(blocks: DataFrame, selector: str, min_length: int = 1) -> DataF
 def row_cells(block: Column, table: str | None, row: str = "tr", cell: str = "td") -> Column:
     """Cells (outer HTML) of each table row with at least two of them."""
     inner = inner_html(block)
-    rows = select_all(inner, table, row) if table else select_all(inner, row)
-    cells = F.transform(rows, lambda r: select_all(inner_html(r), cell))
+    rows = select_marked(inner, table, row) if table else select_marked(inner, row)
+    cells = F.transform(rows, lambda r: select_marked(inner_html(r), cell))
     return F.filter(cells, lambda c: F.size(c) >= 2)
 
 
@@ -51,7 +54,7 @@ def table_showings(block: Column, table: str | None, as_of, dates=None) -> Colum
     """Showings of a table: first cell is the date, every further cell one time."""
 
     def of_row(cells: Column) -> Column:
-        day = parse_month_day(text_of(F.element_at(cells, 1)), as_of)
+        day = parse_month_day(node_text(F.element_at(cells, 1)), as_of)
         times = F.transform(F.slice(cells, F.lit(2), F.size(cells)), clean_text_of)
         shown = F.filter(times, lambda t: ~is_placeholder(t))
         return let(day, lambda d: F.transform(shown, lambda t: F.struct(
@@ -64,18 +67,18 @@ def table_showings(block: Column, table: str | None, as_of, dates=None) -> Colum
 
 
 def anchor_titles(html: Column, parts: tuple[str, ...], min_length: int = 1) -> Column:
-    """Distinct texts of anchors whose link contains one of ``parts``, in page order."""
-    anchors = select_all(html, ", ".join(f"a[href*='{p}']" for p in parts))
+    """Distinct texts of anchors of a marked page whose link contains one of ``parts``, in page order."""
+    anchors = select_marked(html, ", ".join(f"a[href*='{p}']" for p in parts))
     titles = F.transform(anchors, clean_text_of)
     return F.array_distinct(F.filter(titles, lambda t: F.length(t) >= min_length))
 
 
 def generic_titles(html: Column, selectors=fv.GENERIC_TITLE_SELECTORS, cap: int = fv.GENERIC_TITLE_CAP,
                    min_length: int = 3, plain_length: int = 6) -> Column:
-    """Titles under the first selector that gives any; short ones need a kana or Han character."""
+    """Titles of a marked page under the first selector that gives any; short ones need a kana or Han character."""
 
     def accepted(selector: str) -> Column:
-        texts = F.transform(select_all(html, selector), clean_text_of)
+        texts = F.transform(select_marked(html, selector), clean_text_of)
         return F.array_distinct(F.filter(
             texts, lambda t: (F.length(t) >= min_length)
             & (t.rlike(fv.KANA_OR_HAN) | (F.length(t) >= plain_length))))
@@ -96,9 +99,9 @@ def selector_profile(base_url: Column, keywords=tuple(fv.SELECTOR_PROFILES)) ->
 def filter_dates(showings: DataFrame, dates) -> DataFrame:
     """Drop showings whose known date is not in ``dates``: a list, or a DataFrame with show_date."""
     if isinstance(dates, DataFrame):
-        wanted = dates.select("show_date").distinct()
-        return (showings.filter(F.col("show_date").isNull())
-                .unionByName(showings.join(wanted, "show_date", "left_semi").select(*showings.columns)))
+        wanted = dates.select("show_date").distinct().withColumn("_wanted", F.lit(True))
+        return (showings.join(wanted, "show_date", "left").filter("_wanted or show_date is null")
+                .select(*showings.columns))
     return showings.filter(date_wanted(F.col("show_date"), dates))
 
 
@@ -106,87 +109,92 @@ def drop_placeholders(showings: DataFrame, column: str = "start_time") -> DataFr
     return showings.filter(~is_placeholder(F.col(column)))
 
 
-# ---- whole pages
+# ---- whole pages: expressions over a marked page, and the tables they give
 
-def _films(pages: DataFrame, film: Column, fallback: Column | None) -> DataFrame:
-    """Turn the page's array of films into rows; pages without films use the fallback titles."""
-    page = pages.withColumn("films", film.cast(PAGE_FILMS))
-    if fallback is not None:
-        bare = F.transform(fallback, lambda t: F.struct(
-            t.alias("title_jp"), F.lit("").alias("poster_url"), F.lit(None).alias("showings"))).cast(PAGE_FILMS)
-        page = page.withColumn("films", F.when(F.size("films") > 0, F.col("films")).otherwise(bare))
-    kept = [c for c in pages.columns if c not in ("html", "blocks", "profile")]
-    # outer, so that Spark does not infer (and compute) a size filter on the parsed array
-    rows = page.select(*kept, F.posexplode_outer("films").alias("pos", "film"))
-    return rows.filter(F.col("film").isNotNull()).select(*kept, "pos", "film.*")
+def _bare(titles: Column) -> Column:
+    """Films of which only the title is known."""
+    return F.transform(titles, lambda t: F.struct(
+        t.alias("title_jp"), F.lit("").alias("poster_url"), F.lit(None).alias("showings"),
+        F.lit(False).alias("is_new_release"))).cast(PAGE_FILMS)
 
 
-def _with_blocks(pages: DataFrame, blocks) -> DataFrame:
-    clean = pages.withColumn("html", strip_noise(F.coalesce("html", F.lit(""))))
-    return clean.withColumn("blocks", blocks(F.col("html")))
+def _films_or(films: Column, wanted, fallback: Column) -> Column:
+    """The wanted films, the fallback titles if there are none."""
+    return let(F.filter(films.cast(PAGE_FILMS), wanted), lambda f: F.when(F.size(f) > 0, f).otherwise(_bare(fallback)))
 
 
-def extract_chain_a(pages: DataFrame, as_of, dates=None) -> DataFrame:
-    """Film blocks of chain A pages: tables of dates and times."""
-    blocks = _with_blocks(pages, lambda h: select_all(h, fv.CHAIN_A_BLOCK))
-    films = F.transform("blocks", lambda b: F.struct(
-        block_title(b, fv.CHAIN_A_TITLE).alias("title_jp"),
-        poster_url(inner_html(b), F.col("base_url"), join_links=False).alias("poster_url"),
-        table_showings(b, fv.CHAIN_A_TABLE, as_of, dates).alias("showings")))
-    kept = F.filter(films, lambda f: (f["title_jp"] != "") & (F.size(f["showings"]) > 0))
-    rows = _films(blocks, kept, anchor_titles(F.col("html"), fv.CHAIN_A_ANCHORS))
-    first_day = F.try_element_at("showings", F.lit(1))["show_date"]
-    return rows.withColumn("is_new_release", F.when(F.col("showings").isNull(), False).otherwise(
-        is_recent(first_day, as_of)))
+def _film(block: Column, title: str, base: Column, join_links: bool, showings: Column, is_new) -> Column:
+    return let(showings, lambda s: F.struct(
+        block_title(block, title).alias("title_jp"),
+        poster_url(inner_html(block), base, join_links=join_links).alias("poster_url"),
+        s.alias("showings"), is_new(s).alias("is_new_release")))
 
 
-def extract_chain_b(pages: DataFrame, as_of) -> DataFrame:
-    """Film blocks of chain B pages: times of the day of capture."""
-    blocks = _with_blocks(pages, lambda h: select_all(h, fv.CHAIN_B_BLOCK))
+def _titled_and_shown(f: Column) -> Column:
+    return (f["title_jp"] != "") & (F.size(f["showings"]) > 0)
 
-    def showings(b: Column) -> Column:
-        times = F.transform(select_all(inner_html(b), fv.CHAIN_B_TIME), lambda e: parse_time_lenient(text_of(e)))
-        return F.transform(F.filter(times, lambda t: t != ""), lambda t: F.struct(
-            as_date(as_of).alias("show_date"), t.alias("start_time")))
 
-    films = F.transform("blocks", lambda b: F.struct(
-        block_title(b, fv.CHAIN_B_TITLE).alias("title_jp"),
-        poster_url(inner_html(b), F.col("base_url"), join_links=False).alias("poster_url"),
-        showings(b).alias("showings")))
-    kept = F.filter(films, lambda f: (f["title_jp"] != "") & (F.size(f["showings"]) > 0))
-    rows = _films(blocks, kept, anchor_titles(F.col("html"), fv.CHAIN_B_ANCHORS, min_length=2))
-    # titles that come from plain links are not marked as new
-    return rows.withColumn("is_new_release", F.col("showings").isNotNull())
+def chain_a_films(html: Column, base: Column, as_of, dates=None) -> Column:
+    """Film blocks of a chain A page: tables of dates and times."""
+    films = F.transform(select_marked(html, fv.CHAIN_A_BLOCK), lambda b: _film(
+        b, fv.CHAIN_A_TITLE, base, False, table_showings(b, fv.CHAIN_A_TABLE, as_of, dates),
+        lambda s: is_recent(F.try_element_at(s, F.lit(1))["show_date"], as_of)))
+    return _films_or(films, _titled_and_shown, anchor_titles(html, fv.CHAIN_A_ANCHORS))
 
 
-def extract_independent(pages: DataFrame, as_of, profiles: dict | None = None,
-                        generic: dict | None = None) -> DataFrame:
-    """Film blocks of independent theatres by the selector profile of their address."""
+def _times(elements: Column, parse, as_of) -> Column:
+    """Showings of the day of capture."""
+    times = F.filter(F.transform(elements, parse), lambda t: t != "")
+    return F.transform(times, lambda t: F.struct(as_date(as_of).alias("show_date"), t.alias("start_time")))
+
+
+def chain_b_films(html: Column, base: Column, as_of) -> Column:
+    """Film blocks of a chain B page. Titles that come from plain links are not marked as new."""
+    films = F.transform(select_marked(html, fv.CHAIN_B_BLOCK), lambda b: _film(
+        b, fv.CHAIN_B_TITLE, base, False,
+        _times(select_marked(inner_html(b), fv.CHAIN_B_TIME), lambda e: parse_time_lenient(text_of(e)), as_of),
+        lambda s: F.lit(True)))
+    return _films_or(films, _titled_and_shown, anchor_titles(html, fv.CHAIN_B_ANCHORS, min_length=2))
+
+
+def independent_films(html: Column, base: Column, as_of, profiles: dict | None = None,
+                      generic: dict | None = None) -> Column:
+    """Film blocks of an independent theatre's page by the selector profile of its address."""
     profiles = fv.SELECTOR_PROFILES if profiles is None else profiles
     every = {**profiles, "generic": fv.GENERIC_PROFILE if generic is None else generic}
 
-    def by_profile(expression) -> Column:
-        chosen = None
-        for name, selectors in every.items():
-            value = expression(selectors)
-            condition = F.col("profile") == name
-            chosen = F.when(condition, value) if chosen is None else chosen.when(condition, value)
-        return chosen
-
-    def showings(b: Column, selector: str) -> Column:
-        times = F.transform(select_all(inner_html(b), selector), lambda e: parse_time_strict(clean_text_of(e)))
-        return F.transform(F.filter(times, lambda t: t != ""), lambda t: F.struct(
-            as_date(as_of).alias("show_date"), t.alias("start_time")))
-
-    named = pages.withColumn("profile", selector_profile(F.col("base_url"), tuple(profiles)))
-    blocks = _with_blocks(named, lambda h: by_profile(lambda s: select_all(h, s["block"])))
-    films = by_profile(lambda s: F.transform("blocks", lambda b: F.struct(
-        block_title(b, s["title"]).alias("title_jp"),
-        poster_url(inner_html(b), F.col("base_url"), join_links=True).alias("poster_url"),
-        showings(b, s["time"]).alias("showings"))))
-    kept = F.filter(films, lambda f: F.length(f["title_jp"]) >= 2)
-    rows = _films(blocks, kept, generic_titles(F.col("html")))
-    return rows.withColumn("is_new_release", F.lit(False))
+    def found(s: dict) -> Column:
+        return F.transform(select_marked(html, s["block"]), lambda b: _film(
+            b, s["title"], base, True,
+            _times(select_marked(inner_html(b), s["time"]), lambda e: parse_time_strict(clean_text_of(e)), as_of),
+            lambda x: F.lit(False)))
+
+    profile, films = selector_profile(base, tuple(profiles)), None
+    for name, selectors in every.items():
+        films = F.when(profile == name, found(selectors)) if films is None else films.when(profile == name, found(selectors))
+    return _films_or(films, lambda f: F.length(f["title_jp"]) >= 2, generic_titles(html))
+
+
+def extract_pages(pages: DataFrame, films) -> DataFrame:
+    """Rows of the films that ``films(html, base_url)`` finds on each page; html is dropped."""
+    marked = pages.withColumn("html", tree(F.coalesce("html", F.lit(""))))
+    kept = [c for c in pages.columns if c != "html"]
+    # outer, so that Spark does not infer (and compute) a size filter on the parsed array
+    rows = marked.select(*kept, F.posexplode_outer(films(F.col("html"), F.col("base_url"))).alias("pos", "film"))
+    return rows.filter(F.col("film").isNotNull()).select(*kept, "pos", "film.*")
+
+
+def extract_chain_a(pages: DataFrame, as_of, dates=None) -> DataFrame:
+    return extract_pages(pages, lambda html, base: chain_a_films(html, base, as_of, dates))
+
+
+def extract_chain_b(pages: DataFrame, as_of) -> DataFrame:
+    return extract_pages(pages, lambda html, base: chain_b_films(html, base, as_of))
+
+
+def extract_independent(pages: DataFrame, as_of, profiles: dict | None = None,
+                        generic: dict | None = None) -> DataFrame:
+    return extract_pages(pages, lambda html, base: independent_films(html, base, as_of, profiles, generic))
 
 
 def page_movies(page_films: DataFrame, keys: list[str]) -> DataFrame:

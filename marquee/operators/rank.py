@@ -28,7 +28,7 @@ def rank_all(films: DataFrame, block: int = BLOCK, keys: list[str] | None = None
     score, plus its place in its block. Blocks are (score, source, range of positions), so even
     a score shared by a third of all films is numbered in bounded pieces. Counts are hash
     aggregates; the running sum over scores sees one row per distinct score, which two decimals
-    keep to some thousands. ``films`` is read twice: stage it first when it is costly.
+    keep to some thousands. Unknown scores and positions rank as any other value (NULL scores last). ``films`` is read twice: stage it first when it is costly.
     """
     keys = keys or []
     cell = films.withColumn("_s", F.col("first_seen.sched_ord")).withColumn(
@@ -39,13 +39,20 @@ def rank_all(films: DataFrame, block: int = BLOCK, keys: list[str] | None = None
     scores = blocks.groupBy(*keys, "rec_score").agg(F.sum("_n").alias("_t"))
     better = Window.partitionBy(*keys).orderBy(F.desc("rec_score")).rowsBetween(Window.unboundedPreceding, -1)
     scores = scores.withColumn("_above", F.coalesce(F.sum("_t").over(better), F.lit(0))).drop("_t")
-    offsets = blocks.drop("_n").join(scores, [*keys, "rec_score"])
+    offsets = _join_known(blocks.drop("_n"), scores, [*keys, "rec_score"])
     place = Window.partitionBy(*keys, "rec_score", "_s", "_b").orderBy("first_seen.pos")
-    return (cell.join(offsets, [*keys, "rec_score", "_s", "_b"])
+    return (_join_known(cell, offsets, [*keys, "rec_score", "_s", "_b"])
             .withColumn("rank", F.col("_above") + F.col("_before") + F.row_number().over(place))
             .drop("_s", "_b", "_before", "_above"))
 
 
+def _join_known(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys that may be NULL on both sides."""
+    named = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = [left[k].eqNullSafe(named[f"_k_{k}"]) for k in keys]
+    return left.join(named, same).drop(*[f"_k_{k}" for k in keys])
+
+
 def top_n(films: DataFrame, n: int = 10) -> DataFrame:
     """The first n of the ranking with their rank; the full set is never sorted."""
     head = films.orderBy(*rank_order(films)).limit(n)

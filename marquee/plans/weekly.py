@@ -5,7 +5,6 @@ Film and showing tables carry ``issue_number``: one issue is one capture of all
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,7 @@ from marquee.functions import fixed_values as fv
 from marquee.functions.dates import week_start
 from marquee.operators.enrich import best_match, enrich
 from marquee.operators.extract import (
-    extract_chain_a, extract_chain_b, extract_independent, page_movies, page_screenings, union_sources)
+    chain_a_films, chain_b_films, extract_pages, independent_films, page_movies, page_screenings)
 from marquee.operators.merge import film_stats, merge_titles, with_stats
 from marquee.operators.rank import with_score
 from marquee.operators.report import ReportOptions, issue_document, issue_parts
@@ -39,26 +38,26 @@ def stage(df: DataFrame, name: str, folder: str | None) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def stage_folder(spark: SparkSession) -> str:
+def stage_folder(spark: SparkSession) -> str | None:
     """A new folder for one run below the shared folder the session names in spark.checkpoint.dir.
 
-    Only a local session may go without that setting; it then gets a temporary folder.
+    Without that setting there is none, and plans stay one lineage.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="stage-")
-    return f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}"
+    return f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}" if shared else None
 
 
 def extract_all(pages: DataFrame, as_of, profiles: dict | None = None, generic: dict | None = None) -> DataFrame:
-    """Film rows of all pages (source, sched_ord, theater_name, base_url, html), in chain order."""
-    own = pages.filter(~F.col("source").isin(fv.CHAIN_A_SOURCE, fv.CHAIN_B_SOURCE))
-    return union_sources(
-        extract_chain_a(pages.filter(F.col("source") == fv.CHAIN_A_SOURCE), as_of),
-        extract_chain_b(pages.filter(F.col("source") == fv.CHAIN_B_SOURCE), as_of),
-        extract_independent(own, as_of, profiles, generic))
+    """Film rows of all pages (source, sched_ord, theater_name, base_url, html); sched_ord carries the chains' order.
+
+    Each page is read once, by the rules of its own chain.
+    """
+    def films(html, base):
+        return (F.when(F.col("source") == fv.CHAIN_A_SOURCE, chain_a_films(html, base, as_of))
+                .when(F.col("source") == fv.CHAIN_B_SOURCE, chain_b_films(html, base, as_of))
+                .otherwise(independent_films(html, base, as_of, profiles, generic)))
+
+    return extract_pages(pages, films)
 
 
 def raw_tables(page_films: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -16,9 +16,11 @@ from marquee.functions.archive_text import issue_of_name
 FILES, ISSUES = "files", "issues"
 
 
-def write_issues(parts: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_issues(parts: DataFrame, path: str) -> None:
     """Write document parts (file_name, part_key, text) as one folder per issue.
 
+    Issues written again replace their old folder; all others stay.
+
     The name is made non-nullable so that Spark keeps this sort for the partitioned write and
     adds none of its own, which would not keep the order of the parts.
     """
@@ -26,7 +28,7 @@ def write_issues(parts: DataFrame, path: str, mode: str = "errorifexists") -> No
     (named.repartitionByRange("file_name", "part_key")
      .sortWithinPartitions("file_name", "part_key")
      .select("file_name", "text")
-     .write.partitionBy("file_name").mode(mode).text(path))
+     .write.partitionBy("file_name").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(path))
 
 
 def _names(df: DataFrame, layout: str) -> DataFrame:
@@ -53,12 +55,20 @@ def scan_archive(spark: SparkSession, path: str, layout: str = ISSUES) -> DataFr
             .orderBy(F.desc("mtime"), "file_name"))
 
 
-def read_archive(spark: SparkSession, path: str, wanted: DataFrame, layout: str = ISSUES) -> DataFrame:
-    """Whole text of each wanted file_name; '' when there is no such report."""
+def read_archive(spark: SparkSession, path: str, wanted: DataFrame | list[str], layout: str = ISSUES) -> DataFrame:
+    """Whole text of each wanted file_name; '' when there is no such report.
+
+    A list of names becomes a filter, so only their folders are read. A table of names is joined.
+    """
+    names = None
+    if not isinstance(wanted, DataFrame):
+        names, wanted = wanted, spark.createDataFrame([(n,) for n in wanted], "file_name string")
     reader = spark.read
     if layout == FILES:
         reader = reader.option("pathGlobFilter", fv.ARCHIVE_GLOB)
     pieces = _names(reader.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path")), layout)
+    if names is not None:
+        pieces = pieces.filter(F.col("file_name").isin(*names))
     texts = (pieces.join(wanted.select("file_name").distinct(), "file_name", "left_semi")
              .groupBy("file_name")
              .agg(F.array_sort(F.collect_list(F.struct("path", "value"))).alias("p"))
@@ -67,5 +77,5 @@ def read_archive(spark: SparkSession, path: str, wanted: DataFrame, layout: str
 
 
 def next_issue(names: DataFrame) -> DataFrame:
-    """One row: the highest issue number among file_name, plus one; 1 for an empty archive."""
-    return names.agg((F.coalesce(F.max(issue_of_name(F.col("file_name"))), F.lit(0)) + 1).alias("next_issue"))
+    """One row: the highest issue number among the reports' file_name, plus one; 1 for an empty archive."""
+    return names.filter(F.col("file_name").rlike(r"(?s)\Abriefing_.*\.md\z")).agg((F.coalesce(F.max(issue_of_name(F.col("file_name"))), F.lit(0)) + 1).alias("next_issue"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.functions.html import strip_noise
+from marquee.functions import fixed_values as fv
+from marquee.functions.html import tree
 from marquee.operators.enrich import subject_columns
 
 SUBJECT_ID = r"/subject/(\d+)/"
@@ -14,12 +15,13 @@ SUBJECT_ID = r"/subject/(\d+)/"
 def scan_pages(theaters: DataFrame, pages: DataFrame) -> DataFrame:
     """One row per theatre and captured page; a theatre without a page has NULL page_id and html.
 
-    The inner join comes first: it cuts the large page table by the small theatre table, and
-    Spark broadcasts the theatres when they are measured to be small. Only the pages found take
-    part in the outer join, in which the preserved side could not be broadcast.
+    Pages are joined with the small theatre table once, which Spark broadcasts when it is measured
+    to be small; the HTML is not shuffled then. Theatres without a page come from a join on addresses alone.
     """
-    found = pages.join(theaters.select(F.col("schedule_url").alias("url")).distinct(), "url")
-    return theaters.join(found.withColumnRenamed("url", "schedule_url"), "schedule_url", "left")
+    addresses = pages.select(F.col("url").alias("schedule_url")).join(
+        theaters.select("schedule_url").distinct(), "schedule_url", "left_semi").distinct()
+    found = pages.withColumnRenamed("url", "schedule_url").join(theaters, "schedule_url")
+    return found.unionByName(theaters.join(addresses, "schedule_url", "left_anti"), allowMissingColumns=True)
 
 
 def subject_pages(pages: DataFrame) -> DataFrame:
@@ -29,15 +31,15 @@ def subject_pages(pages: DataFrame) -> DataFrame:
             .filter(F.col("id") != ""))
 
 
-def scan_subjects(pages: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+def scan_subjects(pages: DataFrame, wanted: DataFrame | None = None, reviews: int = fv.REVIEWS_KEPT) -> DataFrame:
     """Parsed rating pages, one row per id (the first capture by page_id).
 
-    ``wanted`` (column id) limits the pages parsed. The HTML is parsed before the shuffle, so
+    ``wanted`` (column id) limits the pages parsed, ``reviews`` the reviews kept of each. The HTML is parsed before the shuffle, so
     only the short fields move.
     """
     hits = subject_pages(pages)
     if wanted is not None:
         hits = hits.join(wanted.select("id").distinct(), "id", "left_semi")
-    parsed = (hits.withColumn("html", strip_noise("html"))
-              .select("id", "page_id", F.struct(*subject_columns(F.col("html"))).alias("s")))
+    parsed = (hits.withColumn("html", tree(F.coalesce("html", F.lit(""))))
+              .select("id", "page_id", F.struct(*subject_columns(F.col("html"), reviews)).alias("s")))
     return parsed.groupBy("id").agg(F.min_by("s", "page_id").alias("s")).select("id", "s.*")

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from marquee.functions import fixed_values as fv
 from marquee.functions.html import resolve_url
-from marquee.functions.text import fill, or_default
+from marquee.functions.text import fill
 
-# Chains keep their order; a chain has room for this many theatres.
-CHAIN_STRIDE = 100_000_000
+# Chains keep their order; a chain has room for this many theatres (ord is an int).
+CHAIN_STRIDE = 1 << 32
 LOCATION_SCHEMA = "ord int, theater_id string, theater_name string, base_url string, schedule_path string"
 
 
@@ -18,7 +18,7 @@ def _theaters(locations: DataFrame, source: str, chain_no: int, base: Column, ur
               enabled: Column) -> DataFrame:
     return locations.filter(enabled).select(
         F.lit(source).alias("source"),
-        (F.lit(chain_no * CHAIN_STRIDE) + F.col("ord")).cast("int").alias("sched_ord"),
+        (F.lit(chain_no * CHAIN_STRIDE).cast("long") + F.col("ord")).alias("sched_ord"),
         F.coalesce(F.col("theater_id"), F.lit("")).alias("theater_id"),
         "theater_name",
         base.alias("base_url"),
@@ -35,8 +35,8 @@ def chain_theaters(locations: DataFrame, source: str, chain_no: int, base_url: s
 
 def independent_theaters(locations: DataFrame, source: str, chain_no: int,
                          enabled: Column | bool = True) -> DataFrame:
-    """Theatres with their own site; the schedule path is resolved against it ('/' if none)."""
-    url = resolve_url(F.col("base_url"), or_default(F.col("schedule_path"), "/"))
+    """Theatres with their own site; the schedule path is resolved against it ('/' if none is given)."""
+    url = resolve_url(F.col("base_url"), F.coalesce("schedule_path", F.lit("/")))
     return _theaters(locations, source, chain_no, F.col("base_url"), url, _as_column(enabled))
 
 

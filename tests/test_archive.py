@@ -24,7 +24,8 @@ def test_issue_filename(spark):
 
 
 def test_next_issue(spark):
-    names = spark.createDataFrame([("briefing_009_2026-01-01.md",), ("briefing_010_x.md",), ("step99_2026-01-01.md",)], "file_name string")
+    names = spark.createDataFrame([("briefing_009_2026-01-01.md",), ("briefing_010_x.md",), ("step99_2026-01-01.md",),
+                                   ("old_briefing_050_x.md",), ("briefing_060_x.txt",)], "file_name string")
     assert S.next_issue(names).first()[0] == 11
     assert S.next_issue(names.limit(0)).first()[0] == 1
 
@@ -77,6 +78,28 @@ def test_issue_written_by_many_tasks_reads_back_in_order(spark, tmp_path, many_f
     assert sizes == {n: round(len(t) / 1024, 1) for n, t in expected.items()}
 
 
+def test_an_issue_can_be_added_and_written_again(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    one, two = "briefing_001_2026-04-13.md", "briefing_002_2026-04-20.md"
+
+    def write(name, *lines):
+        rows = [(name, i, line) for i, line in enumerate(lines)]
+        S.write_issues(spark.createDataFrame(rows, "file_name string, part_key int, text string"), path)
+
+    write(one, "first", "issue")
+    write(two, "second", "with", "a", "mistake")
+    write(two, "second")
+    texts = {r.file_name: r.text for r in S.read_archive(spark, path, [one, two, "briefing_404_2026-04-13.md"]).collect()}
+    assert texts == {one: "first\nissue\n", two: "second\n", "briefing_404_2026-04-13.md": ""}
+
+
+def test_a_list_of_names_prunes_to_their_folders(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    S.write_issues(spark.createDataFrame([(f"briefing_{i:03d}_2026-04-13.md", 0, "x") for i in range(5)], "file_name string, part_key int, text string"), path)
+    plan = S.read_archive(spark, path, ["briefing_003_2026-04-13.md"])._jdf.queryExecution().executedPlan().toString()
+    assert "(file_name#" in plan.split("PartitionFilters: [")[1].split("]")[0] and "briefing_003" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_catalogue_of_plain_files(spark, tmp_path):
     for i, name in enumerate(["briefing_001_2026-04-13.md", "step1_2026-04-13.md", "notes.md", "briefing_x.md", "briefing_2.txt"]):
         (tmp_path / name).write_text("x" * (i + 1) * 600, encoding="utf-8")
@@ -113,6 +136,8 @@ def test_theater_dim(spark):
         ("TOHO", "A", "https://hlo.tohotheater.jp/net/movie/076/schedule/list.do"),
         ("TOHO", "B", "https://hlo.tohotheater.jp/net/movie/036/schedule/list.do"),
         ("独立影院", "D", "https://d.jp/schedule/"), ("独立影院", "E", "https://e.jp/")]
+    config["independent"]["locations"][1]["schedule_path"] = ""
+    assert [r.schedule_url for r in theater_dim(spark, config).filter("theater_name = 'E'").collect()] == ["https://e.jp/x/"]
     config["united"].update(enabled=True, base_url="https://u.jp")
     assert [r.schedule_url for r in theater_dim(spark, config).filter("source = 'United'").collect()] == ["https://u.jp/toyosu/daily.php"]
     assert theater_dim(spark, {}).count() == 0

@@ -32,7 +32,7 @@ def test_suggestions(spark):
 
 
 def test_quick_rating(values):
-    assert values(E.quick_rating, ["8.0", "", None, "n/a", "7"]) == [8.0, 0.0, 0.0, 0.0, 7.0]
+    assert values(E.quick_rating, ["8.0", "", None, "n/a", "7"]) == [8.0, 0.0, 0.0, None, 7.0]
 
 
 def test_subject_page_fields(spark):
@@ -46,6 +46,7 @@ def test_subject_page_fields(spark):
         "利益区域", "D1 / D2", "0 / 1 / 2 / 3 / 4", "G", 2023, 105, 8.3, 180000)
     assert one.reviews == ["r0", "r1", "r2", "s0", "s1"]
     assert (got["7"].title_cn, got["7"].director, got["7"].year, got["7"].score, got["7"].votes, got["7"].reviews) == ("标题", "", 0, 0.0, 0, [])
+    assert {r.id: r for r in scan_subjects(pages, reviews=7).collect()}["1"].reviews == ["r0", "r1", "r2", "s0", "s1", "s2", "s3"]
     wanted = spark.createDataFrame([("7",), ("7",)], "id string")
     assert [r.id for r in scan_subjects(pages, wanted).collect()] == ["7"]
 
@@ -73,6 +74,12 @@ def test_best_match_against_brute_force(spark):
     assert got == expected and len(got) < len(films)
 
 
+def test_only_a_missing_film_year_is_free(spark):
+    hits = spark.createDataFrame([("a", 0, "movie", None, 2000), ("a", 1, "movie", "2000", 2000), ("b", 0, "movie", None, None), ("b", 1, "movie", "1", None)],
+                                 "k string, pos int, type string, year string, film_year int")
+    assert sorted((r.k, r.pos) for r in E.pick_best(hits, ["k"], [], F.col("film_year")).collect()) == [("a", 1), ("b", 0)]
+
+
 def test_two_stage_lookup_returns_only_the_first_attempt_with_rows(spark):
     films = spark.createDataFrame([("a", "x", 2000), ("b", "x", 0), ("c", "y", 2000)], "title_key string, title_jp string, year int")
     c = spark.createDataFrame([("x 2000", 0, "1", "tv", "", True, ""), ("x", 0, "2", "tv", "", True, ""), ("y", 0, "3", "", "", True, "")], CANDIDATE)
@@ -82,9 +89,9 @@ def test_two_stage_lookup_returns_only_the_first_attempt_with_rows(spark):
 
 def test_overlay_rules(spark):
     old = ("old", "olddir", "oldcast", "oldgenre", 1990, 90, 5.0, 7, "oldurl", ["oldreview"])
-    films = film(spark, *[(k, k, *old) for k in ("nomatch", "emptyid", "nopage", "full", "bare")])
+    films = film(spark, *[(k, k, *old) for k in ("nomatch", "emptyid", "nopage", "full", "bare", "badrating")])
     matches = spark.createDataFrame([
-        ("emptyid", "", True, "9"), ("nopage", "1", True, "6.5"), ("full", "2", True, "6.5"), ("bare", "3", True, None)],
+        ("emptyid", "", True, "9"), ("nopage", "1", True, "6.5"), ("full", "2", True, "6.5"), ("bare", "3", True, None), ("badrating", "9", True, "n/a")],
         "title_key string, id string, has_rating boolean, rating string")
     subjects = spark.createDataFrame([
         ("2", "新", "", "c", "g", 2001, 100, 8.0, 9, ["r"]), ("3", None, "d", "", "", 0, 0, 0.0, 0, [])],
@@ -100,6 +107,7 @@ def test_overlay_rules(spark):
     assert fields("nopage") == ("old", "olddir", "oldcast", "oldgenre", 1990, 90, 6.5, 7, url.format(1), ["oldreview"])
     assert fields("full") == ("新", "", "c", "g", 2001, 100, 8.0, 9, url.format(2), ["r"])
     assert fields("bare") == ("old", "d", "", "", 1990, 90, 0.0, 0, url.format(3), [])
+    assert fields("badrating")[6] == 5.0 and got["badrating"].rating_id == "9"
     assert [got[k].rating_id for k in ("nomatch", "emptyid", "nopage")] == ["", "", "1"]
 
 
@@ -119,3 +127,13 @@ def test_scan_pages_keeps_theatres_without_page(spark):
     pages = spark.createDataFrame([(1, "u1", "<p>"), (2, "u3", "<p>")], "page_id long, url string, html string")
     got = scan_pages(theaters, pages).orderBy("theater_name").collect()
     assert [(r.theater_name, r.page_id) for r in got] == [("A", 1), ("B", None), ("C", 1)]
+
+
+def test_scan_pages_never_shuffles_html(spark):
+    theaters = spark.range(50).selectExpr("concat('https://t/', id) as schedule_url", "concat('T', id) as theater_name")
+    plan = scan_pages(theaters, spark.read.parquet("/root/testdata/sf0.01/pages.parquet").selectExpr("page_id", "url", "html"))._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    scans = [x for x in plan.split("\n\n") if "ReadSchema" in x]
+    assert sum("html" in x for x in scans) == 1
+    shuffled = [x for x in plan.split("\n\n") if x.split(") ", 1)[-1].startswith("Exchange")]
+    assert not any("html" in x for x in shuffled)

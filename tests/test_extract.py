@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from marquee.functions.html import strip_noise
+from marquee.functions.html import tree
 from marquee.operators import extract as X
 
 AS_OF = "2026-04-13"
@@ -33,6 +33,23 @@ def test_chain_a(spark):
         (0, "映画C", "", None, [(None, "9:00")])]
 
 
+def test_dates_split_over_tags_are_read(spark):
+    page = CHAIN_A.replace("4/1(水)", "<span>4</span> / <span> 1 </span>(水)")
+    assert films(X.extract_chain_a(pages(spark, page), AS_OF))[0][4][0] == ("2026-04-01", "10:00")
+
+
+def test_one_pass_over_all_chains(spark):
+    from marquee.plans.weekly import extract_all
+
+    b = '<div class="programBox"><h2>映画B</h2><time>13:20</time></div>'
+    own = "<table><tr><td>映画K</td><td>10:30</td></tr></table><tr><td>outside</td><td>9:00</td></tr>"
+    rows = [("TOHO", 0, "a", "https://a.jp", CHAIN_A), ("United", 1, "b", "https://b.jp", b), ("独立影院", 2, "c", "https://www.ks-cinema.com", own)]
+    df = extract_all(spark.createDataFrame(rows, "source string, sched_ord long, theater_name string, base_url string, html string"), AS_OF)
+    assert [(t, len(s)) for _, t, _, _, s in films(df)] == [("映画A", 2), ("映画C", 1), ("映画B", 1), ("映画K", 1)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1 and "Exchange" not in plan
+
+
 def test_chain_a_date_list_keeps_unknown_dates(spark):
     got = films(X.extract_chain_a(pages(spark, CHAIN_A), AS_OF, ["2026-04-13"]))
     assert [(t, s) for _, t, _, _, s in got] == [("映画A", [("2026-04-13", "満席")]), ("映画C", [(None, "9:00")])]
@@ -78,7 +95,7 @@ def test_generic_titles(values):
     many = "".join(f"<h2>映画その{i}</h2>" for i in range(25))
     cases = [many, "<h2>abc</h2><h2>かなだ</h2><h2>abcdef</h2><h2>かなだ</h2>", "<h2>abc</h2><h3>映画です</h3>",
              "<h2>映画です</h2><h1 class='title'>第一候補</h1>", "<p>none</p>"]
-    got = values(lambda c: X.generic_titles(strip_noise(c)), cases)
+    got = values(lambda c: X.generic_titles(tree(c)), cases)
     assert got == [[f"映画その{i}" for i in range(20)], ["かなだ", "abcdef"], ["映画です"], ["第一候補"], []]
 
 

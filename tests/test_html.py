@@ -1,4 +1,5 @@
 import html as stdlib_html
+from html.entities import html5
 from urllib.parse import urljoin
 
 import pytest
@@ -8,14 +9,14 @@ from marquee.functions import html as H
 
 
 def pick(values, page, selector, *steps):
-    return values(lambda c: H.select_all(c, selector, *steps), [page])[0]
+    return values(lambda c: F.transform(H.select_all(c, selector, *steps), H.without_marks), [page])[0]
 
 
 def test_nested_and_overlapping_elements_in_page_order(values):
     page = '<div class="movie"><div><b>x</b><div class="a movie"><p>y</div></div></div><section class="movies">n</section>'
     got = pick(values, page, ".movie, section")
     assert [g[:12] for g in got] == ['<div class="', '<div class="', '<section cla']
-    assert got[1] == '<div class="a movie"><p>y</div>'
+    assert got[1] == '<div class="a movie"><p>y</p></div>'
 
 
 @pytest.mark.parametrize("selector, ids", [
@@ -29,12 +30,12 @@ def test_selectors(values, selector, ids):
 
 def test_table_cells_without_end_tags(values):
     page = "<table class=s><tr><td>1<td>2<tr><td>3<table><tr><td>in</table></td><td>4</table><tr><td>outside"
-    rows = values(lambda c: F.transform(H.select_all(c, ".s", "tr"), lambda r: F.size(H.select_all(H.inner_html(r), "td"))), [page])
+    rows = values(lambda c: F.transform(H.select_all(c, ".s", "tr"), lambda r: F.size(H.select_marked(H.inner_html(r), "td"))), [page])
     assert rows[0] == [2, 3, 1]
 
 
 def test_unclosed_element_runs_to_the_end(values):
-    assert pick(values, "<div class=m>a<div>b</div>", ".m") == ["<div class=m>a<div>b</div>"]
+    assert pick(values, "<div class=m>a<div>b</div>", ".m") == ["<div class=m>a<div>b</div></div>"]
 
 
 def test_long_page_does_not_overflow(values):
@@ -43,22 +44,52 @@ def test_long_page_does_not_overflow(values):
     assert len(got) == 2 and len(got[0]) == len(page) - len("<div class=m>z</div>")
 
 
-def test_deep_nesting_of_one_tag(values):
-    page = "<div class=m>" + "<div>" * 20 + "x" + "</div>" * 20 + "</div><div class=m>y</div>"
+@pytest.mark.parametrize("depth", [20, 26, 300])
+def test_deep_nesting_of_one_tag(values, depth):
+    page = "<div class=m>" + "<div>" * depth + "x" + "</div>" * depth + "</div><div class=m>y</div>"
     assert [len(e) for e in pick(values, page, ".m")] == [len(page) - 20, 20]
 
 
+def test_nested_tables_stay_in_their_cell(values):
+    page = "<table class=s><tr><td>" + "<table><tr><td>" * 5 + "in" + "</td></tr></table>" * 5 + "</td><td>10:00</td></tr><tr><td>next"
+    rows = pick(values, page, ".s", "tr")
+    assert rows[0].endswith("<td>10:00</td></tr>") and rows[-1] == "<tr><td>next</td></tr>" and len(rows) == 7
+
+
+def test_unclosed_element_ends_with_its_parent(values):
+    page = ("<section><div class=movie-block><h3>A</h3><span class=time>10:00</span></section>"
+            "<section><div class=movie-block><h3>B</h3><span class=time>11:00</span></div></section>")
+    assert pick(values, page, ".movie-block") == ["<div class=movie-block><h3>A</h3><span class=time>10:00</span></div>",
+                                                  "<div class=movie-block><h3>B</h3><span class=time>11:00</span></div>"]
+
+
+def test_end_tags_that_close_nothing_are_dropped(values):
+    assert pick(values, "<div class=m></span>a</p></div></div><div class=m>b<table><tr><td></div>c</table>d</div>", ".m") == [
+        "<div class=m>a</div>", "<div class=m>b<table><tr><td>c</td></tr></table>d</div>"]
+
+
+def test_lists_and_paragraphs_end_where_html_lets_them(values):
+    page = "<ul class=l><li>a<li>b<ul><li>c</ul>d<li><p>e<p>f<div>g</div></ul><dl><dt>x<dd>y<dt>z</dl>"
+    assert pick(values, page, "li, p, dt") == ["<li>a</li>", "<li>b<ul><li>c</li></ul>d</li>", "<li>c</li>",
+                                               "<li><p>e</p><p>f</p><div>g</div></li>", "<p>e</p>", "<p>f</p>", "<dt>x</dt>", "<dt>z</dt>"]
+
+
+def test_rows_only_inside_tables(values):
+    assert pick(values, "<tr><td>no</td></tr><article>y</article><table><tbody><tr><td>1<tr><td>2</table>", "article, table tr") == [
+        "<article>y</article>", "<tr><td>1</td></tr>", "<tr><td>2</td></tr>"]
+
+
 def test_noise_is_removed(values):
     page = "<script>'</div><h2>no</h2>'</script><STYLE>x</STYLE><!-- <h2>no</h2> --><h2>yes</h2>"
-    assert values(lambda c: H.select_all(H.strip_noise(c), "h2"), [page])[0] == ["<h2>yes</h2>"]
+    assert pick(values, page, "h2") == ["<h2>yes</h2>"]
 
 
 def test_unescape_agrees_with_the_standard_library(values):
-    cases = ["a &amp; b", "&lt;p&gt;", "&#39;x&#x27;", "&#12363;&#x7247;", "&amp;lt;", "&quot;&nbsp;|", "&#0;&#xD800;", "no", "&unknown;",
-             "&copy;&middot;&hellip;&times;"]
-    expected = [stdlib_html.unescape(c) for c in cases]
-    expected[6] = "&#0;&#xD800;"  # not characters: left alone
-    assert values(H.unescape, cases) == expected
+    cases = ["a &amp; b", "&lt;p&gt;", "&#39;x&#x27;", "&#12363;&#x7247;", "&amp;lt;", "&quot;&nbsp;|", "&#0;&#xD800;", "no", "&unknown;", "&amp", "&ampx", "&notit;",
+             "&notin;", "&#38;lt;b&#38;gt;", "Caf&eacute; L&rsquo;ami", "&#x80;&#151;&#129;&#11;&#64976;", "&#0000000000038;&#x0000000026;", "&#99999999;&#x1FFFFF;",
+             "&", "&&amp;&;", "&#;&#x;", "&eacute", "&copy2", "&Copyx; &COPY"]
+    cases += ["".join(f"&{n} " for n in sorted(html5)[i::6]) for i in range(6)]
+    assert values(H.unescape, cases) == [stdlib_html.unescape(c) for c in cases]
 
 
 def test_attribute_forms(values):

@@ -28,6 +28,15 @@ def test_rec_score(spark):
     low, high, new = score_of(spark, (5.0, 100000, 5, False), (9.0, 100000, 5, False), (9.0, 100000, 5, True))
     assert low < high < new
     assert score_of(spark, (10.0, 0, 20, True), weights={"rating_score_weight": 1.0}) == [130.0]
+    with pytest.raises(ValueError, match="rating"):
+        score_of(spark, (10.0, 0, 20, True), weights={"rating": 1.0})
+
+
+def test_rank_all_keeps_unknown_scores_and_positions(spark):
+    rows = [("a", 10.0, 0, None), ("b", None, 0, 1), ("c", 20.0, 0, 2), ("d", 10.0, None, 3)]
+    df = spark.createDataFrame(rows, "k string, rec_score double, s int, p int").select(
+        "k", "rec_score", F.struct(F.col("s").alias("sched_ord"), F.col("p").alias("pos")).alias("first_seen"))
+    assert {r.k: r["rank"] for r in R.rank_all(df).collect()} == {"c": 1, "d": 2, "a": 3, "b": 4}
 
 
 def test_demo_scores(spark):

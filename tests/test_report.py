@@ -55,8 +55,8 @@ GOLDEN = """# 第1期 4月13日 ~ 4月19日
 
 | 排名 | 电影 | 推荐指数 | 豆瓣评分 | 上映影院 |
 |------|------|----------|----------|----------|
-| 🥇 | 利益区域 | 70/100 | 8.3 | フォーラム |
-| 🥈 | 枯叶 | 67/100 | 8.2 | ヴェーラ |
+| 🥇 | 地铁花园-2 | 72/100 | 8.6 | 西館 |
+| 🥈 | 灯塔看守的狗 | 70/100 | 9.0 | 北館 |
 
 ---
 
@@ -78,15 +78,15 @@ def block(jp, cn, stars, theaters, reviews):
 
 def test_golden_document(spark):
     films, shows, issues = demo.tables(spark)
-    keep = F.col("title_jp").isin("関心領域", "枯れ葉")
-    later = spark.createDataFrame([(1, "枯れ葉", "ヴェーラ", dt.date(2026, 4, 26))], demo.SHOW_SCHEMA)
+    keep = F.col("title_jp").isin("地下鉄の庭-2", "灯台守の犬")
+    later = spark.createDataFrame([(1, "灯台守の犬", "北館", dt.date(2026, 4, 26))], demo.SHOW_SCHEMA)
     # one showing is moved to the next week, so the counts and scores stay those of the demo
-    moved = shows.filter(keep & ~((F.col("title_jp") == "枯れ葉") & (F.col("show_date") > demo.DAY))).unionByName(later)
+    moved = shows.filter(keep & ~((F.col("title_jp") == "灯台守の犬") & (F.col("show_date") > demo.DAY))).unionByName(later)
     documents, _ = generate_reports(films.filter(keep), moved, issues, OPTIONS)
-    first = ("関心領域", "利益区域", "★★★★　  8.3", "フォーラム")
-    second = ("枯れ葉", "枯叶", "★★★★　  8.2", "ヴェーラ")
-    now = block(*first, ["b1", "b2"]) + "\n" + block(*second, ["f1", "f2"])
-    assert documents.first().markdown == GOLDEN.format(now=now, coming=block(*second, ["f1"]))
+    first = ("地下鉄の庭-2", "地铁花园-2", "★★★★　  8.6", "西館")
+    second = ("灯台守の犬", "灯塔看守的狗", "★★★★☆  9.0", "北館")
+    now = block(*first, ["m1", "m2"]) + "\n" + block(*second, ["k1", "k2"])
+    assert documents.first().markdown == GOLDEN.format(now=now, coming=block(*second, ["k1"]))
 
 
 EMPTY = """# 第{n}期 {a} ~ {b}
@@ -120,7 +120,7 @@ def test_issue_without_films_and_without_week(spark):
     assert got[1].markdown == EMPTY.format(n=1, a="4月13日", b="4月19日")
     assert got[1].week_start == dt.date(2026, 4, 13)
     # films shown only outside both weeks are ranked but in no section
-    assert "上映（12月30日 ～ 1月5日）\n\n\n\n---\n" in got[2].markdown and "| 🥇 | 利益区域 |" in got[2].markdown
+    assert "上映（12月30日 ～ 1月5日）\n\n\n\n---\n" in got[2].markdown and "| 🥇 | 地铁花园-2 |" in got[2].markdown
     assert "###" not in got[2].markdown and "下周预告" not in got[2].markdown
 
 
@@ -146,9 +146,9 @@ def test_export(spark, tmp_path):
     path = str(tmp_path / "films")
     export_json(scored, path)
     rows = spark.read.json(path)
-    assert rows.filter("title_jp = '哀れなるものたち'").first().theaters == ["六本木ヒルズ", "新宿", "日比谷"]
+    assert rows.filter("title_jp = '八月の硝子'").first().theaters == ["南館", "東館", "西館"]
     first_line = sorted(tmp_path.glob("films/part-*.json"))[0].read_text(encoding="utf-8").splitlines()[0]
-    assert first_line.startswith('{"title_jp":"関心領域","title_cn":"利益区域","director":"D"')
+    assert first_line.startswith('{"title_jp":"地下鉄の庭-2","title_cn":"地铁花园-2","director":"D"')
 
 
 def test_pages_to_document(spark, tmp_path):
@@ -183,7 +183,7 @@ def test_same_title_in_two_issues_is_rated_in_both(spark):
     films, shows, issues = demo.tables(spark)
     both = films.unionByName(films.withColumn("issue_number", F.lit(2))).withColumn("year", F.lit(0))
     candidates = spark.createDataFrame(
-        [("枯れ葉", 0, "9", "movie", "", True, "6.0")],
+        [("灯台守の犬", 0, "9", "movie", "", True, "6.0")],
         "query string, pos int, id string, type string, year string, has_rating boolean, rating string")
     subjects = spark.createDataFrame([], "id string, title_cn string, director string, cast string, genre string, year int, duration int, "
                                          "score double, votes bigint, reviews array<string>")
