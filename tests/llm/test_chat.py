@@ -1,0 +1,65 @@
+import hashlib
+
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
+from marquee.llm import chat
+
+EVENTS = "conv_id long, turn long, tie int, seq long, kind string, role string, text string"
+
+
+@given(st.text(st.sampled_from("\\<|>s/[]INST Sy\n") | st.characters(codec="utf-8"), max_size=40), st.text(max_size=10))
+def test_escapes_are_reversible_and_leave_no_control_string(text, role):
+    escaped = chat.escape(text)
+    assert chat.unescape(escaped) == text and not any(c in escaped for c in chat.CONTROL)
+    rendered = chat.START + chat.escape(role) + chat.MESSAGE + escaped + chat.END
+    assert chat.read_turns(rendered * 2) == [(role, text)] * 2
+
+
+def fold(log):
+    """The same fold, event by event, of one conversation."""
+    messages = {}
+    for seq, turn, kind, role, text in sorted(log):
+        role, text = role or "", text or ""
+        m = messages.setdefault(turn, [seq, role, ""])
+        m[2] = m[2] + text if kind == "delta" else text
+        if kind == "regenerate":
+            for later in [t for t in messages if t > turn]:
+                messages[later][2] = None  # taken back; its later events don't bring it back
+    return [(m[1], m[2]) for t, m in sorted(messages.items()) if m[2] is not None]
+
+
+@pytest.mark.parametrize("log", [
+    [(1, 0, "start", "user", "hi"), (2, 1, "start", "assistant", ""), (3, 1, "delta", "assistant", "he"), (4, 1, "delta", "assistant", "llo")],
+    [(1, 0, "start", "user", "hi"), (2, 1, "start", "assistant", "a"), (3, 1, "delta", None, "b"), (4, 0, "edit", "user", "hey"), (5, 1, "regenerate", "assistant", ""), (6, 1, "delta", None, "c")],
+    [(1, 0, "start", "user", "q"), (2, 1, "start", "assistant", "w"), (3, 2, "start", "user", "x"), (4, 1, "regenerate", "assistant", "z"), (5, 3, "start", "user", None), (6, 3, "delta", "user", "new")],
+])
+def test_fold(spark, log):
+    events = spark.createDataFrame([(7, t, 1, s, k, r, x) for s, t, k, r, x in reversed(log)], EVENTS)
+    got = [(r.role, r.text) for r in chat.fold(events).orderBy("turn").collect()]
+    assert got == fold(log)
+
+
+def digests(turns):
+    said = [t for r, t in turns if r == "assistant"]
+    return (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), sum(map(len, said)),
+            hashlib.sha256("".join(said).encode()).hexdigest())
+
+
+@pytest.mark.parametrize("part", [1, 50, chat.PART])
+def test_round_trip_with_edge_cases(spark, part):
+    rows = [(1, 1, "assistant", "b \\ <|end|>\n<|start|>x"), (1, 0, "user", "a"), (1, 1, "assistant", "a tie"), (2, None, None, None), (2, 0, "user\n", ""),
+            (None, 0, "user", "no id"), (None, 0, "user", "no id"), (3, 0, "assistant", "🙂" * 3000), (4, 0, "assistant", None), (4, 1, "assistant", "x")]
+    turns = spark.createDataFrame([(*r, 1, "z") for r in rows], "conv_id long, turn long, role string, text string, seq int, kind string")
+    rendered = chat.format_turns(turns, part)
+    got = {r.conv_id: tuple(r)[1:] for r in chat.read_back(rendered).collect()}
+    for conv in (1, 2, 3, 4, None):
+        own = sorted(((t is not None, t or 0, r or "", x or "") for c, t, r, x in rows if c == conv))
+        assert got[conv][:-1] == digests([(r, x) for *_, r, x in own])
+    parts = rendered.collect()
+    assert sum(r[-1] for r in got.values()) == sum(len(p.formatted) for p in parts)
+    assert sum(p.n_turns for p in parts) == len(rows) and (len(parts) == 5) == (part == chat.PART)
+    for p in parts:
+        assert all(chat.START not in p.formatted[x.start:x.end] for x in p.loss)
+    assert chat.read_back(chat.format_turns(turns.limit(0))).count() == 0
