@@ -32,19 +32,23 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
 from marquee.llm.common import numbered, stage, unused, with_fields
+from marquee.llm.textarrays import U64, mix64, slices
 
 MARK = "▁"
-WORD = re.compile(r"[^\W\d_]+")
 LETTER = regex.compile(r"\p{L}")
 #: Longest piece in characters, with the word mark; weight added to each piece's count; distinct languages allowed.
 LONGEST, SMOOTHING, MAX_LANGUAGES = 12, 0.5, 500
 #: Words that a task counts, and that a worker remembers, at a time.
 COUNTED, REMEMBERED = 200_000, 400_000
+#: Floating-point numbers that a worker holds for remembered words, and an eighth of it for a batch of them.
+NUMBERS = 8_000_000
 UNDETERMINED = "und"
 #: Letters of a word that are scored together. With so few, products scaled by 10^5 per letter stay within a double.
 PART = 32
-SCALE = [10.0 ** (5 * i) for i in range(LONGEST + 1)]
-LOG_SCALE = math.log(SCALE[1])
+WORD = re.compile(rf"[^\W\d_]{{1,{PART}}}")
+SCALE = 10.0 ** (5 * np.arange(LONGEST + 1))
+LOG_SCALE = math.log(1e5)
+_PLACES = np.random.default_rng(11).integers(1, 1 << 63, LONGEST, dtype=np.int64).astype(U64) | U64(1)
 
 
 @lru_cache(maxsize=2)
@@ -56,38 +60,111 @@ def vocabulary(path: str) -> dict[str, int]:
     return {p: i for i, p in enumerate(pieces)}
 
 
-def edges(word: str, pieces: dict[str, int], unknown: int) -> list[tuple[int, int, int]]:
-    """(start, end, piece) of every piece in the word, by start; a character that is no piece is the unknown one."""
-    found, n = [], len(word)
+def run_hashes(codes: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hash of each run of n characters."""
+    total = np.zeros(len(codes) - n + 1, U64)
     for i in range(n):
-        for j in range(i + 1, min(n, i + LONGEST) + 1):
-            piece = pieces.get(word[i:j])
-            if piece is not None:
-                found.append((i, j, piece))
-            elif j == i + 1:
-                found.append((i, j, unknown))
-    return found
-
-
-def expected(word: str, pieces: dict[str, int], unknown: int) -> list[tuple[int, float]]:
-    """How often each piece is used in the word, on average over its segmentations, if all pieces are equally probable."""
-    way, n = edges(word, pieces, unknown), len(word)
-    chance = 1 / (len(pieces) + 1)
-    before, after = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-    weight = [chance * SCALE[j - i] for i, j, _ in way]
-    for (i, j, _), w in zip(way, weight, strict=True):
-        before[j] += before[i] * w
-    for (i, j, _), w in zip(reversed(way), reversed(weight), strict=True):
-        after[i] += after[j] * w
-    return [(p, before[i] * w * after[j] / before[n]) for (i, j, p), w in zip(way, weight, strict=True)]
+        total += codes[i:len(codes) - n + 1 + i] * _PLACES[i]
+    return mix64(total)
+
+
+class Pieces:
+    """The vocabulary by hash: a table of 2^19 bits first, then the sorted hashes."""
+
+    def __init__(self, path: str):
+        names = list(vocabulary(path))
+        hashes = np.array([run_hashes(code_points(p), len(p))[0] for p in names], U64)
+        self.order = np.argsort(hashes)
+        self.hashes, self.lengths = hashes[self.order], sorted({len(p) for p in names})
+        self.sieve = np.zeros(1 << 19, bool)
+        self.sieve[hashes >> U64(45)] = True
+
+    def find(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """(starts, pieces, length) of all pieces in a text, length by length."""
+        for n in self.lengths:
+            if n > len(codes):
+                return
+            hashes = run_hashes(codes, n)
+            at = np.flatnonzero(self.sieve[hashes >> U64(45)])
+            entry = np.searchsorted(self.hashes, hashes[at])
+            entry[entry == len(self.hashes)] = 0
+            same = self.hashes[entry] == hashes[at]
+            yield at[same], self.order[entry[same]], n
+
+
+@lru_cache(maxsize=2)
+def pieces_of(path: str) -> Pieces:
+    return Pieces(path)
+
+
+def code_points(text: str) -> np.ndarray:
+    return mix64(np.frombuffer(text.encode("utf-32-le"), "<u4").astype(U64) + U64(1 << 40))
+
+
+class Lattice:
+    """All ways to cut a batch of words into pieces: one edge per piece found; a character that is no piece is the unknown one."""
+
+    def __init__(self, words: list[str], path: str):
+        self.size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        text = "\n".join([MARK + w for w in words])
+        self.unknown = len(vocabulary(path))
+        base = np.concatenate([[0], np.cumsum(self.size + 1)[:-1]])
+        owner = np.repeat(np.arange(len(words)), self.size + 1)[:len(text)]
+        bare = np.ones(len(text), bool)
+        bare[(base + self.size)[:-1]] = False  # the line breaks between words
+        starts, pieces, lengths = [], [], []
+        for at, piece, n in pieces_of(path).find(code_points(text)):
+            if n == 1:
+                bare[at] = False
+            starts.append(at)
+            pieces.append(piece)
+            lengths.append(np.full(len(at), n))
+        bare = np.flatnonzero(bare)
+        starts, length = np.concatenate([*starts, bare]), np.concatenate([*lengths, np.ones(len(bare), np.int64)])
+        piece, word = np.concatenate([*pieces, np.full(len(bare), self.unknown)]), owner[starts]
+        end = starts + length - base[word]
+        order = np.argsort(end.astype(np.uint8), kind="stable")  # a word has at most PART letters
+        self.word, self.end, self.piece, self.length = word[order], end[order], piece[order], length[order]
+        self.start = self.end - self.length
+
+    def _at(self, places: np.ndarray) -> list[slice]:
+        edges = np.searchsorted(places, np.arange(1, self.size.max(initial=0) + 2))
+        return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def forward(self, weights: np.ndarray) -> np.ndarray:
+        """Sums over all ways to each place, by word, place and column of the edges' weights."""
+        ways = np.zeros((len(self.size), self.size.max(initial=0) + 1, weights.shape[1]))
+        ways[:, 0] = 1
+        for j, edges in enumerate(self._at(self.end), 1):
+            word = self.word[edges]
+            more = ways[word, self.start[edges]] * weights[edges]
+            for k in range(weights.shape[1]):
+                ways[:, j, k] = np.bincount(word, more[:, k], len(self.size))
+        return ways
+
+    def scores(self, chances: np.ndarray) -> np.ndarray:
+        """Log probability of each word, by column of the pieces' probabilities."""
+        ways = self.forward(chances[self.piece] * SCALE[self.length][:, None])
+        whole = ways[np.arange(len(self.size)), self.size]
+        return np.log(whole) - (self.size * LOG_SCALE)[:, None]
+
+    def uses(self) -> np.ndarray:
+        """How often each edge is used, on average over the word's segmentations, if all pieces are equally probable."""
+        weights = SCALE[self.length] / (self.unknown + 1)
+        before = self.forward(weights[:, None])[..., 0]
+        after = np.zeros_like(before)
+        after[np.arange(len(self.size)), self.size] = 1
+        by_start = np.argsort(self.start, kind="stable")
+        slices = self._at(self.start[by_start] + 1)
+        for i in range(len(slices) - 1, -1, -1):
+            edges = by_start[slices[i]]
+            after[:, i] += np.bincount(self.word[edges], after[self.word[edges], self.end[edges]] * weights[edges], len(self.size))
+        return before[self.word, self.start] * weights * after[self.word, self.end] / before[self.word, self.size[self.word]]
 
 
 def words_of(text: str) -> list[str]:
     """Lower-case words; what is longer than PART letters is taken in parts."""
-    words = WORD.findall(text.lower())
-    if max(map(len, words), default=0) > PART:
-        words = [w[i:i + PART] for w in words for i in range(0, len(w), PART)]
-    return words
+    return WORD.findall(text.lower())
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
@@ -119,44 +196,43 @@ class Model:
         """counts: expected uses by language and piece, the unknown piece last."""
         self.path, self.languages = path, languages
         weights = counts + SMOOTHING
-        self.chances = weights / weights.sum(axis=1, keepdims=True)
-
-    def word_score(self, word: str, rows: list[list[float]], pieces: dict[str, int]) -> list[float]:
-        """Log probability of a word in each language, by the forward pass. rows: the probabilities by piece."""
-        n, ways = len(word) + 1, [[1.0] * len(self.languages)] + [None] * (len(word) + 1)
-        for i, j, piece in edges(MARK + word, pieces, len(pieces)):
-            s = SCALE[j - i]
-            more = [a * p * s for a, p in zip(ways[i], rows[piece], strict=True)]
-            ways[j] = more if ways[j] is None else [a + b for a, b in zip(ways[j], more, strict=True)]
-        return [math.log(a) - n * LOG_SCALE for a in ways[n]]
+        self.chances = np.ascontiguousarray((weights / weights.sum(axis=1, keepdims=True)).T)
 
 
 class Scorer:
     """The model in one Python worker, with the words it has met."""
 
     def __init__(self, model: Model):
-        self.model, self.pieces = model, vocabulary(model.path)
-        self.rows = model.chances.T.tolist()
+        self.model, self.n = model, max(1, len(model.languages))
+        self.room = min(REMEMBERED, NUMBERS // self.n)
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.scores: list[list[float]] = []
-
-    def place(self, word: str) -> int:
-        self.known[word] = len(self.scores)
-        self.scores.append(self.model.word_score(word, self.rows, self.pieces))
-        return len(self.scores) - 1
-
-    def judge(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.model.languages or not LETTER.search(text):
-            return UNDETERMINED, 0.0
-        total = [0.0] * len(self.model.languages)
-        if len(self.known) > REMEMBERED:
-            self.known, self.scores = {}, []
-        for word, n in Counter(words_of(text)).items():
-            place = self.known.get(word)
-            scores = self.scores[self.place(word) if place is None else place]
-            total = [t + n * s for t, s in zip(total, scores, strict=True)]
-        best = max(range(len(total)), key=total.__getitem__)
-        return self.model.languages[best], 1 / sum(math.exp(t - total[best]) for t in total)
+        self.scores = np.zeros((0, self.n))
+
+    def learn_words(self, texts: list[list[str]]) -> None:
+        """Score the words of these texts that aren't known yet, in batches."""
+        if len(self.known) > self.room:
+            self.forget()
+        new = list(set().union(*texts).difference(self.known))
+        step = max(64, NUMBERS // (8 * (PART + 2) * self.n))
+        found = [Lattice(new[i:i + step], self.model.path).scores(self.model.chances) for i in range(0, len(new), step)]
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.scores = np.concatenate([self.scores, *found])
+
+    def judge(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+        cut = [words_of(t) if t and self.model.languages and LETTER.search(t) else [] for t in texts]
+        self.learn_words(cut)
+        for words in cut:
+            if not words:
+                yield UNDETERMINED, 0.0
+                continue
+            total = np.zeros(self.n)
+            for i in range(0, len(words), REMEMBERED):
+                total += self.scores[np.fromiter(map(self.known.__getitem__, words[i:i + REMEMBERED]), np.int64)].sum(axis=0)
+            best = int(total.argmax())
+            yield self.model.languages[best], 1 / float(np.exp(total - total[best]).sum())
 
 
 _scorers: dict[str, Scorer] = {}
@@ -174,13 +250,16 @@ def learn(labelled: DataFrame, path: str) -> Model:
     """Learn from (lang, text), neither null."""
 
     def use(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = vocabulary(path)
-        sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(pieces) + 1))
+        size = len(vocabulary(path)) + 1
+        sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(size))
         for batch in parts:
-            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                into = sums[lang]
-                for piece, share in expected(MARK + word, pieces, len(pieces)):
-                    into[piece] += n * share
+            langs, words, counts = (c.to_pylist() for c in batch.columns)
+            lattice = Lattice(words, path)
+            uses = lattice.uses() * np.array(counts, float)[lattice.word]
+            names, which = np.unique(np.array(langs, object).astype(str), return_inverse=True)
+            for i, lang in enumerate(names.tolist()):
+                mine = which[lattice.word] == i
+                sums[lang] += np.bincount(lattice.piece[mine], uses[mine], size)
         for lang, into in sums.items():
             used = np.flatnonzero(into)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int64()), pa.array(into[used])], ["lang", "piece", "uses"])
@@ -204,7 +283,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[
     def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = worker_scorer(run, shared)
         for batch in parts:
-            found = [scorer.judge(text.as_py()) for text in batch.column(at)]
+            found = []
+            for first, last, _, _ in slices(batch.column(at)):
+                found += scorer.judge(batch.column(at).slice(first, last - first).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()),
                                               pa.array([round(y, 6) for _, y in found], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
