@@ -10,7 +10,8 @@ coordinates. Bands of the signature are the buckets.
 3. Where a bucket still spans several components, a link inside it may have been missed: the classes in
    such buckets go through an exact join on prefixes (Bayardo et al. 2007; Xiao et al. 2008). Their shingles are ordered
    by frequency; of two sets with the similarity, the rarest quarter of the larger one holds one of the rarest
-   seventh of the smaller one. Only pairs in different components are kept.
+   seventh of the smaller one, and what follows the first shared one must be large enough. Only pairs in
+   different components are kept.
 Pairs are verified on full sets. A bucket is never expanded into all its pairs, and has no cap.
 
 With 40 bands of 4 a link of similarity 0.75 shares no bucket at all with probability 3e-7.
@@ -140,8 +141,10 @@ def prefix_pairs(labelled: DataFrame, texts: DataFrame, percent: int = PERCENT,
     # A shingle within one component has nothing to add; it is left out before the join.
     across = ordered.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("shingle")
     big, small = larger.join(across, "shingle", "left_semi"), smaller.join(across, "shingle", "left_semi")
-    x, y = (side.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "component", "n")]) for side, s in ((big, "x"), (small, "y")))
-    return (x.join(y, "shingle").filter(f"component_x <> component_y and n_y <= n_x and 100 * n_y >= {percent} * n_x")
+    x, y = (side.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "component", "n", "place")]) for side, s in ((big, "x"), (small, "y")))
+    # At the first shingle that two sets share, all they share lies in what follows it in either of them.
+    enough = f"{100 + percent} * least(n_x - place_x, n_y - place_y) >= {percent} * (n_x + n_y)"
+    return (x.join(y, "shingle").filter(f"component_x <> component_y and n_y <= n_x and 100 * n_y >= {percent} * n_x and {enough}")
             .select(F.greatest("cid_x", "cid_y").alias("a"), F.least("cid_x", "cid_y").alias("b")).distinct())
 
 
