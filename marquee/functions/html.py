@@ -101,81 +101,90 @@ def strip_noise(html: Column) -> Column:
     return F.regexp_replace(html, NOISE, "")
 
 
-def no_names() -> Column:
-    return F.expr("cast(array() as array<string>)")
+def _piece(piece: Column) -> Column:
+    """A text and the tag after it, with the tag's name ('' if it is none) and whether it is an end tag."""
+    text = F.substring_index(piece, "<", 1)
+    parts = F.struct(text.alias("text"), F.substr(piece, F.length(text) + 1).alias("tag"))
+    return let(parts, lambda p: F.struct(
+        p["text"].alias("text"), p["tag"].alias("tag"), p["tag"].startswith("</").alias("closes"),
+        F.lower(F.regexp_extract(p["tag"], r"\A</?([a-zA-Z][a-zA-Z0-9]*)", 1)).alias("name")))
 
 
-def _names(values: list[str]) -> Column:
-    return F.array(*map(F.lit, values))
+def _ended(stack: Column, t: Column) -> Column:
+    """The open elements that stay open at a tag, '' if it ends none.
 
+    The stack is a text of names, each followed by a blank, after a first blank.
+    """
+    implied = F.lit("")
+    for own, outer in {str(v): v for v in IMPLIED_END.values()}.values():
+        names = [n for n, v in IMPLIED_END.items() if v == (own, outer)]
+        rest = rf"\A(.* )(?:{'|'.join(own)}) (?!(?:.* )?(?:{'|'.join(outer)}) )"
+        implied = F.when(t["name"].isin(*names), F.regexp_extract(stack, rest, 1)).otherwise(implied)
 
-def _last_in(stack: Column, wanted: Column) -> Column:
-    """Number (from 1) of the innermost open element among the wanted ones, 0 if none."""
-    return F.coalesce(F.array_max(F.transform(stack, lambda x, i: F.when(F.array_contains(wanted, x), i + 1))), F.lit(0))
+    def left(inside: Column) -> Column:
+        """What stands after the innermost element of that name must not leave a cell or a table."""
+        barred = F.when(t["name"].isin(*TABLE_PARTS), inside.rlike(r"(?:\A| )table ")).otherwise(inside.rlike(rf"(?:\A| )(?:{'|'.join(CELL)}) "))
+        return F.when((inside == stack) | barred, "").otherwise(
+            F.left(stack, F.length(stack) - F.length(inside) - F.length(t["name"]) - 1))
 
+    implied = F.when(t["name"].isin(*IMPLIED_END), implied).otherwise("")
+    own = let(F.call_function("substring_index", stack, F.concat(F.lit(" "), t["name"], F.lit(" ")), F.lit(-1)), left)
+    innermost = stack.endswith(F.concat(F.lit(" "), t["name"], F.lit(" ")))
+    own = F.when(innermost, F.left(stack, F.length(stack) - F.length(t["name"]) - 1)).otherwise(own)
+    return F.when(t["name"] == "", "").when(t["closes"], own).otherwise(implied)
 
-def _tag_of(piece: Column) -> Column:
-    """A text and the tag after it, with the tag's name, what kind it is, and which open elements it can end."""
-    tag = F.regexp_extract(piece, r"(?s)<.*\z", 0)
 
-    def named(p: Column) -> Column:
-        own = outer = no_names()
-        for ends in {str(v): v for v in IMPLIED_END.values()}.values():
-            starts = [n for n, v in IMPLIED_END.items() if v == ends]
-            own, outer = (F.when(p["name"].isin(*starts), _names(v)).otherwise(rest) for v, rest in zip(ends, (own, outer)))
-        beyond = F.when(p["name"].isin(*TABLE_PARTS), _names(["table"])).otherwise(_names(CELL))
-        closes = p["tag"].startswith("</")
-        return F.struct(
-            p["text"].alias("text"), p["tag"].alias("tag"), p["name"].alias("name"),
-            F.when(p["name"] == "", "text").when(closes, "end").when(p["name"].rlike(rf"\A(?:{VOID})\z"), "void").otherwise("start").alias("kind"),
-            F.when(closes, F.array(p["name"])).otherwise(own).alias("ends"),
-            F.when(closes, F.array_except(beyond, F.array(p["name"]))).otherwise(outer).alias("beyond"))
+def _end_tags(popped: Column, at: Column) -> Column:
+    """End tags of the elements in a piece of the stack that begins at ``at``, innermost first."""
+    def one(state: Column, name: Column) -> Column:
+        return F.struct((state["at"] + F.length(name) + 1).alias("at"),
+                        F.concat(F.lit("</"), name, F.lit(MARK_CHAR), state["at"].cast("string"), F.lit(">"), state["out"]).alias("out"))
 
-    return let(F.struct(F.regexp_extract(piece, r"\A[^<]*", 0).alias("text"), tag.alias("tag"),
-                        F.lower(F.regexp_extract(tag, r"\A</?([a-zA-Z][a-zA-Z0-9]*)", 1)).alias("name")), named)
+    return F.when(popped == "", "").otherwise(F.aggregate(
+        F.split(F.rtrim(popped), " "), F.struct(at.alias("at"), F.lit("").alias("out")), one, lambda s: s["out"]))
 
 
 def _walk(state: Column, t: Column) -> Column:
     """The open elements and the text written so far, after one more piece."""
     stack = state["stack"]
 
-    def after(left: Column) -> Column:
-        kept = F.slice(stack, F.lit(1), left)
-        closing = F.array_join(F.reverse(F.transform(F.slice(stack, left + 1, F.size(stack)), lambda n, i: _end_tag(n, left + i + 1))), "")
-        inside = F.when(F.array_contains(kept, "table"), "t").otherwise("")
-        opened = F.concat(F.lit("<"), t["name"], F.lit(MARK_CHAR), (left + 1).cast("string"), inside, F.substr(t["tag"], F.length(t["name"]) + 2))
-        shown = F.when(t["kind"] == "start", opened).when(t["kind"] == "end", "").otherwise(t["tag"])
+    def after(kept: Column) -> Column:
+        at = F.length(kept)
+        closing = F.when(kept == stack, "").otherwise(_end_tags(F.substr(stack, at + 1), at))
+        opens = ~t["closes"] & (t["name"] != "") & ~t["name"].isin(*VOID.split("|"))
+        inside = F.when(kept.contains(" table "), "t").otherwise("")
+        opened = F.concat(F.lit("<"), t["name"], F.lit(MARK_CHAR), at.cast("string"), inside, F.substr(t["tag"], F.length(t["name"]) + 2))
+        shown = F.when(opens, opened).when(t["closes"] & (t["name"] != ""), "").otherwise(t["tag"])
         return F.struct(F.array_append(state["out"], F.concat(t["text"], closing, shown)).alias("out"),
-                        F.when(t["kind"] == "start", F.array_append(kept, t["name"])).otherwise(kept).alias("stack"))
+                        F.when(opens, F.concat(kept, t["name"], F.lit(" "))).otherwise(kept).alias("stack"))
 
-    ended = let(_last_in(stack, t["ends"]), lambda at: F.when(at > _last_in(stack, t["beyond"]), at).otherwise(0))
-    return let(F.when(ended > 0, ended - 1).otherwise(F.size(stack)), after)
+    return let(_ended(stack, t), lambda kept: let(F.when(kept == "", stack).otherwise(kept), after))
 
 
 def tree(html: Column) -> Column:
-    """The page without noise, with depths and all end tags written down. A page that has them stays as it is."""
-    start = F.struct(no_names().alias("out"), no_names().alias("stack"))
+    """The page without noise, with depths and all end tags written down. A page that has them stays as it is.
+
+    An element's depth is written as the length of the names around it.
+    """
+    nothing = F.expr("cast(array() as array<string>)")
+    start = F.struct(nothing.alias("out"), F.lit(" ").alias("stack"))
 
     def block(state: Column, pieces: Column) -> Column:
         """Pieces are walked in blocks, so that what is copied per piece is at most a block."""
-        walked = F.aggregate(pieces, F.struct(no_names().alias("out"), state["stack"].alias("stack")), _walk)
+        walked = F.aggregate(pieces, F.struct(nothing.alias("out"), state["stack"].alias("stack")), _walk)
         return let(walked, lambda w: F.struct(F.array_append(state["out"], F.array_join(w["out"], "")).alias("out"), w["stack"].alias("stack")))
 
     def blocks(pieces: Column) -> Column:
         count = F.floor((F.size(pieces) + BLOCK - 1) / BLOCK).cast("int")
         return F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.expr("cast(array() as array<int>)")),
-                           lambda i: F.transform(F.slice(pieces, i * BLOCK + 1, F.lit(BLOCK)), _tag_of))
+                           lambda i: F.transform(F.slice(pieces, i * BLOCK + 1, F.lit(BLOCK)), _piece))
 
     pieces = F.regexp_extract_all(F.replace(strip_noise(html), F.lit(MARK_CHAR), F.lit("")), F.lit(PIECE), F.lit(0))
     walked = F.aggregate(let(pieces, blocks), start, block, lambda s: F.concat(
-        F.array_join(s["out"], ""), F.array_join(F.reverse(F.transform(s["stack"], lambda n, i: _end_tag(n, i + 1))), "")))
+        F.array_join(s["out"], ""), _end_tags(F.substr(s["stack"], F.lit(2)), F.lit(1))))
     return F.when(html.contains(MARK_CHAR), html).otherwise(walked)
 
 
-def _end_tag(name: Column, depth: Column) -> Column:
-    return F.concat(F.lit("</"), name, F.lit(MARK_CHAR), depth.cast("string"), F.lit(">"))
-
-
 def without_marks(html: Column) -> Column:
     """A marked page or element as HTML that others can read."""
     return F.regexp_replace(html, rf"{MARK}\d+t?", "")

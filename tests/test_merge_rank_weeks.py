@@ -107,7 +107,7 @@ def test_top_n_ties_keep_first_seen_order(spark):
 def test_top_summary(spark):
     got = R.top_summary(scored_films(*demo.tables(spark)), 2).orderBy("rank").collect()
     assert [(r.total, r.line) for r in got] == [
-        (7, "   1. 利益区域 — 豆瓣 8.3，推荐指数 70/100"), (7, "   2. 枯叶 — 豆瓣 8.2，推荐指数 67/100")]
+        (7, "   1. 地铁花园-2 — 豆瓣 8.6，推荐指数 72/100"), (7, "   2. 灯塔看守的狗 — 豆瓣 9.0，推荐指数 70/100")]
 
 
 def test_weeks(spark):
