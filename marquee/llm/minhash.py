@@ -135,11 +135,11 @@ def prefix_pairs(labelled: DataFrame, texts: DataFrame, percent: int = PERCENT,
     ordered = (counted.groupBy("cid", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
                .join(singles, "cid").select("cid", "component", "n", F.posexplode("s").alias("i", "x"), "shared")
                .select("cid", "component", "n", (F.col("i") + F.col("n") - F.col("shared")).alias("place"), F.col("x.shingle").alias("shingle")))
-    # n sets places 0 .. n - ceil(p n / 100) for the larger set, n - ceil(2 p n / (100 + p)) for the smaller one.
-    larger = ordered.filter(F.col("place") <= F.col("n") - F.expr(f"({percent} * n + 99) div 100"))
-    smaller = ordered.filter(F.col("place") <= F.col("n") - F.expr(f"(2 * {percent} * n + {99 + percent}) div {100 + percent}"))
+    # n sets places 0 .. n - ceil(p n / 100) for the larger set, n - ceil(2 p n / (100 + p)), which are fewer, for the smaller one.
+    larger = stage(ordered.filter(F.col("place") <= F.col("n") - F.expr(f"({percent} * n + 99) div 100")), "prefixes")
+    smaller = larger.filter(F.col("place") <= F.col("n") - F.expr(f"(2 * {percent} * n + {99 + percent}) div {100 + percent}"))
     # A shingle within one component has nothing to add; it is left out before the join.
-    across = ordered.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("shingle")
+    across = larger.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("shingle")
     big, small = larger.join(across, "shingle", "left_semi"), smaller.join(across, "shingle", "left_semi")
     x, y = (side.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "component", "n", "place")]) for side, s in ((big, "x"), (small, "y")))
     # At the first shingle that two sets share, all they share lies in what follows it in either of them.
@@ -195,6 +195,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, k: int = K) -> DataFrame:
     """The documents that are kept, with all their columns, whatever their names."""
-    dropped = grouped(docs, percent, bands, rows, k).filter("not kept").select(F.col("doc_id").alias("key")).distinct()
+    # Written first, so that Spark knows its size: where it is small enough to be broadcast, no text is shuffled.
+    dropped = stage(grouped(docs, percent, bands, rows, k).filter("not kept").select(F.col("doc_id").alias("key")).distinct(), "dropped")
     key = key_of(*[F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text")])
     return numbered(docs).withColumn("key", key).join(dropped, "key", "left_anti").drop("key").toDF(*docs.columns)
