@@ -8,7 +8,7 @@ row are compared by their bytes with the row that stays; a row that differs (dig
 goes to a group of rows with its own bytes.
 
 A digest that holds a third of all rows is one row after the map-side aggregation; joins of rows with
-their group have one row per digest on the other side, so Spark can split a hot one.
+their group have one row per digest on the other side, a written table, so Spark can split a hot one.
 
 Defined results: null text counts as empty. Rows with a null id are new ones; they stay only in a group
 without any id (keep_id is then null). Rows that repeat a doc_id with the same text are
@@ -105,8 +105,9 @@ def exact_duplicates(docs: DataFrame, known: Column | None = None, digest=sha256
     odd = stage(different(texts.withColumn("digest", digest(F.col("text"))), groups.filter("n > 1")), "collisions")
     own = odd.groupBy("digest", "text").agg(F.min("doc_id").alias("own_id"), F.count("*").alias("own_n"))
     apart = odd.groupBy("digest").agg(F.count("*").alias("apart"))
-    moved = odd.join(own, ["digest", "text"]).select("digest", F.sha2("text", 256).alias("text_sha256"), "own_id", "own_n").distinct()
-    counted = groups.join(apart, "digest", "left").select("digest", "keep_id", (F.col("n") - F.coalesce("apart", F.lit(0))).alias("n"))
+    # Written tables on the side of the groups: only between plain shuffles can Spark split a hot digest.
+    moved = stage(odd.join(own, ["digest", "text"]).select("digest", F.sha2("text", 256).alias("text_sha256"), "own_id", "own_n").distinct(), "moved")
+    counted = stage(groups.join(apart, "digest", "left").select("digest", "keep_id", (F.col("n") - F.coalesce("apart", F.lit(0))).alias("n")), "counted")
     return (rows.join(counted, "digest").join(moved, ["digest", "text_sha256"], "left")
             .select("doc_id", F.when(F.col("own_n").isNull(), F.col("keep_id")).otherwise(F.col("own_id")).alias("keep_id"),
                     F.coalesce("own_n", "n").alias("group_size"), "text_sha256")
@@ -116,5 +117,5 @@ def exact_duplicates(docs: DataFrame, known: Column | None = None, digest=sha256
 def different(texts: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows (doc_id, digest, text) whose bytes are not those of the row that stays in their group."""
     members = stage(texts.join(groups.select("digest", "keep_id"), "digest"), "members")
-    stays = (members.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("text").alias("stays")))
+    stays = stage(members.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("text").alias("stays")), "stays")
     return members.join(stays, "digest").filter("text <> stays").select("doc_id", "digest", "text")
