@@ -20,9 +20,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go; so does a document of which nothing else is left."""
-    done = line_chunks.dedup_lines(docs)
-    emptied = (F.col(done.columns[-2]) > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
+    """Repeated chunks and passages of lines go; so does a document of which nothing else is left."""
+    done = line_chunks.dedup_lines(docs, passages=True)
+    emptied = (F.col(done.columns[-1]) > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
     left = done.filter(~emptied).select(*docs.columns)
     return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
 

@@ -68,7 +68,7 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_
 
 
 def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_chunks.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_chunks.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), passages=True)
 
 
 def op5_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:

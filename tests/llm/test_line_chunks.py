@@ -1,6 +1,7 @@
 import random
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from marquee.llm import line_chunks
 
@@ -84,3 +85,51 @@ def test_digest_collisions_remove_nothing(documents, monkeypatch, spark):
     same = line_chunks.chunk_rows(documents(rows).selectExpr("doc_id", "text"), True).selectExpr("doc_id", "cast(X'00' as binary) as digest", "times", "content")
     monkeypatch.setattr(line_chunks, "chunk_rows", lambda *a, **b: same)
     assert line_chunks.repeated_chunks(documents(rows)).count() == 0
+
+
+def passage(rng, n, words):
+    return [" ".join(f"p{rng.randrange(10**6)}" for _ in range(words // n + 1)) for _ in range(n)]
+
+
+def test_every_shared_passage_goes_whatever_surrounds_it(documents):
+    rng, rows, shared = random.Random(5), [], []
+    own = lambda: [f"own {rng.randrange(10**9)}" for _ in range(rng.randrange(4))]
+    for n in [2, 3, 4, 5, 6, 7, 8] * 5:
+        lines = passage(rng, n, 51)
+        shared.append((len(rows), lines))
+        for _ in range(2):
+            before, after = own(), own()
+            rows.append((len(rows), "\n".join([*before, *lines, *after]), "\n".join([*before, *after])))
+    done = texts(line_chunks.dedup_lines(documents([r[:2] for r in rows]), passages=True))
+    for first, _ in shared:
+        assert done[first] == rows[first][1]
+        assert done[first + 1].rstrip("\n") == rows[first + 1][2]
+
+
+def test_passages_keep_the_first_place_of_every_line(documents):
+    rows = sample()
+    done = texts(line_chunks.dedup_lines(documents(rows), passages=True))
+    assert sum(map(len, done.values())) < sum(len(t) for t in brute_force(rows).values())
+    kept = {line for t in done.values() for line in t.split("\n")}
+    assert {line for _, t in rows for line in t.split("\n")} <= kept | {""}
+
+
+def test_passages_of_one_document(documents):
+    lines = passage(random.Random(8), 3, 60)
+    block, line = "\n".join(lines), " ".join(f"r{i}" for i in range(20))
+    rows = [(1, f"{block}\nbetween\n{block}\nend"), (2, "\n".join([line] * 4)), (3, f"  \n{block}\n \n{lines[0]}"), (None, block), (4, None)]
+    done = texts(line_chunks.dedup_lines(documents(rows), passages=True))
+    assert done == {1: f"{block}\nbetween\nend", 2: rows[1][1], 3: f"  \n \n{lines[0]}", None: "", 4: None}
+
+
+def test_run_hash_collisions_remove_nothing(documents, monkeypatch):
+    docs = documents([(i, "\n".join(passage(random.Random(i), 3, 60))) for i in range(4)])
+    rows, contents = line_chunks.run_rows, line_chunks.run_contents
+    asked = docs.withColumn("hashes", F.array(F.lit(0)))
+    hashes = {r.hash for r in rows(docs).collect()}
+    every = asked.withColumn("hashes", F.array(*map(F.lit, sorted(hashes))))
+    monkeypatch.setattr(line_chunks, "run_rows", lambda *a: rows(docs).withColumn("hash", F.lit(0).cast("long")))
+    monkeypatch.setattr(line_chunks, "run_contents", lambda *a: contents(every).withColumn("hash", F.lit(0).cast("long")))
+    assert len(hashes) >= 4 and line_chunks.repeated_runs(docs).count() == 0
+    monkeypatch.setattr(line_chunks, "run_contents", lambda *a: contents(asked))
+    assert line_chunks.repeated_runs(docs).count() == 4
