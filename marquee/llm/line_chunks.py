@@ -2,7 +2,9 @@
 
 A rolling hash over the hashes of two neighbouring lines ends a chunk where it is divisible by ``divisor``,
 two lines at the earliest, so chunks depend on their own lines only and inserted text moves no later border
-for long. A line of ``long_words`` words or more is a chunk by itself. Chunks of several lines, and such long
+for long. A line of ``long_words`` words or more is a chunk by itself. A short line that would be left alone at the end
+of a text or before a long line belongs to the chunk before it, unless that one is a long line; a short line beside long ones
+is part of their runs (see ``passages``), so with these, copies of a text of several lines are emptied whole. Chunks of several lines, and such long
 lines, are counted over all documents; of those that repeat, the first one stays (in the document with the
 smallest id, there the first place) and every other one is removed.
 
@@ -65,7 +67,9 @@ def chunk_spans(column: pa.Array, divisor: int = DIVISOR, long_words: int = LONG
             for line in range(first[row], first[row + 1]):
                 last = line + 1 == first[row + 1]
                 # The first line of a text has no neighbour before it; LEAST_LINES keeps its hash from being asked for.
-                if last or long[line] or long[line + 1] or (cut[line] and line - begin + 1 >= LEAST_LINES):
+                # No border leaves a short line alone at the end of a text or before a long line.
+                if last or long[line] or long[line + 1] or (cut[line] and line - begin + 1 >= LEAST_LINES
+                                                            and line + 2 < first[row + 1] and not long[line + 2]):
                     counts = line > begin or long[line]
                     chunks.append((starts[begin] - low, ends[line] - low, (high if last else starts[line + 1]) - low, counts))
                     begin = line + 1

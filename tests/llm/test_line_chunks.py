@@ -133,3 +133,22 @@ def test_run_hash_collisions_remove_nothing(documents, monkeypatch):
     assert len(hashes) >= 4 and line_chunks.repeated_runs(docs).count() == 0
     monkeypatch.setattr(line_chunks, "run_contents", lambda *a: contents(asked))
     assert line_chunks.repeated_runs(docs).count() == 4
+
+
+def test_no_short_line_is_left_alone_after_short_ones(documents):
+    rng = random.Random(17)
+    bodies = [[f"line {rng.randrange(10**9)} of {i}" for _ in range(n)] for i, n in enumerate([2, 3, 4, 5, 6, 7, 8] * 6)]
+    long = " ".join(f"p{i}" for i in range(55))
+    for lines in [*bodies, *([*b, long] for b in bodies)]:
+        assert all(counts for *_, counts in chunks_of("\n".join(lines))[1])
+    rows = [(i + 1000 * copy, "\n".join(b)) for i, b in enumerate(bodies) for copy in range(3)]
+    done = texts(line_chunks.dedup_lines(documents(rows)))
+    assert all(done[i] == (t if i < 1000 else "") for i, t in rows)
+
+
+def test_copies_with_long_lines_are_emptied_whole(documents):
+    rng = random.Random(23)
+    bodies = [[" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice((2, 3, 60)))) for _ in range(rng.randrange(2, 9))] for _ in range(60)]
+    rows = [(i + 1000 * copy, "\n".join(b)) for i, b in enumerate(bodies) for copy in range(2)]
+    done = texts(line_chunks.dedup_lines(documents(rows), passages=True))
+    assert all(done[i] == (t if i < 1000 else "") for i, t in rows)
