@@ -10,10 +10,11 @@ leaks an item if the tiles cover ``coverage`` of the item's words.
 Documents never move: the benchmark comes to them in blocks of at most about BLOCK bytes, each broadcast, so its
 size doesn't matter and no passage is a hot key, however many documents hold it.
 
-Words are runs of letters and digits in lower case (ASCII and Latin-1 are folded); punctuation separates.
+Words are runs of letters, marks and digits, with case folded by Unicode; all else separates. In scripts that are written
+without spaces (Chinese, Japanese, Thai and so on) each letter with its marks is a word.
 
-Defined results: null and empty texts leak nothing. Items of fewer than min_match words, null ones among them,
-are never found. Ids of documents and items may be null or repeat; every row is judged by itself. An empty
+Defined results: null and empty texts leak nothing. Items without a word, null ones among them, are never found. Items of
+fewer than min_match words are found only with ``short_items``: as one whole run. Ids of documents and items may be null or repeat; every row is judged by itself. An empty
 benchmark leaves all documents clean. Other columns are kept and may have any name.
 """
 
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,14 +42,39 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _BREAK = np.zeros(256, bool)
 _BREAK[:128] = [not chr(i).isalnum() for i in range(128)]
+#: Scripts whose words are not separated, with the signs of Japanese that belong to no script.
+_UNSPACED = "".join(rf"\p{{{s}}}" for s in ("Han", "Hiragana", "Katakana", "Bopomofo", "Yi", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan",
+                                           "Tai_Le", "New_Tai_Lue", "Tai_Tham", "Tai_Viet", "Javanese", "Balinese")) + "\u30fc\uff70"
+_LETTERS = r"\p{L}\p{M}\p{Nd}\p{Nl}\u00d7\u00f7"  # the two signs count as letters, as they do in the bytes of Latin-1
+_WORD = regex.compile(rf"(?V1)[[{_LETTERS}]&&[{_UNSPACED}]]\p{{M}}*|[[{_LETTERS}]--[{_UNSPACED}]]+")
+
+
+def _by_unicode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with those rewritten as folded words between spaces that hold more than Latin-1 and common signs."""
+    other = data >= 0xC4
+    other[:-1] &= (data[:-1] != 0xE2) | (data[1:] != 0x80)
+    rows = np.unique(np.searchsorted(offsets, np.flatnonzero(other), "right") - 1)
+    if not len(rows):
+        return data, offsets
+    sizes, parts, place = np.diff(offsets), [], 0
+    for row in rows.tolist():
+        low, high = int(offsets[row]), int(offsets[row + 1])
+        text = " ".join(_WORD.findall(data[low:high].tobytes().decode().casefold())).encode()
+        parts += [data[place:low], np.frombuffer(text, np.uint8)]
+        sizes[row], place = len(text), high
+    return np.concatenate([*parts, data[place:]]), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, first word of each row)."""
+    data, offsets = _by_unicode(data, offsets)
     folded, breaks = _FOLD[data], _BREAK[data]
-    if len(data) > 2 and data.max() >= 0xC2:
+    if len(data) > 1 and data.max() >= 0xC2:
         latin = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
         folded[latin] += 0x20
+        for (lead, last), (to, then) in (((0xC3, 0x9F), b"ss"), ((0xC2, 0xB5), "μ".encode())):
+            folds = np.flatnonzero((data[:-1] == lead) & (data[1:] == last))
+            folded[folds], folded[folds + 1] = to, then
         signs = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x80))
         breaks[signs] = breaks[signs + 1] = breaks[signs + 2] = True
         signs = np.flatnonzero((data[:-1] == 0xC2) & (data[1:] < 0xC0) & ~np.isin(data[1:], (0xAA, 0xB5, 0xBA)))
@@ -59,7 +86,7 @@ def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 class Index:
     """The runs of min_match words of a block of benchmark items, sorted by hash."""
 
-    def __init__(self, items: list[tuple[int | None, str]], min_match: int = MIN_MATCH):
+    def __init__(self, items: list[tuple[int | None, str]], min_match: int = MIN_MATCH, short_items: bool = False):
         self.min_match, self.ids, self.words = min_match, [i for i, _ in items], []
         for _, _, data, offsets in slices(pa.array([t for _, t in items], pa.string())):
             words, first = plain_words(data, offsets)
@@ -72,6 +99,13 @@ class Index:
         self.place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) for g in grams)])[order]
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[self.hashes >> U64(44)] = True
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in range(1, min_match if short_items else 1):
+            of = np.array([k for k, w in enumerate(self.words) if len(w) == n], np.int64)
+            if len(of):
+                whole = np.concatenate([gram_hashes(self.words[k], n) for k in of.tolist()])
+                order = np.argsort(whole, kind="stable")
+                self.short[n] = whole[order], of[order]
 
     def shared(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, entry) of every run that the benchmark has as well."""
@@ -141,22 +175,38 @@ def leaks_of(words: np.ndarray, at: np.ndarray, entry: np.ndarray, index: Index,
     return found
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, min_match: int, block: int) -> Iterator[Index]:
+def short_leaks(words: np.ndarray, first: np.ndarray, index: Index) -> Iterator[tuple[int, dict]]:
+    """(row, leak) of each item of fewer than min_match words that a row holds as one run, at its first place."""
+    for n, (whole, of) in index.short.items():
+        grams = gram_hashes(words, n)
+        at = np.flatnonzero(np.isin(grams, whole))
+        row = np.searchsorted(first, at, "right") - 1
+        inside = at + n <= first[row + 1]
+        at, row = at[inside], row[inside]
+        _, firsts = np.unique(np.stack([row.astype(U64), grams[at]]), axis=1, return_index=True)
+        for k in firsts.tolist():
+            low, high = np.searchsorted(whole, grams[at[k]], "left"), np.searchsorted(whole, grams[at[k]], "right")
+            place = int(at[k] - first[row[k]])
+            for item in of[low:high].tolist():
+                yield int(row[k]), {"item_id": index.ids[item], "coverage": 1.0, "tiles": [{"item_word": 0, "doc_word": place, "words": n}]}
+
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, min_match: int, block: int, short_items: bool) -> Iterator[Index]:
     items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = -(-size // block)
     for i in range(n):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
-        yield Index(sorted(((r.item_id, r.text) for r in part.collect()), key=str), min_match)
+        yield Index(sorted(((r.item_id, r.text) for r in part.collect()), key=str), min_match, short_items)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", name: str = "leaks", item_col: str = "item_id",
-               item_text: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, block: int = BLOCK) -> DataFrame:
+               item_text: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, block: int = BLOCK, short_items: bool = False) -> DataFrame:
     """docs with one more column, ``name``: the items that each document leaks, with their coverage and tiles."""
     at = docs.columns.index(text_col)
     found = numbered(docs).withColumn("leaks", F.expr(f"cast(array() as {LEAKS})"))
     schema = found.schema
-    for index in _blocks(benchmark, item_col, item_text, min_match, block):
+    for index in _blocks(benchmark, item_col, item_text, min_match, block, short_items):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def scan(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -172,6 +222,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", na
                     for r in np.unique(row).tolist():
                         mine = row == r
                         leaks[first_row + r] += leaks_of(words[first[r]:first[r + 1]], where[mine] - first[r], entry[mine], index, coverage)
+                    for r, leak in short_leaks(words, first, index):
+                        leaks[first_row + r].append(leak)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(leaks, LEAKS_ARROW)], batch.schema.names)
 
         found = found.mapInArrow(scan, schema)

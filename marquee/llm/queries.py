@@ -21,7 +21,7 @@ BYTE_BPE, WORD_BPE, PIECES = (public_tokenizers.path(n) for n in ("byte_bpe_50k.
 
 def op1_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: whether it leaks a benchmark item, which ones, and where."""
-    found = decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), short_items=True)
     return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"),
                         F.coalesce(F.array_max(F.transform("leaks", lambda x: x["coverage"])), F.lit(0.0)).alias("coverage"), "leaks")
 

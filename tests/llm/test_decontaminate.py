@@ -94,3 +94,40 @@ def test_accents_fold_and_signs_separate():
         return d.plain_words(*next(slices(pa.array([text])))[2:])[0].tolist() if text else []
 
     assert words("ÉTÉ “à” l’ÔTEL") == words("été à l ôtel") and len(words("«a»\xa0b…c×d")) == 3
+
+
+@pytest.mark.parametrize(("item", "text"), [
+    ("北京是中国的首都，人口超过两千万。", "有人说北京是中国的首都，人口超过两千万。对吗"),
+    ("東京タワーはどこにありますか", "質問：東京タワーはどこにありますか？"),
+    ("กรุงเทพมหานครเป็นเมืองหลวง", "ว่ากรุงเทพมหานครเป็นเมืองหลวงของ"),
+    ("Ο ΉΛΙΟΣ ΚΑΙ Η ΘΆΛΑΣΣΑ ΤΗΣ ΕΛΛΆΔΑΣ", "λέει: ο ήλιος και η θάλασσα της ελλάδας!"),
+    ("столица россии это город москва", "ВОТ: СТОЛИЦА РОССИИ ЭТО ГОРОД МОСКВА"),
+    ("żółw łódź ćma świat źrebię", "x ŻÓŁW, ŁÓDŹ, ĆMA, ŚWIAT, ŹREBIĘ"),
+    ("die große straße heißt weiße gasse", "DIE GROSSE STRASSE HEISST WEISSE GASSE"),
+])
+def test_scripts_without_spaces_and_other_case(spark, documents, item, text):
+    docs = documents([(1, text), (2, item), (3, "plain ASCII text beside it"), (4, None)])
+    found = d.find_leaks(docs, spark.createDataFrame([(7, item, 0)], ITEM), name="found", item_col="id")
+    assert {r.doc_id: [(x.item_id, x.coverage) for x in r.found] for r in found.collect()} == {1: [(7, 1.0)], 2: [(7, 1.0)], 3: [], 4: []}
+
+
+def test_words_are_the_same_beside_other_scripts():
+    import pyarrow as pa
+
+    from marquee.llm.textarrays import slices
+
+    text = "Ünïcode ª²x straße «µ» a×b c÷d_e …f—g h\u200bi 3½ İ"
+    words = lambda *t: d.plain_words(*next(slices(pa.array(t)))[2:])
+    alone, first = words(text[:-1])
+    both, rows = words("aж", text[:-1] + "ж", text[:-1])
+    assert first.tolist() == [0, len(alone)] and rows.tolist() == [0, 1, len(alone) + 2, 2 * len(alone) + 2]
+    assert both[1:1 + len(alone)].tolist() == alone.tolist() == both[-len(alone):].tolist()
+
+
+@pytest.mark.parametrize("block", [d.BLOCK, 80])
+def test_short_items_are_found_as_one_whole_run(spark, documents, block):
+    benchmark = spark.createDataFrame([(1, "Forty two", 0), (2, "what is it called", 0), (3, "xyzzy", 0), (4, "forty, two!", 0), (5, "", 0), (6, None, 0), (7, "首都", 0)], ITEM)
+    rows = [(1, "a forty-two b forty two"), (2, "forty"), (3, "two it is called what"), (4, "so what is it called?"), (5, "Xyzzy"), (6, "forty two two"), (7, "中国的首都"), (8, None)]
+    found = d.find_leaks(documents(rows), benchmark, name="found", item_col="id", block=block, short_items=True).collect()
+    assert {r.doc_id: sorted(x.item_id for x in r.found) for r in found} == {1: [1, 4], 2: [], 3: [], 4: [2], 5: [3], 6: [1, 4], 7: [7], 8: []}
+    assert [(t.item_word, t.doc_word, t.words) for r in found if r.doc_id == 1 for x in r.found for t in x.tiles] == [(0, 1, 2)] * 2
