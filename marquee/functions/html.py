@@ -162,9 +162,10 @@ def _walk(state: Column, t: Column) -> Column:
 
 
 def tree(html: Column) -> Column:
-    """The page without noise, with depths and all end tags written down. A page that has them stays as it is.
+    """The page without noise, with depths and all end tags written down.
 
-    An element's depth is written as the length of the names around it.
+    An element's depth is written as the length of the names around it. What is passed is always a raw page: the character of
+    the marks is removed from it. For pages and elements that have marks there is ``select_marked``.
     """
     nothing = F.expr("cast(array() as array<string>)")
     start = F.struct(nothing.alias("out"), F.lit(" ").alias("stack"))
@@ -179,10 +180,9 @@ def tree(html: Column) -> Column:
         return F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.expr("cast(array() as array<int>)")),
                            lambda i: F.transform(F.slice(pieces, i * BLOCK + 1, F.lit(BLOCK)), _piece))
 
-    pieces = F.regexp_extract_all(F.replace(strip_noise(html), F.lit(MARK_CHAR), F.lit("")), F.lit(PIECE), F.lit(0))
-    walked = F.aggregate(let(pieces, blocks), start, block, lambda s: F.concat(
+    pieces = F.regexp_extract_all(strip_noise(F.replace(html, F.lit(MARK_CHAR), F.lit(""))), F.lit(PIECE), F.lit(0))
+    return F.aggregate(let(pieces, blocks), start, block, lambda s: F.concat(
         F.array_join(s["out"], ""), _end_tags(F.substr(s["stack"], F.lit(2)), F.lit(1))))
-    return F.when(html.contains(MARK_CHAR), html).otherwise(walked)
 
 
 def without_marks(html: Column) -> Column:
@@ -200,7 +200,7 @@ def select_marked(page: Column, selector: str, *descendants: str) -> Column:
 
 
 def select_all(html: Column, selector: str, *descendants: str) -> Column:
-    """All matching elements, in page order, as array<string> of outer HTML with depths."""
+    """All matching elements of a raw page, in page order, as array<string> of outer HTML with depths."""
     return let(tree(html), lambda page: select_marked(page, selector, *descendants))
 
 

@@ -23,7 +23,7 @@ PAGE_FILMS = ("array<struct<title_jp:string,poster_url:string,showings:array<str
 # ---- parts usable on their own
 
 def explode_blocks(pages: DataFrame, selector: str, *descendants: str, html: str = "html") -> DataFrame:
-    """One row per matching element, with its position on the page; html is dropped.
+    """One row per matching element of a raw page, with its position on the page; html is dropped.
 
     Blocks keep the marks that ``tree`` has made; ``without_marks`` removes them.
     """

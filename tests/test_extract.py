@@ -121,3 +121,9 @@ def test_blocks_titles_and_placeholders(spark):
     assert X.block_titles(blocks, "h1", 2).count() == 1
     times = spark.createDataFrame([("",), ("-",), ("10:00",)], "start_time string")
     assert [r.start_time for r in X.drop_placeholders(times).collect()] == ["10:00"]
+
+
+def test_pages_with_a_stray_mark_character_keep_their_films(spark):
+    page = "<div class=programBox><h2>映画その一</h2><span class='showtime'>13:20</span></div>"
+    got = films(X.extract_chain_b(pages(spark, page, page.replace("<h2>", "\x01<h2>")), AS_OF))
+    assert len(got) == 2 and got[0][1:] == got[1][1:] and got[0][1] == "映画その一"

@@ -115,3 +115,11 @@ def test_poster(values):
 def test_unsupported_selector_is_refused():
     with pytest.raises(ValueError):
         H.element_pattern("div > p")
+
+
+def test_a_stray_mark_character_hides_nothing(values):
+    page = "<div class=movie>\x01<scr\x01ipt>var x = '<p class=movie>no</p>'</script><p>One\x01</p></div><p class=movie>Two"
+    plain = page.replace("\x01", "")
+    assert pick(values, page, ".movie") == pick(values, plain, ".movie") == [
+        "<div class=movie><p>One</p></div>", "<p class=movie>Two</p>"]
+    assert values(H.tree, [page]) == values(H.tree, [plain])
