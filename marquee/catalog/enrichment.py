@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from marquee.catalog.bindings import FILMS_SQL, KEY_SQL, ORDER_SQL, WS_SQL, films, table
 from marquee.catalog.registry import query
-from marquee.functions.html import tree
 from marquee.functions.text import first_token, lookup_query
 from marquee.operators.enrich import (
     best_match, enrich, enrich_all, first_reviews, local_title, parse_people, parse_rating, parse_year_duration,
-    pick_best, quick_rating, top_reviews, two_stage_lookup)
+    pick_best, rating_page, quick_rating, top_reviews, two_stage_lookup)
 from marquee.operators.merge import merge_titles
 
 
@@ -108,8 +107,8 @@ def parse_rating_query(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("p_size") % 4 == 0, F.lit("none")).otherwise(rating), F.lit(" </strong>"),
         F.when(F.col("p_size") % 7 == 0, F.lit("<span>12</span>")).otherwise(
             F.concat(F.lit("<a><span property='v:votes'>"), votes, F.lit("</span>人评价</a>"))), F.lit("</div>"))
-    page = table(spark, sf, "part").select("p_partkey", tree(html).alias("html"))
-    score, found = parse_rating(F.col("html"))
+    page = table(spark, sf, "part").select("p_partkey", rating_page(html, "rating", "votes").alias("page"))
+    score, found = parse_rating(F.col("page"))
     return page.select("p_partkey", score.alias("score"), found.alias("votes"))
 
 
@@ -124,8 +123,8 @@ def join_top5(spark: SparkSession, sf: str) -> DataFrame:
     html = F.concat(
         F.lit("<span class='attrs'><a rel=\"v:directedBy\">"), F.col("p_brand"), F.lit("</a></span>"), many,
         F.lit("<span property=\"v:genre\">"), F.col("p_type"), F.lit("</span> / <span property=\"v:genre\">A &amp; B</span>"))
-    page = table(spark, sf, "part").select("p_partkey", tree(html).alias("html"))
-    director, cast, genre = parse_people(F.col("html"))
+    page = table(spark, sf, "part").select("p_partkey", rating_page(html, "directors", "cast", "genres").alias("page"))
+    director, cast, genre = parse_people(F.col("page"))
     return page.select("p_partkey", director.alias("director"), cast.alias("cast"), genre.alias("genre"))
 
 
@@ -140,8 +139,8 @@ def parse_year(spark: SparkSession, sf: str) -> DataFrame:
         F.when(size % 3 == 0, F.lit("")).otherwise(F.concat(
             F.lit("<span property=\"v:runtime\" content=\"9\">"), F.translate((size + 60).cast("string"), "0123456789", "０１２３４５６７８９"),
             F.lit("分钟 / 90分钟</span>"))))
-    page = table(spark, sf, "part").select("p_partkey", tree(html).alias("html"))
-    year, duration = parse_year_duration(F.col("html"))
+    page = table(spark, sf, "part").select("p_partkey", rating_page(html, "year", "runtime").alias("page"))
+    year, duration = parse_year_duration(F.col("page"))
     return page.select("p_partkey", year.alias("year"), duration.alias("duration"))
 
 
@@ -154,8 +153,8 @@ def local_title_query(spark: SparkSession, sf: str) -> DataFrame:
         .when(size % 4 == 1, F.concat(F.lit("<h1>x<span>"), F.col("p_name")))
         .when(size % 4 == 2, F.concat(F.lit("<h1><span>no</span></h1><b><span property='v:itemreviewed'>"), F.col("p_name")))
         .otherwise(F.lit("<h1>plain")), F.lit("</span></h1>"))
-    page = table(spark, sf, "part").select("p_partkey", tree(html).alias("html"))
-    return page.select("p_partkey", local_title(F.col("html")).alias("title_cn"))
+    page = table(spark, sf, "part").select("p_partkey", rating_page(html, "item", "heading").alias("page"))
+    return page.select("p_partkey", local_title(F.col("page")).alias("title_cn"))
 
 
 @query("first_token", f"""

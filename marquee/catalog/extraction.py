@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from marquee.catalog.bindings import (
     AS_OF, CLEAN_PAGES_SQL, ORDER_DATE_SQL, ORDER_SHOWS_SQL, SHOW_DATE, WS_SQL, order_pages, table, text_sql)
 from marquee.catalog.registry import query
+from marquee.functions import fixed_values as fv
 from marquee.functions.dates import parse_month_day
-from marquee.functions.html import absolute_link, attribute, clean_text_of, tree
+from marquee.functions.html import TEXT, absolute_link, select_all
 from marquee.functions.text import clean_text, parse_time_lenient, parse_time_strict
 from marquee.operators.extract import (
     anchor_titles, block_titles, drop_placeholders, explode_blocks, extract_chain_a, extract_chain_b, extract_independent,
@@ -28,8 +29,8 @@ def clean_text_query(spark: SparkSession, sf: str) -> DataFrame:
     select page_id, pos::integer as pos, {text_sql("regexp_replace(block, '(?s)(</p>|</article>|</body>).*', '')")} as block_text from blocks""")
 def page_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Paragraphs, many of which lack their end tag, in page order."""
-    blocks = explode_blocks(table(spark, sf, "pages"), "p")
-    return blocks.select("page_id", "pos", clean_text_of(F.col("block")).alias("block_text"))
+    texts = select_all(F.col("html"), "p", TEXT)
+    return table(spark, sf, "pages").select("page_id", F.posexplode(texts).alias("pos", "text")).select("page_id", "pos", clean_text(F.col("text")).alias("block_text"))
 
 
 @query("page_titles", f"""with {CLEAN_PAGES_SQL}
@@ -57,8 +58,7 @@ LINKS_SQL = f"""{CLEAN_PAGES_SQL},
     from hrefs""")
 def absolute_links(spark: SparkSession, sf: str) -> DataFrame:
     """Anchor links of every page, in the five forms a link can take, resolved against the page."""
-    anchors = explode_blocks(table(spark, sf, "pages"), "a[href]")
-    rows = anchors.select("page_id", "url", "pos", attribute(F.col("block"), "href").alias("href"))
+    rows = table(spark, sf, "pages").select("page_id", "url", F.posexplode(select_all(F.col("html"), "a[href]", "@href")).alias("pos", "href"))
     form = F.col("pos") % 5
     link = (F.when(form == 0, F.col("href")).when(form == 1, F.substr("href", F.lit(2)))
             .when(form == 2, F.concat(F.lit("https://cdn.example"), "href"))
@@ -79,10 +79,10 @@ def absolute_links(spark: SparkSession, sf: str) -> DataFrame:
            else concat(month(o_orderdate), '/', day(o_orderdate), case n when 0 then '|21:00' else '|late' end) end
     from orders cross join (select unnest([0, 1]) as n) where n = 0 or o_orderstatus not in ('F', 'O')""")
 def row_cells_query(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = explode_blocks(order_pages(spark, sf), ".schedule-movie-detail, .m-schedule-movie-detail")
-    rows = blocks.select("page_id", "pos", F.posexplode(
-        row_cells(F.col("block"), ".schedule-table, .m-schedule-table")).alias("row_no", "c"))
-    return rows.select("page_id", "pos", "row_no", F.array_join(F.transform("c", clean_text_of), "|").alias("cells"))
+    cells = row_cells(F.col("html"), fv.CHAIN_A_BLOCK, ".schedule-table tr, .m-schedule-table tr")
+    blocks = order_pages(spark, sf).select("page_id", F.posexplode(cells).alias("pos", "rows"))
+    rows = blocks.select("page_id", "pos", F.posexplode("rows").alias("row_no", "c"))
+    return rows.select("page_id", "pos", "row_no", F.array_join(F.transform("c", clean_text), "|").alias("cells"))
 
 
 @query("parse_month_day", f"""select o_orderkey, {ORDER_DATE_SQL} as show_date from orders""")
@@ -224,7 +224,7 @@ ANCHOR_SQL = f"""{CLEAN_PAGES_SQL},
     select page_id, title_jp, (row_number() over (partition by page_id order by i) - 1)::integer as pos
     from titles where length(title_jp) >= 2""")
 def anchor_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    pages = table(spark, sf, "pages").withColumn("html", tree(F.col("html")))
+    pages = table(spark, sf, "pages")
     return pages.select("page_id", F.posexplode(anchor_titles(F.col("html"), ("e",), 2)).alias("pos", "title_jp"))
 
 
@@ -232,8 +232,7 @@ def anchor_fallback(spark: SparkSession, sf: str) -> DataFrame:
     select page_id, case when contains(url, 'blog') then 'blog' when contains(url, '/en/') then '/en/'
                          when contains(url, '.org') then '.org' else 'generic' end as profile from pages""")
 def selector_profile_query(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select(
-        "page_id", selector_profile(F.col("url"), ("blog", "/en/", ".org")).alias("profile"))
+    return selector_profile(table(spark, sf, "pages").select("page_id", "url"), ("blog", "/en/", ".org"), "url").select("page_id", "profile")
 
 
 @query("generic_titles", f"""with {CLEAN_PAGES_SQL},
@@ -247,7 +246,7 @@ def selector_profile_query(spark: SparkSession, sf: str) -> DataFrame:
     numbered as (select page_id, title_jp, row_number() over (partition by page_id order by i) - 1 as pos from best where sel = first_sel)
     select page_id, pos::integer as pos, title_jp from numbered where pos < 20""")
 def generic_titles_query(spark: SparkSession, sf: str) -> DataFrame:
-    pages = table(spark, sf, "pages").withColumn("html", tree(F.col("html")))
+    pages = table(spark, sf, "pages")
     titles = generic_titles(F.col("html"), ("h2.title", ".movie-title", "li", "h1"))
     return pages.select("page_id", F.posexplode(titles).alias("pos", "title_jp"))
 

@@ -6,46 +6,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions import fixed_values as fv
-from marquee.functions.html import clean_text_of, node_text, select_first, select_marked, text_of
+from marquee.functions.html import STRIPPED, TEXT, select_fields
 from marquee.functions.text import (
     ascii_digits, clean_text, fill, first_token, join_names, lookup_query, missing_as_null, strip_text)
 
 
-# ---- parsing of a rating page (columns over its marked HTML, see functions/html.py)
+# ---- parsing of a rating page: its elements are read in one walk, what they say are columns over their texts
 
-def parse_rating(html: Column) -> tuple[Column, Column]:
-    """(score, votes): 0 where the page has none or no number."""
-    score = node_text(select_first(html, "strong.rating_num")).try_cast("double")
-    digits = F.regexp_replace(ascii_digits(node_text(select_first(html, "span[property='v:votes']"))), r"\D", "")
-    return F.coalesce(score, F.lit(0.0)), F.coalesce(digits.try_cast("long"), F.lit(0).cast("long"))
+RATING_FIELDS = {
+    "rating": ("strong.rating_num", STRIPPED), "votes": ("span[property='v:votes']", STRIPPED), "directors": ("a[rel='v:directedBy']", STRIPPED),
+    "cast": ("a[rel='v:starring']", STRIPPED), "genres": ("span[property='v:genre']", STRIPPED), "year": ("span.year", TEXT),
+    "runtime": ("span[property='v:runtime']", TEXT), "item": ("span[property='v:itemreviewed']", TEXT), "heading": ("h1 span", TEXT),
+    "reviews": (".comment-item .short", TEXT)}
+
+
+def rating_page(html: Column, *names: str) -> Column:
+    """The texts of a rating page's elements (or of the named ones), as struct<name: array<string>>."""
+    return select_fields(html, {n: RATING_FIELDS[n] for n in names or RATING_FIELDS})
 
 
-def _texts(html: Column, selector: str) -> Column:
-    return F.transform(select_marked(html, selector), node_text)
+def _first(texts: Column) -> Column:
+    return F.coalesce(F.get(texts, F.lit(0)), F.lit(""))
+
+
+def parse_rating(page: Column) -> tuple[Column, Column]:
+    """(score, votes): 0 where the page has none or no number."""
+    digits = F.regexp_replace(ascii_digits(_first(page["votes"])), r"\D", "")
+    return F.coalesce(_first(page["rating"]).try_cast("double"), F.lit(0.0)), F.coalesce(digits.try_cast("long"), F.lit(0).cast("long"))
 
 
-def parse_people(html: Column, cast_shown: int = fv.CAST_SHOWN) -> tuple[Column, Column, Column]:
+def parse_people(page: Column, cast_shown: int = fv.CAST_SHOWN) -> tuple[Column, Column, Column]:
     """(director, cast, genre): names joined by ' / ', the cast cut to its first names."""
-    return (join_names(_texts(html, "a[rel='v:directedBy']")),
-            join_names(_texts(html, "a[rel='v:starring']"), cast_shown),
-            join_names(_texts(html, "span[property='v:genre']")))
+    return join_names(page["directors"]), join_names(page["cast"], cast_shown), join_names(page["genres"])
 
 
 def first_number(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_extract(ascii_digits(text), pattern, 0).try_cast("int"), F.lit(0))
 
 
-def parse_year_duration(html: Column) -> tuple[Column, Column]:
+def parse_year_duration(page: Column) -> tuple[Column, Column]:
     """(year, duration): first four digits, first run of digits; 0 where absent."""
-    return (first_number(text_of(select_first(html, "span.year")), r"\d{4}"),
-            first_number(text_of(select_first(html, "span[property='v:runtime']")), r"\d+"))
+    return first_number(_first(page["year"]), r"\d{4}"), first_number(_first(page["runtime"]), r"\d+")
 
 
-def local_title(html: Column) -> Column:
+def local_title(page: Column) -> Column:
     """First word of the reviewed item's name, else of the heading; NULL if neither exists."""
-    item = select_first(html, "span[property='v:itemreviewed']")
-    heading = F.try_element_at(select_marked(html, "h1", "span"), F.lit(1))
-    return first_token(text_of(F.coalesce(missing_as_null(item), heading)))
+    return first_token(F.coalesce(F.get(page["item"], F.lit(0)), F.get(page["heading"], F.lit(0))))
 
 
 def top_reviews(texts: Column, n: int = fv.REVIEWS_KEPT) -> Column:
@@ -64,14 +70,13 @@ def first_reviews(reviews: DataFrame, keys: list[str], order: str, text: str, n:
     return cleaned.withColumn("n", F.row_number().over(place)).filter(F.col("n") <= n).select(*keys, "n", text)
 
 
-def subject_columns(html: Column, reviews: int = fv.REVIEWS_KEPT) -> list[Column]:
-    score, votes = parse_rating(html)
-    director, cast, genre = parse_people(html)
-    year, duration = parse_year_duration(html)
-    comments = F.transform(select_marked(html, ".comment-item", ".short"), clean_text_of)
-    return [local_title(html).alias("title_cn"), director.alias("director"), cast.alias("cast"),
+def subject_columns(page: Column, reviews: int = fv.REVIEWS_KEPT) -> list[Column]:
+    score, votes = parse_rating(page)
+    director, cast, genre = parse_people(page)
+    year, duration = parse_year_duration(page)
+    return [local_title(page).alias("title_cn"), director.alias("director"), cast.alias("cast"),
             genre.alias("genre"), year.alias("year"), duration.alias("duration"), score.alias("score"),
-            votes.alias("votes"), top_reviews(comments, reviews).alias("reviews")]
+            votes.alias("votes"), top_reviews(F.transform(page["reviews"], clean_text), reviews).alias("reviews")]
 
 
 # ---- lookup

@@ -10,11 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.functions import fixed_values as fv
 from marquee.functions.dates import week_start
 from marquee.operators.enrich import best_match, enrich
-from marquee.operators.extract import (
-    chain_a_films, chain_b_films, extract_pages, independent_films, page_movies, page_screenings)
+from marquee.operators.extract import all_rules, extract_pages, match_rules, page_movies, page_screenings
 from marquee.operators.merge import film_stats, merge_titles, with_stats
 from marquee.operators.rank import with_score
 from marquee.operators.report import ReportOptions, issue_document, issue_parts
@@ -26,38 +24,34 @@ UNRATED = {
     "duration": "0", "score": "0D", "votes": "0L", "reviews": "cast(array() as array<string>)"}
 
 
-def stage(df: DataFrame, name: str, folder: str | None) -> DataFrame:
-    """Write a table that several later steps read, and read it back; the HTML is then parsed once.
+def shared_dir(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; where that is unset, a folder below the warehouse, which is shared as well."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named.rstrip("/") if named else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
 
-    The folder must be one all executors see. Without one the plan stays a single lineage.
-    """
-    if folder is None:
-        return df
-    path = f"{folder.rstrip('/')}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
 
+def stage_folder(spark: SparkSession) -> str:
+    """A new folder for the tables of one run. The job leaves them there; who called it removes the folder when its results are stored."""
+    return f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
 
-def stage_folder(spark: SparkSession) -> str | None:
-    """A new folder for one run below the shared folder the session names in spark.checkpoint.dir.
 
-    Without that setting there is none, and plans stay one lineage.
+def stage(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Write a table that several later steps read, and read it back; without a folder, in a new one of its own.
+
+    The HTML is then parsed once, later plans begin at the written table, and a lost executor costs no more than the tasks that read it.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}" if shared else None
+    path = f"{(folder or stage_folder(df.sparkSession)).rstrip('/')}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def extract_all(pages: DataFrame, as_of, profiles: dict | None = None, generic: dict | None = None) -> DataFrame:
+def extract_all(pages: DataFrame, as_of, profiles: dict | None = None, generic: dict | None = None, rules: DataFrame | None = None) -> DataFrame:
     """Film rows of all pages (source, sched_ord, theater_name, base_url, html); sched_ord carries the chains' order.
 
-    Each page is read once, by the rules of its own chain.
+    Each page is read once, by the first rule of its source that fits its address. ``rules`` (see ``rule_table``) replaces the known ones.
     """
-    def films(html, base):
-        return (F.when(F.col("source") == fv.CHAIN_A_SOURCE, chain_a_films(html, base, as_of))
-                .when(F.col("source") == fv.CHAIN_B_SOURCE, chain_b_films(html, base, as_of))
-                .otherwise(independent_films(html, base, as_of, profiles, generic)))
-
-    return extract_pages(pages, films)
+    known = all_rules(pages.sparkSession, profiles, generic) if rules is None else rules
+    return extract_pages(match_rules(pages, known), as_of)
 
 
 def raw_tables(page_films: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -96,7 +90,7 @@ def scored_films(films: DataFrame, screenings: DataFrame, issues: DataFrame,
 
 def generate_reports(films: DataFrame, screenings: DataFrame, issues: DataFrame,
                      options: ReportOptions | None = None, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents, ranked films) of every issue."""
+    """(documents, ranked films) of every issue; scored films are written as in ``weekly_job``."""
     o = options or ReportOptions()
     scored = stage(scored_films(films, screenings, issues, o.weights), "scored_films", folder)
     return issue_document(issues, scored, o), scored
@@ -104,8 +98,11 @@ def generate_reports(films: DataFrame, screenings: DataFrame, issues: DataFrame,
 
 def weekly_job(theater_pages: DataFrame, candidates: DataFrame, subjects: DataFrame | None, issues: DataFrame,
                as_of, options: ReportOptions | None = None, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(document parts, ranked films) from captured pages; ``subjects=None`` skips the ratings."""
-    o = options or ReportOptions()
+    """(document parts, ranked films) from captured pages; ``subjects=None`` skips the ratings.
+
+    Extracted and scored films are written below ``folder``, by default a new ``stage_folder``; the results read them from there.
+    """
+    o, folder = options or ReportOptions(), folder or stage_folder(theater_pages.sparkSession)
     page_films = stage(extract_all(theater_pages, as_of), "page_films", folder)
     raw, screenings = raw_tables(page_films)
     merged = merge_titles(raw.drop("screening_count"), SCOPE)

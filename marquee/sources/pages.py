@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions import fixed_values as fv
-from marquee.functions.html import tree
-from marquee.operators.enrich import subject_columns
+from marquee.operators.enrich import rating_page, subject_columns
 
 SUBJECT_ID = r"/subject/(\d+)/"
 
@@ -40,6 +39,6 @@ def scan_subjects(pages: DataFrame, wanted: DataFrame | None = None, reviews: in
     hits = subject_pages(pages)
     if wanted is not None:
         hits = hits.join(wanted.select("id").distinct(), "id", "left_semi")
-    parsed = (hits.withColumn("html", tree(F.coalesce("html", F.lit(""))))
-              .select("id", "page_id", F.struct(*subject_columns(F.col("html"), reviews)).alias("s")))
+    parsed = (hits.select("id", "page_id", rating_page(F.col("html")).alias("page"))
+              .select("id", "page_id", F.struct(*subject_columns(F.col("page"), reviews)).alias("s")))
     return parsed.groupBy("id").agg(F.min_by("s", "page_id").alias("s")).select("id", "s.*")

@@ -1,8 +1,8 @@
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
-from marquee.functions.html import tree
 from marquee.operators import extract as X
 
 AS_OF = "2026-04-13"
@@ -46,8 +46,31 @@ def test_one_pass_over_all_chains(spark):
     rows = [("TOHO", 0, "a", "https://a.jp", CHAIN_A), ("United", 1, "b", "https://b.jp", b), ("独立影院", 2, "c", "https://www.ks-cinema.com", own)]
     df = extract_all(spark.createDataFrame(rows, "source string, sched_ord long, theater_name string, base_url string, html string"), AS_OF)
     assert [(t, len(s)) for _, t, _, _, s in films(df)] == [("映画A", 2), ("映画C", 1), ("映画B", 1), ("映画K", 1)]
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Scan") == 1 and "Exchange" not in plan
+
+
+def test_html_is_read_once_and_not_shuffled(spark, tmp_path):
+    """Rules are matched on addresses read without the HTML; the plan is the same for many rules."""
+    from marquee.plans.weekly import extract_all
+
+    rows = [("TOHO", i, "a", "https://a.jp", CHAIN_A) for i in range(20)]
+    path = str(tmp_path / "pages")
+    spark.createDataFrame(rows, "source string, sched_ord long, theater_name string, base_url string, html string").write.parquet(path)
+    few = extract_all(spark.read.parquet(path), AS_OF)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert len([line for line in plan.splitlines() if "FileScan" in line and re.search(r"ReadSchema: .*html:", line)]) == 1
+    assert not any("html" in line for line in plan.splitlines() if "Exchange" in line)
+    known = {f"site{i}.example": {"block": f".b{i}", "title": f"h{i % 6 + 1}", "time": f".t{i}"} for i in range(1000)}
+    many = extract_all(spark.read.parquet(path), AS_OF, profiles=known)
+    sizes = [len(df._jdf.queryExecution().analyzed().toString()) for df in (few, many)]
+    assert sizes[0] < 200_000 and abs(sizes[0] - sizes[1]) < 100
+
+
+def test_a_thousand_profiles(spark):
+    known = {f"site{i}.example": {"block": f".b{i}", "title": "h2", "time": ".t"} for i in range(1000)}
+    html = "".join(f"<div class=b{i}><h2>映画{i}</h2></div>" for i in (7, 70, 700))
+    df = spark.createDataFrame([(i, f"T{i}", f"https://www.site{i}.example/x", html) for i in (7, 70, 700, 8)], SCHEMA)
+    got = films(X.extract_independent(df, AS_OF, profiles=known))
+    assert [(i, t) for i, t, *_ in got] == [(7, "映画7"), (8, "映画7"), (8, "映画70"), (8, "映画700"), (70, "映画70"), (700, "映画700")]
 
 
 def test_chain_a_date_list_keeps_unknown_dates(spark):
@@ -83,9 +106,12 @@ def test_independent_keeps_films_without_showings(spark):
     assert [(r.title_jp, r.start_time) for r in shown] == [("映画Z", "19:00"), ("映画Z", "21:00")]
 
 
-def test_profiles(spark, values):
-    urls = ["https://www.ks-cinema.com", "https://x.jp", "https://imageforum.uplink.jp"]
-    assert values(X.selector_profile, urls) == ["ks-cinema", "generic", "uplink"]
+def test_profiles(spark):
+    urls = ["https://www.ks-cinema.com", "https://x.jp", "https://imageforum.uplink.jp", "", None, "up", "uplink"]
+    df = spark.createDataFrame(list(enumerate(urls)), "i int, base_url string")
+    assert [r.profile for r in X.selector_profile(df).orderBy("i").collect()] == ["ks-cinema", "generic", "uplink", "generic", "generic", "generic", "uplink"]
+    short = spark.createDataFrame([("k", 2), ("ks", 1), ("jp", 0), ("x.jp", 3)], "keyword string, ord int")
+    assert [r.profile for r in X.selector_profile(df, short).orderBy("i").collect()] == ["ks", "jp", "jp", "generic", "generic", "generic", "k"]
     table = "<table><tr><td>映画K</td><td>10:30</td></tr><tr><td>映画L</td><td>n/a</td></tr></table>"
     got = films(X.extract_independent(pages(spark, table, base="https://www.ks-cinema.com"), AS_OF))
     assert [(t, s) for _, t, _, _, s in got] == [("映画K", [(AS_OF, "10:30")]), ("映画L", [])]
@@ -95,7 +121,7 @@ def test_generic_titles(values):
     many = "".join(f"<h2>映画その{i}</h2>" for i in range(25))
     cases = [many, "<h2>abc</h2><h2>かなだ</h2><h2>abcdef</h2><h2>かなだ</h2>", "<h2>abc</h2><h3>映画です</h3>",
              "<h2>映画です</h2><h1 class='title'>第一候補</h1>", "<p>none</p>"]
-    got = values(lambda c: X.generic_titles(tree(c)), cases)
+    got = values(lambda c: X.generic_titles(c), cases)
     assert got == [[f"映画その{i}" for i in range(20)], ["かなだ", "abcdef"], ["映画です"], ["第一候補"], []]
 
 
@@ -123,7 +149,7 @@ def test_blocks_titles_and_placeholders(spark):
     assert [r.start_time for r in X.drop_placeholders(times).collect()] == ["10:00"]
 
 
-def test_pages_with_a_stray_mark_character_keep_their_films(spark):
+def test_pages_with_control_characters_keep_their_films(spark):
     page = "<div class=programBox><h2>映画その一</h2><span class='showtime'>13:20</span></div>"
     got = films(X.extract_chain_b(pages(spark, page, page.replace("<h2>", "\x01<h2>")), AS_OF))
     assert len(got) == 2 and got[0][1:] == got[1][1:] and got[0][1] == "映画その一"
