@@ -177,15 +177,16 @@ def restyle_headings_query(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", restyle_headings(F.col("html")).alias("html"))
 
 
-@query("draft_payload", """
+@query("draft_payload", r"""
     select doc_id, concat('{"articles":[{"title":"', source, '","author":"', lang, '","digest":"', case lang when 'en' then source else 'd' end,
-        '","content":"<p>', n_chars, '</p>","content_source_url":"","need_open_comment":0,"only_fans_can_comment":0',
+        '","content":', to_json(concat('<p>', text, '</p>'))::varchar, ',"content_source_url":"","need_open_comment":0,"only_fans_can_comment":0',
         case lang when 'fr' then ',"thumb_media_id":"m1"' else '' end, '}]}') as payload from documents""")
 def draft_payload_query(spark: SparkSession, sf: str) -> DataFrame:
+    """The payload of every document, with its whole text as content."""
     lang = F.col("lang")
     return table(spark, sf, "documents").select("doc_id", draft_payload(
         F.col("source"), lang, F.when(lang == "en", "").otherwise("d"),
-        F.concat(F.lit("<p>"), F.col("n_chars").cast("string"), F.lit("</p>")),
+        F.concat(F.lit("<p>"), "text", F.lit("</p>")),
         F.when(lang == "fr", "m1").when(lang == "de", "")).alias("payload"))
 
 

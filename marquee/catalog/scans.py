@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +14,7 @@ from marquee.functions.dates import week_start
 from marquee.operators.enrich import quick_rating
 from marquee.operators.merge import film_stats, merge_titles, with_stats
 from marquee.operators.rank import with_score
+from marquee.plans.weekly import stage_folder
 from marquee.sources.archive import next_issue, read_archive, scan_archive, write_issues
 from marquee.sources.candidates import scan_candidates
 from marquee.sources.export import export_rows
@@ -151,16 +150,13 @@ ARCHIVE_SQL = """archive as (
 
 
 def _archive(spark: SparkSession, sf: str) -> str:
-    """Write the archive to the folder that the cluster shares, or to the warehouse, and return its path.
-
-    Each set of tables has one folder; writing it again replaces its reports.
-    """
+    """Write the archive to a new folder below the one that the cluster shares, and return its path. Every source is written twice, at first with a draft."""
     lang = F.when(F.col("lang") == "de", 1).when(F.col("lang") == "en", 2).when(F.col("lang") == "es", 3).otherwise(4)
     number = F.substring("source", 4, 9).cast("int") * 10 + lang
     parts = table(spark, sf, "documents").select(
         issue_filename(number, F.lit("2026-04-13").cast("date")).alias("file_name"), F.col("doc_id").alias("part_key"), "text")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{shared.rstrip('/')}/archive-{zlib.crc32(sf.encode()):08x}"
+    path = f"{stage_folder(spark)}/archive"
+    write_issues(parts.select("file_name").distinct().select("file_name", F.lit(0).alias("part_key"), F.lit("draft").alias("text")), path)
     write_issues(parts, path)
     return path
 
