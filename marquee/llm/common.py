@@ -19,14 +19,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/") if named else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write a table that later steps read more than once, and read it back.
 
     Each call writes to a folder of its own, so a retried or repeated run never meets old files.
     A lost executor costs no more than the tasks that read from it.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

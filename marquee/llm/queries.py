@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marquee.llm import chat, decontaminate, exact_dedup, language_id, line_chunks, minhash, packing, token_counts, url_filter, warc_fixity
+from marquee.llm import alignment, centroid_clusters, chat, decontaminate, exact_dedup, language_id, line_chunks, minhash, packing, pieces, token_counts, url_filter, warc_fixity
 from marquee.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,6 +142,43 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from turns group by conv_id"""
 
 
+def op11_identity_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_BPE, PIECES)
+
+
+def op12_distinct_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), PIECES).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op13_heap_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _clusters_sql(rounds: int = centroid_clusters.ROUNDS) -> str:
+    """Plain rounds: every vector against every centroid, by the same fixed values."""
+    k, dimension = centroid_clusters.CLUSTERS, centroid_clusters.DIMENSION
+    parts = [f"""kept as materialized (
+    select row_number() over () as r, vec_id, list_transform(embedding, lambda v: cast(floor({centroid_clusters.SCALE} * cast(v as double)) as bigint)) as x
+    from embeddings where len(list_filter(embedding, lambda v: v is not null and isfinite(v))) = {dimension} and len(embedding) = {dimension}),
+c0 as materialized (select row_number() over (order by sha256('{centroid_clusters.SEED}:' || vec_id)) - 1 as j, x from kept
+    qualify row_number() over (order by sha256('{centroid_clusters.SEED}:' || vec_id)) <= {k})"""]
+    for n in range(rounds + 1):
+        parts.append(f"""a{n} as materialized (
+    select r, min({k} * d + j) // {k} as d, min({k} * d + j) % {k} as j from (
+        select r, j, cast(list_sum(list_transform(list_zip(kept.x, c{n}.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as bigint) as d from kept cross join c{n})
+    group by r)""")
+        if n < rounds:
+            parts.append(f"""m{n} as (
+    select j, i, cast((s - ((s % n) + n) % n) / n as bigint) as v from (
+        select j, i, cast(sum(v) as bigint) as s, count(*) as n
+        from (select a{n}.j, unnest(x) as v, unnest(range({dimension})) as i from a{n} join kept using (r)) group by j, i)),
+c{n + 1} as materialized (select c{n}.j, coalesce(m.x, c{n}.x) as x from c{n} left join (select j, list(v order by i) as x from m{n} group by j) m on m.j = c{n}.j)""")
+    return f"""with {", ".join(parts)}
+select vec_id, cast(j as integer) as cluster, d as distance, cast(sum(d) over (partition by j) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia,
+       sha256(array_to_string(c{rounds}.x, ',')) as centroid_sha256
+from a{rounds} join kept using (r) join c{rounds} using (j)"""
+
+
 def importable(query: Query) -> Query:
     """The query with this checkout on the import path of the Python workers, wherever the driver was started."""
 
@@ -156,6 +193,8 @@ def importable(query: Query) -> Query:
 
 
 QUERIES = {f.__name__: importable(f) for f in (op1_string_tiling, op2_merkle_fixity, op3_fuse_filter, op4_line_chunks, op5_url_vocabulary, op6_segmentation_unigrams,
-                                   op7_concatenate_and_cut, op8_circulant_minhash, op9_two_tier_counts, op10_event_chats)}
+                                   op7_concatenate_and_cut, op8_circulant_minhash, op9_two_tier_counts, op10_event_chats,
+                                   op11_identity_alignment, op12_distinct_chunks, op13_heap_bounds)}
 QUERIES["pipeline"] = importable(corpus_pipeline.run)
-ORACLES = {"op2_merkle_fixity": OP2_SQL, "op3_fuse_filter": OP3_SQL, "op5_url_vocabulary": OP5_SQL, "op10_event_chats": OP10_SQL}
+ORACLES = {"op2_merkle_fixity": OP2_SQL, "op3_fuse_filter": OP3_SQL, "op5_url_vocabulary": OP5_SQL, "op10_event_chats": OP10_SQL,
+           "op13_heap_bounds": _clusters_sql()}

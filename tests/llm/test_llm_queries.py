@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     connection = duckdb.connect()
-    for name in ("documents", "pages", "conversations"):
+    for name in ("documents", "pages", "conversations", "embeddings"):
         connection.execute(f"create view {name} as select * from '{SF}/{name}.parquet'")
     return connection
 
@@ -31,7 +31,7 @@ def test_query_matches_oracle(spark, duck, name):
 
 
 def test_every_operator_has_one_query():
-    assert [q.split("_")[0] for q in QUERIES] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
+    assert [q.split("_")[0] for q in QUERIES] == [f"op{i}" for i in range(1, 14)] + ["pipeline"]
 
 
 def test_planted_passages_are_found(spark):
