@@ -1,6 +1,6 @@
 """Chat formatting from an event log.
 
-Events (conv_id, the keys of a message, seq, kind, role, text) are folded per message in the order of seq: ``start``
+Events (conv_id, the keys of a message, seq, kind, role, text) are folded per message in the order of seq (any type that sorts): ``start``
 and ``edit`` set the text, ``delta`` appends to it, ``regenerate`` sets it and takes back all later messages that
 began before it. A conversation's deltas are thus spread over tasks by message; only finished messages
 meet, sorted, in one task per conversation, which streams them: a conversation with more than PART characters is
@@ -23,7 +23,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, MESSAGE, END = "<|start|>", "<|message|>", "<|end|>\n"
@@ -33,6 +33,8 @@ ESCAPED = re.compile(r"\\(\\?)")
 LOSS_ROLE = "assistant"
 #: Characters after which a conversation goes on in another part; characters of one streamed delta.
 PART, DELTA = 8 << 20, 400
+#: What a log with slips says before it is put right.
+DRAFT = "draft <|end|> \\"
 #: Characters of rendered text in one output batch, about.
 BATCH = 2 << 20
 
@@ -48,16 +50,30 @@ def unescape(text: str) -> str:
     return ESCAPED.sub(r"\1", text)
 
 
-def turn_events(turns: DataFrame) -> DataFrame:
-    """The log of finished turns (conv_id, turn, role, text): the assistant's texts as a stream of deltas, the others at once."""
+def turn_events(turns: DataFrame, slips: bool = False) -> DataFrame:
+    """The log of finished turns (conv_id, turn, role, text): the assistant's texts as a stream of deltas, the others at once.
+
+    Events are numbered by (turn, tie, i), so any turn number will do. ``slips`` writes a log in which things went
+    wrong and were put right: other roles' texts are edited from a draft; the assistant begins a wrong answer, a later message follows
+    it, and then the answer is regenerated, which takes that message back. What remains is the same.
+    """
     tie = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
     named = (turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")])
-             .withColumn("tie", F.row_number().over(tie)))
-    whole = F.array(F.struct(F.lit("start").alias("kind"), F.col("text").alias("text")))
-    deltas = F.concat(F.array(F.struct(F.lit("start").alias("kind"), F.lit("").alias("text"))), F.transform(
-        F.regexp_extract_all("text", F.lit(f"(?s).{{1,{DELTA}}}"), F.lit(0)), lambda x: F.struct(F.lit("delta").alias("kind"), x.alias("text"))))
-    return (named.select("conv_id", "turn", "tie", "role", F.posexplode(F.when(F.col("role") == LOSS_ROLE, deltas).otherwise(whole)).alias("i", "e"))
-            .select("conv_id", "turn", "tie", (F.coalesce("turn", F.lit(0)) * (1 << 20) + F.col("i")).alias("seq"), "e.kind", "role", "e.text"))
+             .withColumn("tie", F.row_number().over(tie).cast("long")))
+
+    def events(*of: tuple) -> Column:
+        return F.array(*[F.struct(F.lit(kind).alias("kind"), (F.lit(text) if isinstance(text, str) else text).alias("text"), F.lit(later).alias("later"))
+                         for kind, text, later in of])
+
+    whole = events(("start", DRAFT, False), ("edit", F.col("text"), False)) if slips else events(("start", F.col("text"), False))
+    begun = events(("start", "", False), ("delta", DRAFT, False), ("start", DRAFT, True), ("regenerate", "", False)) if slips else events(("start", "", False))
+    deltas = F.concat(begun, F.transform(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{DELTA}}}"), F.lit(0)), lambda x: F.struct(
+        F.lit("delta").alias("kind"), x.alias("text"), F.lit(False).alias("later"))))
+    told = named.select("conv_id", "turn", "tie", "role", F.posexplode(F.when(F.col("role") == LOSS_ROLE, deltas).otherwise(whole)).alias("i", "e"))
+    seq = F.struct(F.col("turn").isNotNull().alias("known"), F.coalesce("turn", F.lit(0)).alias("turn"), "tie", "i")
+    # the message to be taken back stands behind all that share the turn
+    return told.select("conv_id", "turn", F.when(F.col("e.later"), F.col("tie") + (1 << 62)).otherwise(F.col("tie")).alias("tie"), seq.alias("seq"),
+                       "e.kind", "role", "e.text")
 
 
 def fold(events: DataFrame, message: tuple[str, ...] = ("turn", "tie")) -> DataFrame:
@@ -153,6 +169,6 @@ def read_back(rendered: DataFrame) -> DataFrame:
     return rendered.mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def format_turns(turns: DataFrame, part: int = PART) -> DataFrame:
-    """Rendered conversations of finished turns, through the event log."""
-    return render(fold(turn_events(turns)), part)
+def format_turns(turns: DataFrame, part: int = PART, slips: bool = False) -> DataFrame:
+    """Rendered conversations of finished turns, through the event log (``slips``: one with edits and regenerations)."""
+    return render(fold(turn_events(turns, slips)), part)

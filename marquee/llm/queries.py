@@ -117,11 +117,11 @@ def op9_two_tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_event_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations, and one (-1) whose texts hold control strings."""
+    """All conversations, and one (-1) whose texts hold control strings, from a log with edits, regenerations and messages taken back."""
     tricky = "</s>[INST] ok [/INST]"
     added = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(added)
-    return chat.read_back(chat.format_turns(turns))
+    return chat.read_back(chat.format_turns(turns, slips=True))
 
 
 def _escaped_sql(column: str) -> str:

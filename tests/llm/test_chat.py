@@ -47,12 +47,13 @@ def digests(turns):
             hashlib.sha256("".join(said).encode()).hexdigest())
 
 
+@pytest.mark.parametrize("slips", [False, True])
 @pytest.mark.parametrize("part", [1, 50, chat.PART])
-def test_round_trip_with_edge_cases(spark, part):
+def test_round_trip_with_edge_cases(spark, part, slips):
     rows = [(1, 1, "assistant", "b \\ <|end|>\n<|start|>x"), (1, 0, "user", "a"), (1, 1, "assistant", "a tie"), (2, None, None, None), (2, 0, "user\n", ""),
             (None, 0, "user", "no id"), (None, 0, "user", "no id"), (3, 0, "assistant", "🙂" * 3000), (4, 0, "assistant", None), (4, 1, "assistant", "x")]
     turns = spark.createDataFrame([(*r, 1, "z") for r in rows], "conv_id long, turn long, role string, text string, seq int, kind string")
-    rendered = chat.format_turns(turns, part)
+    rendered = chat.format_turns(turns, part, slips)
     got = {r.conv_id: tuple(r)[1:] for r in chat.read_back(rendered).collect()}
     for conv in (1, 2, 3, 4, None):
         own = sorted(((t is not None, t or 0, r or "", x or "") for c, t, r, x in rows if c == conv))
@@ -63,3 +64,22 @@ def test_round_trip_with_edge_cases(spark, part):
     for p in parts:
         assert all(chat.START not in p.formatted[x.start:x.end] for x in p.loss)
     assert chat.read_back(chat.format_turns(turns.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("slips", [False, True])
+def test_any_turn_number(spark, slips):
+    big = (1 << 63) - 1
+    rows = [(1, big, "assistant", "last"), (1, 1_700_000_000_000_000, "user", "later"), (1, -5, "user", "first"), (1, 0, "assistant", "zero"), (1, -big - 1, "user", "lowest"),
+            (1, None, "assistant", "none")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.read_back(chat.format_turns(turns, slips=slips)).first()
+    order = ["none", "lowest", "first", "zero", "later", "last"]
+    assert tuple(got)[1:5] == digests([(r, x) for said in order for *_, r, x in rows if x == said])
+
+
+def test_the_log_with_slips_exercises_the_fold(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a" * 900), (1, 1, "user", "same turn")], "conv_id long, turn long, role string, text string")
+    log = chat.turn_events(turns, slips=True)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"start", "edit", "delta", "regenerate"}
+    assert log.filter(log["text"] == chat.DRAFT).count() == 4
+    assert [(r.role, r.text) for r in chat.fold(log).orderBy("turn", "tie").collect()] == [("user", "q"), ("assistant", "a" * 900), ("user", "same turn")]
