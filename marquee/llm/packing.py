@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.llm.common import documents, stage
-from marquee.llm.pretokens import REMEMBERED, PreTokenizer
+from marquee.llm.pretokens import LONG, REMEMBERED, PreTokenizer
 
 #: Rows of one output batch: so many ids at most, or one document.
 BATCH_IDS = 1 << 20
@@ -45,9 +45,11 @@ class WordIds(PreTokenizer):
         ids = array.array("I")
         for piece in self.cut(chunk):
             ids.extend([t.id for t in encode(piece.encode().decode("latin-1").translate(self.alphabet))])
-        if len(self.chunks) >= REMEMBERED:
-            self.chunks = {}
-        found = self.chunks[chunk] = ids.tobytes()
+        found = ids.tobytes()
+        if len(chunk) <= LONG:
+            if len(self.chunks) >= REMEMBERED:
+                self.chunks = {}
+            self.chunks[chunk] = found
         return found
 
     def ids(self, text: str) -> bytes:

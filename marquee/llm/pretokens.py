@@ -23,8 +23,8 @@ NOT_PLAIN = re.compile("[^\\x00-\\x1b\\x20-\u012f\u0131-\u017f\u2010-\u2027\u203
 WORDS = re.compile(f"[{LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 BYTE_LEVEL = re.compile(
     f" ?[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
-#: Distinct pre-tokens that a worker remembers before it starts anew.
-REMEMBERED = 600_000
+#: Distinct pre-tokens that a worker remembers before it starts anew, and the longest ones that it remembers at all. Both bound its memory.
+REMEMBERED, LONG = 600_000, 128
 
 
 def byte_alphabet() -> str:
@@ -43,8 +43,9 @@ class PreTokenizer:
 
     def __init__(self, path: str, words: bool, value: Callable = list, known: dict | None = None):
         self.path, self.words, self.value = path, words, value
-        self.known = dict(known or ())  # first tier: given, never dropped
-        self.cache = dict(self.known)  # with it the second tier: what this worker has met
+        self.known = known or {}  # first tier: given, never dropped
+        self.cache: dict = {}  # second tier: what this worker has met
+        self.room = REMEMBERED
 
     @cached_property
     def library(self) -> Tokenizer:
@@ -72,17 +73,18 @@ class PreTokenizer:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def piece(self, piece: str):
-        """The remembered value of one pre-token."""
+        """The value of one pre-token, which is remembered unless it is long."""
         found = self.value([t.id for t in self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))])
-        if len(self.cache) >= REMEMBERED + len(self.known):
-            self.cache = dict(self.known)
-        self.cache[piece] = found
+        if len(piece) <= LONG:
+            if len(self.cache) >= self.room:
+                self.cache = {}
+            self.cache[piece] = found
         return found
 
     def values(self, text: str) -> list:
         """The values of a plain text's pre-tokens, in order."""
         pieces = self.cut(text)
-        found = list(map(self.cache.get, pieces))
+        found = list(map((self.known or self.cache).get, pieces))
         if None in found:
             for i, value in enumerate(found):
                 if value is None:

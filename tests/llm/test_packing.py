@@ -29,6 +29,14 @@ def test_special_strings_and_contractions():
         assert np.frombuffer(word_ids(PATH).ids(text), "<u4").tolist() == ids(text)[:-1]
 
 
+def test_long_runs_are_not_remembered():
+    encoder = packing.WordIds(PATH)
+    for i in range(50):
+        text = f"{chr(97 + i % 26)}{'z' * (200 + i)} a"
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == ids(text)[:-1]
+    assert set(encoder.chunks) == {"a"}
+
+
 def check(pieces, docs, window=packing.WINDOW):
     """Round trip: every document's ids in order, every sequence gapless and full but the last."""
     whole, places = {}, {}

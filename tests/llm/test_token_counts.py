@@ -34,5 +34,22 @@ def test_documents_and_edge_cases(spark, documents):
 
 
 def test_frequent_table_is_bounded(documents):
-    found = token_counts.frequent_pretokens(documents([(1, "b b b a a c d e f g")]), PATH, 3).collect()
-    assert len(found) == 3 and {r.piece for r in found} >= {" b", " a"}
+    found = token_counts.frequent_pretokens(documents([(1, "b b b a a c d e f g" + "x" * 1000)]), PATH, 3).collect()
+    assert len(found) == 1 and len(found[0].pieces) == len(found[0].tokens) == 3 and found[0].pieces[:2] == [" a", " b"]
+
+
+def test_summaries_of_many_tasks_merge_to_all_counts(documents, monkeypatch):
+    monkeypatch.setattr(token_counts, "FAN_IN", 3)
+    docs = documents([(i, f"all some{i % 7} w{i}") for i in range(200)]).repartition(40)
+    found = token_counts.frequent_pretokens(docs, PATH, 20).first()
+    assert found.pieces[:3] == [" some", " w", "all"] and found.tokens[:3] == [1, 1, 1]
+    plan = token_counts.frequent_pretokens(docs, PATH, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(piece" not in plan and "TakeOrdered" not in plan
+
+
+def test_long_runs_are_not_remembered():
+    counter = PreTokenizer(PATH, words=False, value=len)
+    for i in range(50):
+        text = f"{chr(97 + i % 26)}{'z' * (200 + i)} a"
+        assert sum(counter.values(text)) == count(text)
+    assert set(counter.cache) == {" a"}
