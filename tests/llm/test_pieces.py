@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -16,8 +17,7 @@ TEXT = st.text(st.one_of(st.sampled_from("abc  ▁é'日本🎉\t\n　\xa0<s>0x4
 @settings(max_examples=400, deadline=None)
 @given(TEXT)
 def test_chunks_give_the_librarys_ids(text):
-    chunks = pieces.cut(text)
-    assert [i for ids in pieces.encode_chunks(PATH, chunks) for i in ids] == LIBRARY.encode(text)
+    assert np.frombuffer(pieces.chunk_table(PATH).encode([text])[0], "<u4").tolist() == LIBRARY.encode(text)
 
 
 def expected(doc_id, text):
@@ -43,11 +43,28 @@ def test_edge_cases(documents, monkeypatch):
     assert pieces.encode(documents([]), PATH).count() == 0
 
 
-def test_a_block_asks_for_a_chunk_once(documents, monkeypatch):
-    docs = documents([(i, "the same words again and again the same") for i in range(50)]).coalesce(1)
-    parts = pieces.cut_documents(docs)
-    asked = [r.chunk for r in parts.filter("chunk is not null").collect()]
-    assert sorted(asked) == sorted(set("the same words again and".split())) and parts.filter("places is not null").count() == 50
+def test_each_distinct_chunk_is_segmented_once(monkeypatch):
+    asked = []
+
+    class Counting:
+        def encode(self, chunks, num_threads):
+            asked.extend(chunks)
+            return LIBRARY.encode(chunks, num_threads=num_threads)
+
+    table = pieces.ChunkTable(PATH)
+    monkeypatch.setattr(pieces, "library", lambda path: Counting())
+    for _ in range(3):
+        got = table.encode(["the same words again and again the same", "the same  two", "", " "])
+    assert sorted(asked) == sorted({"the", "same", "words", "again", "and", " two", " "})
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [LIBRARY.encode(t) for t in ("the same words again and again the same", "the same  two", "", " ")]
+
+
+def test_the_table_is_bounded(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 20)
+    table = pieces.ChunkTable(PATH)
+    for i in range(40):
+        table.encode([" ".join(f"w{i}x{k}" for k in range(10)) + " " + "long" * 200])
+    assert len(table.ids) <= 31 and max(map(len, table.ids)) <= pieces.LONG
 
 
 def test_models_that_cross_blanks_are_refused(monkeypatch):
