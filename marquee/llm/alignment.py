@@ -16,6 +16,7 @@ table gives no row, and a text may have any length.
 
 from __future__ import annotations
 
+import array
 import hashlib
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
@@ -28,11 +29,11 @@ from tokenizers import Tokenizer
 
 from marquee.llm.blocks import answered, blocks, packed, rows, unpacked
 from marquee.llm.common import documents, stage
-from marquee.llm.pieces import MARK, cut, encode_chunks, library
+from marquee.llm.pieces import MARK, ChunkTable, check_model, library
 from marquee.llm.pretokens import PreTokenizer, byte_alphabet
 
-#: Chunks that a worker remembers, and the longest of them.
-REMEMBERED, SHORT = 300_000, 100
+#: Pre-tokens that a worker remembers; bytes of a block's texts.
+REMEMBERED, BLOCK = 400_000, 2 << 20
 DOCUMENT, PAIR, VECTOR = 0, 1, 2
 PART = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()),
                   ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("same", pa.binary()), ("other", pa.binary()),
@@ -45,7 +46,8 @@ class PlainIds(PreTokenizer):
     """Ids of byte-level BPE, strings of special tokens read as plain text."""
 
     def __init__(self, path: str):
-        super().__init__(path, words=False, value=lambda ids: np.array(ids, "<u4").tobytes())
+        super().__init__(path, words=False, value=lambda ids: array.array("I", ids).tobytes())
+        self.room = REMEMBERED
 
     @cached_property
     def library(self) -> Tokenizer:
@@ -55,21 +57,15 @@ class PlainIds(PreTokenizer):
         found.no_padding()
         return found
 
-    def piece(self, piece: str) -> bytes:
-        found = super().piece(piece)
-        if len(piece) > SHORT:
-            del self.cache[piece]
-        return found
-
     def ids(self, text: str) -> bytes:
-        return b"".join(self.values(text)) if self.plain(text) else np.array(self.whole(text), "<u4").tobytes()
+        return b"".join(self.values(text)) if self.plain(text) else array.array("I", self.whole(text)).tobytes()
 
 
 class Aligner:
     """Both tokenizers in one Python worker, their tokens' bytes, and the array from A ids to B ids of the same bytes."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b_path, self.chunks = PlainIds(a_path), b_path, {}
+        self.a, self.b = PlainIds(a_path), ChunkTable(b_path)
         model, vocabulary = library(b_path), self.a.library.get_vocab()
         byte_of = {c: bytes([i]) for i, c in enumerate(byte_alphabet())}
         self.size_a, self.size_b = max(vocabulary.values()) + 1, model.vocab_size()
@@ -78,6 +74,8 @@ class Aligner:
             self.bytes_a[i] = b"".join(byte_of.get(c, c.encode()) for c in token)
         self.bytes_b = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(MARK, " ").encode()
                         for i, p in enumerate(map(model.id_to_piece, range(self.size_b)))]
+        if not all(bytes([i]) in side for side in (set(self.bytes_a), set(self.bytes_b)) for i in range(256)):
+            raise ValueError("a vocabulary lacks bytes, so its tokens can't always give back a text")
         self.length_a, self.length_b = (np.array([len(x) for x in side], "i8") for side in (self.bytes_a, self.bytes_b))
         # a byte's piece stands for it only where no other piece does
         by_bytes = {self.bytes_b[i]: i for i in sorted(range(self.size_b), key=lambda i: (not model.is_byte(i), model.is_control(i) or model.is_unknown(i), -i))
@@ -87,27 +85,16 @@ class Aligner:
         self.written = ([b"%d," % i for i in range(self.size_a)] + [b"%d|" % i for i in range(self.size_a)]
                         + [b"%d," % i for i in range(self.size_b)] + [b"%d;" % i for i in range(self.size_b)])
 
-    def ids_b(self, text: str) -> bytes:
-        keys = cut(text)
-        missing = [k for k in dict.fromkeys(keys) if k not in self.chunks]
-        if not missing:
-            return b"".join(map(self.chunks.__getitem__, keys))
-        found = dict(zip(missing, (np.array(ids, "<u4").tobytes() for ids in encode_chunks(self.b_path, missing)), strict=True))
-        joined = b"".join([found[k] if k in found else self.chunks[k] for k in keys])
-        if len(self.chunks) + len(found) > REMEMBERED:
-            self.chunks = {}
-        self.chunks.update((k, v) for k, v in found.items() if len(k) <= SHORT)
-        return joined
-
     def tokens(self, texts: list[str]) -> tuple[list, list]:
         """Id arrays of both sides; empty ones where either side's bytes are not those of a space and the text."""
         a, b, none = [], [], np.zeros(0, "i8")
-        for text in texts:
+        for text, data in zip(texts, self.b.encode(texts), strict=True):
             ids_a, ids_b = none, none
-            if text:
-                raw = b" " + text.encode()
-                ids_a, ids_b = (np.frombuffer(x, "<u4").astype("i8") for x in (self.a.ids(" " + text), self.ids_b(text)))
-                if (b"".join([self.bytes_a[i] for i in ids_a.tolist()]) != raw or b"".join([self.bytes_b[i] for i in ids_b.tolist()]) != raw):
+            # Both sides give back every byte (see the constructor), but B's can't tell a marker in the text from a space.
+            if text and MARK not in text:
+                ids_a, ids_b = (np.frombuffer(x, "<u4").astype("i8") for x in (self.a.ids(" " + text), data))
+                size = 1 + len(text.encode())
+                if self.length_a[ids_a].sum() != size or self.length_b[ids_b].sum() != size:
                     ids_a, ids_b = none, none
             a.append(ids_a)
             b.append(ids_b)
@@ -120,6 +107,12 @@ def aligner(a_path: str, b_path: str) -> Aligner:
     return Aligner(a_path, b_path)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values, sorted."""
+    values = np.sort(values, kind="stable")  # quick where sorted runs lie one after another, as they do here
+    return values[np.append(True, values[1:] != values[:-1])[:len(values)]]
+
+
 def align_block(found: Aligner, texts: list[str]) -> dict:
     """Counts and links of a block's documents: every document's links, the block's distinct irregular pairs and in how many documents each is."""
     tokens_a, tokens_b = found.tokens(texts)
@@ -128,15 +121,17 @@ def align_block(found: Aligner, texts: list[str]) -> dict:
     a, b = np.concatenate(tokens_a), np.concatenate(tokens_b)
     # one string of bytes for the whole block: documents end where both sides do
     ends_a, ends_b = np.cumsum(found.length_a[a]), np.cumsum(found.length_b[b])
-    ends = np.union1d(ends_a, ends_b)
+    ends = distinct(np.concatenate([ends_a, ends_b]))
     of_a, of_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
     doc = np.repeat(np.arange(n), n_a)[of_a]
     cuts = (ends_a[of_a] == ends) & (ends_b[of_b] == ends)
     link_a, link_b = a[of_a], b[of_b]
     same = found.same[link_a] == link_b
-    pairs, place = np.unique(link_a[~same] * found.size_b + link_b[~same], return_inverse=True)
-    in_docs = np.unique(doc[~same] * max(len(pairs), 1) + place)
-    a_docs = np.unique(doc[same] * found.size_a + link_a[same]) % found.size_a
+    other = link_a[~same] * found.size_b + link_b[~same]
+    pairs = distinct(other)
+    place = np.searchsorted(pairs, other)
+    in_docs = distinct(doc[~same] * max(len(pairs), 1) + place)
+    a_docs = distinct(doc[same] * found.size_a + link_a[same]) % found.size_a
 
     def by_document(values: np.ndarray, which: np.ndarray) -> list[bytes]:
         borders = np.searchsorted(which, np.arange(n + 1))
@@ -169,7 +164,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = aligner(a_path, b_path)
         vector = np.zeros(found.size_a, "i8")
-        for block, ids, texts in blocks(parts):
+        for block, ids, texts in blocks(parts, BLOCK):
             done = align_block(found, texts)
             vector += np.bincount(done["a_docs"], minlength=found.size_a)
             n = len(ids)
@@ -186,6 +181,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
 def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """One row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
+    check_model(b_path)
     parts = align_documents(docs, a_path, b_path)
     vector = parts.filter(F.col("kind") == VECTOR).groupBy("a").agg(F.sum("docs").alias("n"))
     pairs = stage(parts.filter(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("docs").alias("n")), "alignment-pairs")
