@@ -1,10 +1,14 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+HERE = str(Path(__file__).resolve().parent.parent)
+sys.path.insert(0, HERE)
+# Python workers import the package too, wherever the tests are started.
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (HERE, os.environ.get("PYTHONPATH", ""))))
 
 
 @pytest.fixture(scope="session")
