@@ -7,20 +7,23 @@ found by Karp-Rabin hashes, the longest ones that don't overlap are marked, and
 (Wise 1993). Order plays no part, so passages with their sentences in another order are caught. A document
 leaks an item if the tiles cover ``coverage`` of the item's words.
 
-Documents never move: the benchmark comes to them in blocks of at most about BLOCK bytes, each broadcast, so its
-size doesn't matter and no passage is a hot key, however many documents hold it.
+The benchmark comes to the documents in blocks of about BLOCK bytes, one at a time: a block is collected, indexed and broadcast, and
+what the documents leak of it is written before the next one is read, so neither the driver nor a task holds more than one index.
+No passage is a hot key, however many documents hold it. With one block documents never move; with several they meet,
+once, the table of leaks by digest of text, which has one row per distinct text that leaks.
 
 Words are runs of letters, marks and digits, with case folded by Unicode; all else separates. In scripts that are written
 without spaces (Chinese, Japanese, Thai and so on) each letter with its marks is a word.
 
 Defined results: null and empty texts leak nothing. Items without a word, null ones among them, are never found. Items of
-fewer than min_match words are found only with ``short_items``: as one whole run. Ids of documents and items may be null or repeat; every row is judged by itself. An empty
-benchmark leaves all documents clean. Other columns are kept and may have any name.
+fewer than min_match words are found only with ``short_items``: as one whole run. Ids of documents and items may be null or repeat; every row
+is judged by itself, but benchmark rows that repeat both id and text are one item. An empty benchmark leaves all documents clean. Other columns are kept and may have any name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import numbered, unused
-from marquee.llm.textarrays import U64, gram_hashes, slices, span_hashes, spans
+from marquee.llm.common import numbered, stage, unused
+from marquee.llm.textarrays import U64, gram_hashes, powers, slices, span_hashes, spans
 
 MIN_MATCH, COVERAGE = 5, 0.5
 #: Bytes of benchmark text that are broadcast at a time.
@@ -107,64 +110,95 @@ class Index:
                 order = np.argsort(whole, kind="stable")
                 self.short[n] = whole[order], of[order]
 
-    def shared(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, entry) of every run that the benchmark has as well."""
+    def shared(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, first entry, last entry + 1) of every run that the benchmark has as well."""
         at = np.flatnonzero(self.sieve[grams >> U64(44)])
         low, high = np.searchsorted(self.hashes, grams[at], "left"), np.searchsorted(self.hashes, grams[at], "right")
-        n = high - low
-        entry = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.repeat(at, n), entry
+        met = high > low
+        return at[met], low[met], high[met]
 
 
-def _unmarked(words: np.ndarray, marked: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of each run of ``size`` words that holds no marked one."""
-    if len(words) < size:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    total = np.concatenate([[0], np.cumsum(marked)])
-    free = np.flatnonzero(total[size:] == total[:-size])
-    return gram_hashes(words, size)[free], free
+def _marked(starts: np.ndarray, size: int, n: int) -> np.ndarray:
+    """Which of n words lie in a run of ``size`` words from one of ``starts`` on."""
+    inside = np.zeros(n, bool)
+    for i in range(size):
+        inside[starts + i] = True
+    return inside
+
+
+class _Runs:
+    """Karp-Rabin hashes of a sequence's runs, of any length, by differences of one prefix sum."""
+
+    def __init__(self, words: np.ndarray):
+        self.n, self.marked = len(words), np.zeros(len(words), bool)
+        up, self.down = powers(self.n + 1)
+        self.total = np.zeros(self.n + 1, U64)
+        np.cumsum(words * up[:self.n], out=self.total[1:])
+
+    def unmarked(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, start) of each run of ``size`` words that holds no marked one."""
+        marks = np.concatenate([[0], np.cumsum(self.marked)])
+        free = np.flatnonzero(marks[size:] == marks[:self.n + 1 - size])
+        return (self.total[free + size] - self.total[free]) * self.down[free], free
 
 
 def tile(doc: np.ndarray, item: np.ndarray, min_match: int = MIN_MATCH) -> list[tuple[int, int, int]]:
-    """Tiles (place in the item, place in the document, words) between two sequences of word hashes."""
-    in_doc, in_item, tiles = np.zeros(len(doc), bool), np.zeros(len(item), bool), []
-    while True:
-        d_hash, d_at = _unmarked(doc, in_doc, min_match)
-        i_hash, i_at = _unmarked(item, in_item, min_match)
+    """Tiles (place in the item, place in the document, words) between two sequences of word hashes.
+
+    The greatest length that unmarked runs of both share is found by bisection, since shorter parts of a common run are
+    common as well. Runs are looked up, never paired: memory is that of the two sequences, however often they repeat.
+    """
+    in_doc, in_item, tiles = _Runs(doc), _Runs(item), []
+
+    def meet(size: int) -> bool:
+        d_hash, i_hash = in_doc.unmarked(size)[0], np.sort(in_item.unmarked(size)[0])
+        at = np.searchsorted(i_hash, d_hash)
+        return bool(len(i_hash) and (i_hash[np.minimum(at, len(i_hash) - 1)] == d_hash).any())
+
+    most = min(len(doc), len(item))
+    while most >= min_match and meet(min_match):
+        longest, most = min_match, most + 1
+        while most - longest > 1:
+            middle = (longest + most) // 2
+            longest, most = (middle, most) if meet(middle) else (longest, middle)
+        d_hash, d_at = in_doc.unmarked(longest)
+        i_hash, i_at = in_item.unmarked(longest)
         order = np.argsort(i_hash, kind="stable")
-        low, high = np.searchsorted(i_hash[order], d_hash, "left"), np.searchsorted(i_hash[order], d_hash, "right")
-        n = high - low
-        if not n.sum():
-            return tiles
-        d = np.repeat(d_at, n)
-        i = i_at[order][np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        # Runs that follow each other on a diagonal are one common run.
-        order = np.lexsort((d, d - i))
-        d, i = d[order], i[order]
-        heads = np.flatnonzero(np.concatenate([[True], (np.diff(d) != 1) | (np.diff(i) != 1)]))
-        lengths = np.diff(np.append(heads, len(d))) + min_match - 1
-        longest = lengths.max()
-        for x, y in sorted(zip(d[heads[lengths == longest]].tolist(), i[heads[lengths == longest]].tolist(), strict=True)):
-            if not in_doc[x:x + longest].any() and not in_item[y:y + longest].any():
-                in_doc[x:x + longest] = in_item[y:y + longest] = True
-                tiles.append((y, x, int(longest)))
-
-
-def leaks_of(words: np.ndarray, at: np.ndarray, entry: np.ndarray, index: Index, coverage: float) -> list[dict]:
-    """The leaked items of one document, given where its shared runs lie."""
+        i_hash, i_at = i_hash[order], i_at[order]
+        low, high = np.searchsorted(i_hash, d_hash, "left"), np.searchsorted(i_hash, d_hash, "right")
+        free, met, next_entry = 0, high > low, {}
+        for x, first, last in zip(d_at[met].tolist(), low[met].tolist(), high[met].tolist(), strict=True):
+            if x < free:
+                continue
+            k = next_entry.get(first, first)
+            while k < last and in_item.marked[i_at[k]:i_at[k] + longest].any():  # once marked it stays so
+                k += 1
+            next_entry[first] = k
+            if k < last:
+                y, free = int(i_at[k]), x + longest
+                in_doc.marked[x:free] = in_item.marked[y:y + longest] = True
+                tiles.append((y, x, longest))
+        most = longest - 1
+    return tiles
+
+
+def leaks_of(words: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, index: Index, coverage: float) -> list[dict]:
+    """The leaked items of one document, given where its shared runs lie and their entries. An entry is looked at once,
+    however often the document repeats its run."""
     found, m = [], index.min_match
-    items = index.item[entry]
-    for k in np.unique(items).tolist():
-        mine, item = items == k, index.words[k]
-        covered = np.zeros(len(item), bool)
-        for p in np.unique(index.place[entry[mine]]).tolist():
-            covered[p:p + m] = True
-        if covered.sum() < coverage * len(item):
+    groups, first = np.unique(low, return_index=True)
+    n = high[first] - groups
+    entry = np.repeat(groups - np.cumsum(n) + n, n) + np.arange(n.sum())
+    order = np.argsort(index.item[entry], kind="stable")
+    entry, group = entry[order], np.repeat(groups, n)[order]
+    items, begin = np.unique(index.item[entry], return_index=True)
+    begin = np.append(begin, len(entry)).tolist()
+    for k, a, b in zip(items.tolist(), begin[:-1], begin[1:], strict=True):
+        item = index.words[k]
+        if _marked(index.place[entry[a:b]], m, len(item)).sum() < coverage * len(item):
             continue
         # Only words inside shared runs can be in a tile; a gap stays between runs that don't touch.
-        near = np.zeros(len(words) + 1, bool)
-        for p in np.unique(at[mine]).tolist():
-            near[p:p + m] = True
+        near = _marked(at[np.isin(low, group[a:b])], m, len(words) + 1)
         keep = np.flatnonzero(near | np.concatenate([[False], near[:-1]]))
         part = np.where(near[keep], np.append(words, U64(0))[keep], U64(0))
         tiles = [(y, int(keep[x]), n) for y, x, n in tile(part, item, m)]
@@ -191,43 +225,62 @@ def short_leaks(words: np.ndarray, first: np.ndarray, index: Index) -> Iterator[
                 yield int(row[k]), {"item_id": index.ids[item], "coverage": 1.0, "tiles": [{"item_word": 0, "doc_word": place, "words": n}]}
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, min_match: int, block: int, short_items: bool) -> Iterator[Index]:
-    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = -(-size // block)
-    for i in range(n):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
-        yield Index(sorted(((r.item_id, r.text) for r in part.collect()), key=str), min_match, short_items)
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block: int) -> list[DataFrame]:
+    """The distinct (item_id, text) in blocks of about so many bytes."""
+    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct()
+    n = -(-(items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) // block)
+    return [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
+
+
+def _scan(rows: DataFrame, at: int, index: Index, coverage: float) -> DataFrame:
+    """Adds to the last column, leaks, what the texts in column number ``at`` leak of the index."""
+    shared = rows.sparkSession.sparkContext.broadcast(index)
+
+    def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in parts:
+            leaks = batch.column(batch.num_columns - 1).to_pylist()
+            for first_row, _, data, offsets in slices(batch.column(at)):
+                words, first = plain_words(data, offsets)
+                where, low, high = index.shared(gram_hashes(words, index.min_match))
+                row = np.searchsorted(first, where, "right") - 1
+                inside = where + index.min_match <= first[row + 1]  # not over the border of two documents
+                where, low, high, row = where[inside], low[inside], high[inside], row[inside]
+                of, begin = np.unique(row, return_index=True)
+                begin = np.append(begin, len(row)).tolist()
+                for r, a, b in zip(of.tolist(), begin[:-1], begin[1:], strict=True):
+                    leaks[first_row + r] += leaks_of(words[first[r]:first[r + 1]], where[a:b] - first[r], low[a:b], high[a:b], index, coverage)
+                for r, leak in short_leaks(words, first, index):
+                    leaks[first_row + r].append(leak)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(leaks, LEAKS_ARROW)], batch.schema.names)
+
+    return rows.mapInArrow(scan, rows.schema)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", name: str = "leaks", item_col: str = "item_id",
                item_text: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, block: int = BLOCK, short_items: bool = False) -> DataFrame:
     """docs with one more column, ``name``: the items that each document leaks, with their coverage and tiles."""
     at = docs.columns.index(text_col)
-    found = numbered(docs).withColumn("leaks", F.expr(f"cast(array() as {LEAKS})"))
-    schema = found.schema
-    for index in _blocks(benchmark, item_col, item_text, min_match, block, short_items):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def scan(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in parts:
-                leaks = batch.column(batch.num_columns - 1).to_pylist()
-                for first_row, _, data, offsets in slices(batch.column(at)):
-                    words, first = plain_words(data, offsets)
-                    where, entry = index.shared(gram_hashes(words, min_match))
-                    row = np.searchsorted(first, where, "right") - 1
-                    inside = where + min_match <= first[row + 1]  # not over the border of two documents
-                    where, entry, row = where[inside], entry[inside], row[inside]
-                    for r in np.unique(row).tolist():
-                        mine = row == r
-                        leaks[first_row + r] += leaks_of(words[first[r]:first[r + 1]], where[mine] - first[r], entry[mine], index, coverage)
-                    for r, leak in short_leaks(words, first, index):
-                        leaks[first_row + r].append(leak)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(leaks, LEAKS_ARROW)], batch.schema.names)
-
-        found = found.mapInArrow(scan, schema)
-    return found.toDF(*docs.columns, name)
+    none = F.expr(f"cast(array() as {LEAKS})")
+    parts = _blocks(benchmark, item_col, item_text, block)
+
+    def index(part: DataFrame) -> Index:
+        return Index(sorted(((r.item_id, r.text) for r in part.collect()), key=str), min_match, short_items)
+
+    rows = numbered(docs)
+    if len(parts) <= 1:
+        found = rows.withColumn("leaks", none)
+        return (_scan(found, at, index(parts[0]), coverage) if parts else found).toDF(*docs.columns, name)
+    # One block at a time: what it finds is written, by digest of the text, before the next one is read.
+    digest = F.sha2(F.col(f"c{at}"), 256)
+    texts = rows.select(F.col(f"c{at}").alias("text")).withColumn("leaks", none)
+    leaked = [stage(_scan(texts, 0, index(part), coverage).filter(F.size("leaks") > 0)
+                    .select(F.sha2("text", 256).alias("digest"), "leaks").dropDuplicates(["digest"]).withColumn("block", F.lit(i)), "leaks")
+              for i, part in enumerate(parts)]
+    by_text = stage(reduce(DataFrame.union, leaked).groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("block", "leaks"))).alias("found"))
+                    .select("digest", F.flatten(F.col("found.leaks")).alias("leaks")), "leaks")
+    return (rows.withColumn("digest", digest).join(by_text, "digest", "left").select(*rows.columns, F.coalesce("leaks", none).alias("leaks"))
+            .toDF(*docs.columns, name))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:

@@ -48,6 +48,11 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
     return have
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers, at least, of an odd number and of its inverse modulo 2 ** 64."""
+    return _power("up", _BASE, n), _power("down", _INVERSE, n)
+
+
 def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets of the rows in these bytes); nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -131,3 +131,38 @@ def test_short_items_are_found_as_one_whole_run(spark, documents, block):
     found = d.find_leaks(documents(rows), benchmark, name="found", item_col="id", block=block, short_items=True).collect()
     assert {r.doc_id: sorted(x.item_id for x in r.found) for r in found} == {1: [1, 4], 2: [], 3: [], 4: [2], 5: [3], 6: [1, 4], 7: [7], 8: []}
     assert [(t.item_word, t.doc_word, t.words) for r in found if r.doc_id == 1 for x in r.found for t in x.tiles] == [(0, 1, 2)] * 2
+
+
+def test_tiles_of_repetitive_texts_need_memory_of_their_size_only():
+    import tracemalloc
+
+    doc, item = np.full(250_000, 5, np.uint64), np.full(300, 5, np.uint64)
+    d.tile(doc[:1000], item)  # powers are kept between calls
+    tracemalloc.start()
+    try:
+        assert d.tile(doc, item) == [(0, 0, 300)]
+        period = np.tile(np.arange(1, 8, dtype=np.uint64), 3000)
+        assert sum(n for *_, n in d.tile(period, np.concatenate([period[3:2000], [99], period[:500]]).astype(np.uint64))) == 2497
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("block", [d.BLOCK, 16_000])
+def test_equal_words_by_the_hundred_thousand(spark, documents, block):
+    benchmark = spark.createDataFrame([(i, "word " * (300 + i), 0) for i in range(20)], ITEM)
+    docs = documents([(1, "word " * 250_000), (2, "word " * 200), (3, "word " * 100), (4, None)])
+    found = d.find_leaks(docs, benchmark, name="found", item_col="id", block=block).collect()
+    assert {r.doc_id: sorted(x.item_id for x in r.found) for r in found} == {1: list(range(20)), 2: list(range(20)), 3: [], 4: []}
+
+
+def test_blocks_find_the_same_for_repeated_rows_and_texts(spark, documents):
+    items = [" ".join(p) for p in passages(6)]
+    benchmark = spark.createDataFrame([(i % 4, t, 0) for i, t in enumerate(items * 3)], ITEM)
+    docs = documents([(i % 3 or None, t, "en") for i, t in enumerate([*items * 2, " ".join(items), "", None])])
+
+    def found(block):
+        rows = d.find_leaks(docs, benchmark, name="found", item_col="id", block=block).collect()
+        return sorted((r.text or "", str(r.doc_id), sorted((x.item_id, x.coverage, [tuple(t) for t in x.tiles]) for x in r.found)) for r in rows)
+
+    assert found(400) == found(d.BLOCK) and len(found(d.BLOCK)) == 15
