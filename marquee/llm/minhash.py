@@ -127,7 +127,8 @@ def prefix_pairs(labelled: DataFrame, texts: DataFrame, percent: int = PERCENT,
                     [pa.array(np.full(n, batch.column(j)[i].as_py(), np.int64)) for j in (0, 1)] + [pa.array(np.full(n, n, np.int64)), pa.array(shingles)],
                     ["cid", "component", "n", "shingle"])
 
-    rows = labelled.join(texts, "cid").select("cid", "component", "text").mapInArrow(explode, "cid long, component long, n long, shingle long")
+    # Written, because it is counted and joined: otherwise the texts would be shingled twice.
+    rows = stage(labelled.join(texts, "cid").select("cid", "component", "text").mapInArrow(explode, "cid long, component long, n long, shingle long"), "shingles")
     counted = rows.join(rows.groupBy("shingle").agg(F.count("*").alias("df")), "shingle").filter("df > 1")
     # Shingles of one set alone meet nothing, yet take places in the prefix: df = 1 comes first in the order.
     singles = counted.groupBy("cid").agg(F.count("*").alias("shared"))
