@@ -165,10 +165,17 @@ def issue_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Da
 
 # ---- pages made from orders: two film blocks in chain A's markup
 
+#: Pages that one task reads, at most: some tens of seconds.
+PAGES_PER_TASK = 20_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Narrow rows of fewer splits than there are cores, dealt out before wide pages are made of them; others stay where they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """Narrow rows dealt out before wide pages are made of them: over all cores, and to tasks of a bounded number of pages however many there are.
+
+    Rows that lie in enough splits stay where they are. They are counted from the files' footers.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // PAGES_PER_TASK))
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
 
 
 def order_pages(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.catalog.bindings import (
-    AS_OF, CLEAN_PAGES_SQL, ORDER_DATE_SQL, ORDER_SHOWS_SQL, SHOW_DATE, WS_SQL, order_pages, table, text_sql)
+    AS_OF, CLEAN_PAGES_SQL, ORDER_DATE_SQL, ORDER_SHOWS_SQL, SHOW_DATE, WS_SQL, order_pages, spread, table, text_sql)
 from marquee.catalog.registry import query
 from marquee.functions import fixed_values as fv
 from marquee.functions.dates import parse_month_day
@@ -210,7 +210,8 @@ def part_pages(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("</a><a href='/about'>about</a>"))
     html = F.when(kind == "PROMO", links).when(kind == "LARGE", F.lit("<p>closed</p>")).otherwise(
         F.concat(block, F.replace(extra, F.lit("%"), F.col("p_name"))))
-    return table(spark, sf, "part").select(
+    parts = spread(table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
+    return parts.select(
         F.col("p_partkey").alias("page_id"), F.lit("https://b.example").alias("base_url"), html.alias("html"))
 
 
@@ -320,7 +321,8 @@ def independent_theaters_query(spark: SparkSession, sf: str) -> DataFrame:
             page = F.concat(F.lit(f"<body>{block}{title} "), F.col("c_name"), poster, F.lit(f"{title_end}{time}開映 9:30{time_end}{time}"), second, F.lit(f"{time_end}{end}</body>"))
         site, html = F.when(chosen, F.lit(name)).otherwise(site), F.when(chosen, page).otherwise(html)
     bare = F.concat(F.lit("<div><h2 class=title>上映"), key, F.lit("</h2><h3 class=title>no</h3></div>"))
-    pages = table(spark, sf, "customer").select(
+    customers = spread(table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey"))
+    pages = customers.select(
         F.col("c_custkey").alias("page_id"), F.concat(F.lit("https://"), site, F.lit(".example/now/")).alias("base_url"),
         F.when(F.col("c_nationkey") == 4, bare).otherwise(html).alias("html"))
     return page_movies(extract_independent(pages, AS_OF), ["page_id"])

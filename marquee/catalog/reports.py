@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.catalog.bindings import (
-    AS_OF, FILMS_SQL, ISSUE_SQL, MERGED_SQL, SCORE_EXPRESSION, WEEK, films, issue_tables, order_pages, table)
+    AS_OF, FILMS_SQL, ISSUE_SQL, MERGED_SQL, SCORE_EXPRESSION, WEEK, films, issue_tables, order_pages, spread, table)
 from marquee.catalog.registry import query
 from marquee.catalog.scans import scored_films
 from marquee.functions import fixed_values as fv
@@ -253,7 +253,8 @@ def weekly_job_query(spark: SparkSession, sf: str) -> DataFrame:
     links = F.concat(F.lit("<a href='/net/movie/"), key, F.lit("'>"), title, F.lit("</a><a href='/about'>about</a>"))
     headings = F.concat(F.lit("<section><h2 class=title>上映 "), title, F.lit("</h2></section>"))
     source = F.when(kind.isin(0, 3), fv.CHAIN_A_SOURCE).when(kind == 1, fv.CHAIN_B_SOURCE).otherwise(fv.INDEPENDENT_SOURCE)
-    pages = table(spark, sf, "customer").select(
+    customers = spread(table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey"))
+    pages = customers.select(
         F.col("c_nationkey").alias("issue_number"), source.alias("source"), F.col("c_custkey").alias("sched_ord"), F.col("c_name").alias("theater_name"),
         F.when(kind.isin(2, 4), "https://uplink.example/").otherwise("https://a.example").alias("base_url"),
         F.when(kind == 0, a).when(kind == 1, b).when(kind == 2, own).when(kind == 3, links).otherwise(headings).alias("html"))
