@@ -17,6 +17,7 @@ from marquee.functions import fixed_values as fv
 from marquee.functions.dates import as_date, date_wanted, is_recent, parse_month_day
 from marquee.functions.html import TEXT, absolute_link, let, read_page, select_all, select_fields, select_first
 from marquee.functions.text import clean_text, is_placeholder, parse_time_lenient, parse_time_strict
+from marquee.operators.stages import stage
 
 #: What a page rule holds. ``row`` is NULL where times stand alone; ``new`` is 'recent', 'always' or 'never'.
 RULE = ("source string, keyword string, ord int, block string, title string, row string, time string, strict boolean, join_links boolean, "
@@ -170,11 +171,13 @@ def selector_profile(pages: DataFrame, keywords: DataFrame | tuple = tuple(fv.SE
 def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds ``_rule``, the first rule of the page's source whose keyword its base_url contains; pages without one go.
 
-    Rules are matched on the distinct addresses, which are read without the HTML.
+    Rules are matched on the distinct addresses, which are read without the HTML. The matches are written and read back, so that Spark
+    knows their size before it plans the join: it broadcasts a small table and leaves the pages, however few addresses they share, in their splits.
     """
     keyed = pages.withColumn("_address", F.coalesce("base_url", F.lit("")))
     found = first_keyword(keyed.select("source", "_address").distinct(), rules, ["source"], "_address")
-    return keyed.join(found.select("source", "_address", F.col("rule").alias("_rule")), ["source", "_address"]).drop("_address")
+    known = stage(found.select("source", "_address", F.col("rule").alias("_rule")), "page_rules")
+    return keyed.join(known, ["source", "_address"]).drop("_address")
 
 
 def filter_dates(showings: DataFrame, dates) -> DataFrame:

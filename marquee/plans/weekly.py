@@ -5,9 +5,7 @@ Film and showing tables carry ``issue_number``: one issue is one capture of all
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions.dates import week_start
@@ -16,6 +14,7 @@ from marquee.operators.extract import all_rules, extract_pages, match_rules, pag
 from marquee.operators.merge import film_stats, merge_titles, with_stats
 from marquee.operators.rank import with_score
 from marquee.operators.report import ReportOptions, issue_document, issue_parts
+from marquee.operators.stages import shared_dir, stage, stage_folder  # noqa: F401
 
 SCOPE = ["issue_number"]
 # Film columns no page carries; '' and 0 mean missing.
@@ -24,27 +23,6 @@ UNRATED = {
     "duration": "0", "score": "0D", "votes": "0L", "reviews": "cast(array() as array<string>)"}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where that is unset, a folder below the warehouse, which is shared as well."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
-
-
-def stage_folder(spark: SparkSession) -> str:
-    """A new folder for the tables of one run. The job leaves them there; who called it removes the folder when its results are stored."""
-    return f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
-    """Write a table that several later steps read, and read it back; without a folder, in a new one of its own.
-
-    The HTML is then parsed once, later plans begin at the written table, and a lost executor costs no more than the tasks that read it.
-    """
-    path = f"{(folder or stage_folder(df.sparkSession)).rstrip('/')}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def extract_all(pages: DataFrame, as_of, profiles: dict | None = None, generic: dict | None = None, rules: DataFrame | None = None) -> DataFrame:
     """Film rows of all pages (source, sched_ord, theater_name, base_url, html); sched_ord carries the chains' order.
 
