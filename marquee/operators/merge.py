@@ -6,11 +6,14 @@ all rows reaches its task as one row per map task.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions import fixed_values as fv
 from marquee.functions.text import normalize_title
+from marquee.operators.stages import stage
 
 FIRST_SEEN = ("sched_ord", "pos")
 
@@ -28,9 +31,9 @@ def first_value(column: str, missing: str = "", order: tuple[str, ...] = FIRST_S
 def merge_titles(films: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """One film per title key: the first-seen record's fields, the first poster there is."""
     scope = scope or []
-    keyed = with_title_key(films)
-    fields = [c for c in films.columns if c not in (*scope, "poster_url", "title_key")]
     has_poster = "poster_url" in films.columns
+    keyed = _first_records(with_title_key(films), [*scope, "title_key"], has_poster)
+    fields = [c for c in films.columns if c not in (*scope, "poster_url", "title_key")]
     aggregates = [F.min_by(F.struct(*fields), F.struct(*FIRST_SEEN)).alias("f")]
     if has_poster:
         aggregates.append(first_value("poster_url").alias("poster_url"))
@@ -40,6 +43,26 @@ def merge_titles(films: DataFrame, scope: list[str] | None = None) -> DataFrame:
                     *(["poster_url"] if has_poster else [])))
 
 
+def _first_records(films: DataFrame, keys: list[str], has_poster: bool) -> DataFrame:
+    """A group's records at its first place, and at its first place with a poster: no others can be the first seen.
+
+    Whole records can be grouped by sorting only. Places are numbers, which a hash table holds; the first ones are written and
+    read back, so that Spark knows their size before it plans the join. Broadcast, they leave about a record per group and task
+    to sort, wherever a title's records lie. ``films`` is read twice.
+    """
+    order = F.col("sched_ord").cast("decimal(19,0)") * F.lit(Decimal(10 ** 19)) + F.col("pos").cast("decimal(19,0)")
+    first = [F.min(order).alias("_first")]
+    if has_poster:
+        first.append(F.min(F.when(F.col("poster_url") != "", order)).alias("_first_poster"))
+    known = stage(films.groupBy(*keys).agg(*first), "first_places")
+    named = known.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in known.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    wanted = order.isNull() | (order == F.col("_first"))  # NULL comes before all others
+    if has_poster:
+        wanted = wanted | (order == F.col("_first_poster"))
+    return films.join(named, same).filter(wanted).select(*films.columns)
+
+
 def screening_counts(screenings: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Showings per title key; nothing is deduplicated.
 

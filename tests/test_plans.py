@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 import marquee
 from marquee.operators.enrich import best_match
 from marquee.operators.merge import film_stats
+from marquee.operators.extract import extract_independent
+from marquee.operators.merge import merge_titles
 from marquee.operators.rank import rank_all, top_n, top_n_per_group
 from marquee.operators.weeks import in_week
 from marquee.plans.weekly import scored_films
@@ -53,3 +55,33 @@ def test_theatre_statistics_shuffle_partial_counts(spark):
     _, shows, _ = demo.tables(spark)
     text = plan(film_stats(shows, ["issue_number"], F.lit("2026-04-13").cast("date")))
     assert text.count("partial_sum") >= 2
+
+
+def test_pages_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch, tmp_path):
+    from marquee.catalog import bindings, extraction
+    monkeypatch.setattr(bindings, "PAGES_PER_TASK", 10)
+    narrow = spark.range(200).coalesce(1)
+    assert bindings.spread(narrow).rdd.getNumPartitions() == 20
+    assert sorted(r.id for r in bindings.spread(narrow).collect()) == list(range(200))
+    assert bindings.spread(narrow.repartition(30)).rdd.getNumPartitions() == 30
+    spark.range(200).coalesce(1).selectExpr(
+        "id as p_partkey", "'n' as p_name", "'b' as p_brand", "'SMALL' as p_type", "1 as p_size", "1.0D as p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    assert extraction.part_pages(spark, str(tmp_path)).rdd.getNumPartitions() == 20
+
+
+def test_rules_leave_pages_of_one_address_in_their_splits(spark):
+    pages = spark.range(300).repartition(6).selectExpr(
+        "id as page_id", "'https://uplink.example/' as base_url", "concat('<article class=movie><h2>Film ', id, '</h2></article>') as html")
+    found = extract_independent(pages, "2026-04-13")
+    assert found.rdd.getNumPartitions() == 6
+    assert found.count() == 300
+
+
+def test_records_are_thinned_before_they_are_sorted(spark):
+    films = spark.range(2000).selectExpr("cast(id % 50 as int) as sched_ord", "cast(id as int) as pos", "concat('t', id % 4) as title_jp",
+                                         "case when id < 1000 then '' else concat('/', id) end as poster_url")
+    films = films.unionByName(spark.sql("select cast(null as int) as sched_ord, 7 as pos, 't3' as title_jp, '' as poster_url"))
+    rows = sorted((r.title_jp, r.first_seen.sched_ord, r.first_seen.pos, r.poster_url) for r in merge_titles(films).collect())
+    assert rows == [("t0", 0, 0, "/1000"), ("t1", 1, 1, "/1001"), ("t2", 0, 50, "/1050"), ("t3", None, 7, "/1051")]
+    text = plan(merge_titles(films))
+    assert text.index("Join") > text.index("SortAggregate") and "_first_poster" in text
