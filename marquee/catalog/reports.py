@@ -206,10 +206,10 @@ def pages_to_films(spark: SparkSession, sf: str) -> DataFrame:
     page_films = stage(extract_chain_a(pages.drop("page_id"), AS_OF), "page_films", stage_folder(spark))
     raw, shown = raw_tables(page_films)
     merged = merge_titles(raw.drop("screening_count"), ["issue_number"])
-    scored = with_score(with_stats(merged, film_stats(shown, ["issue_number"]), ["issue_number"]))
+    scored = with_score(with_stats(merged, film_stats(shown, ["issue_number"], theater_count=True), ["issue_number"]))
     return scored.select(
         "title_key", "title_jp", F.col("first_seen.sched_ord").alias("first_page"), "poster_url", "screening_count",
-        F.size("theater_names").cast("long").alias("theaters"),
+        F.col("theater_count").alias("theaters"),
         F.round(F.col("rec_score") - F.when(F.col("is_new_release"), 10.0).otherwise(0.0), 2).alias("score_without_new"))
 
 

@@ -16,6 +16,8 @@ from marquee.functions.text import normalize_title
 from marquee.operators.stages import stage
 
 FIRST_SEEN = ("sched_ord", "pos")
+STATS = ("screening_count", "dated", "this_week", "next_week")
+THEATER_COUNT = "theater_count"  # in the statistics where it is asked for
 
 
 def with_title_key(df: DataFrame) -> DataFrame:
@@ -74,12 +76,14 @@ def screening_counts(screenings: DataFrame, scope: list[str] | None = None) -> D
 
 
 def film_stats(screenings: DataFrame, scope: list[str] | None = None, week_start: Column | None = None,
-               showings: Column | None = None) -> DataFrame:
+               showings: Column | None = None, theater_count: bool = False) -> DataFrame:
     """Per film: showing count, theatre list, known dates, showings this and next week.
 
     Two levels: (written title, theatre) first, which spreads a hot film over many tasks and
     leaves few titles to normalise, then film. What is collected last are distinct theatre names.
-    ``showings`` is the number of showings a row stands for, 1 if not given.
+    ``showings`` is the number of showings a row stands for, 1 if not given. ``theater_count`` adds the number of distinct
+    theatres, counted per (title, theatre) on all tasks: a reader that needs no names takes it instead of the list's size, and
+    Spark then leaves out the list, which for a hot film holds all its theatres in one task.
     """
     scope = scope or []
     n = F.lit(1).cast("long") if showings is None else showings
@@ -92,23 +96,22 @@ def film_stats(screenings: DataFrame, scope: list[str] | None = None, week_start
     per_theater = rows.groupBy(*scope, "title_jp", "theater_name").agg(
         F.sum("n").alias("n"), counted(F.col("show_date").isNotNull()).alias("dated"),
         counted(F.col("day").between(0, 6)).alias("this_week"), counted(F.col("day").between(7, 13)).alias("next_week"))
+    counts = [F.count_distinct("theater_name").alias(THEATER_COUNT)] if theater_count else []
     return (with_title_key(per_theater).groupBy(*scope, "title_key").agg(
         F.sum("n").alias("screening_count"), F.sum("dated").alias("dated"),
-        F.sum("this_week").alias("this_week"), F.sum("next_week").alias("next_week"),
+        F.sum("this_week").alias("this_week"), F.sum("next_week").alias("next_week"), *counts,
         F.array_sort(F.collect_set("theater_name")).alias("theater_names"))
         .withColumn("theaters", F.array_join("theater_names", fv.THEATER_SEPARATOR)))
 
 
-STATS = ("screening_count", "dated", "this_week", "next_week")
-
-
 def with_stats(films: DataFrame, stats: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Merged films with their statistics; films without showings get zeros and no theatres."""
-    own = [c for c in films.columns if c in (*STATS, "theater_names", "theaters")]
+    counts = [*STATS, *[c for c in stats.columns if c == THEATER_COUNT]]
+    own = [c for c in films.columns if c in (*counts, "theater_names", "theaters")]
     joined = films.drop(*own).join(stats, [*(scope or []), "title_key"], "left")
     none = F.expr("cast(array() as array<string>)")
     return joined.withColumns({
-        **{c: F.coalesce(c, F.lit(0)) for c in STATS},
+        **{c: F.coalesce(c, F.lit(0)) for c in counts},
         "theater_names": F.coalesce("theater_names", none), "theaters": F.coalesce("theaters", F.lit(""))})
 
 

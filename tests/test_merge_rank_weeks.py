@@ -76,6 +76,18 @@ def test_film_without_showings(spark):
     assert (got["b"].screening_count, got["b"].theaters, got["b"].theater_names, got["b"].dated) == (0, "", [], 0)
 
 
+def test_theatre_count_is_the_size_of_the_list(spark):
+    shows = spark.createDataFrame([("A（1）", "x", MONDAY), ("A(2)", "x", MONDAY), ("a", "あ", None), ("A", None, MONDAY), ("B", None, None), ("B", None, MONDAY),
+                                   ("D", "", None), ("D", "z", None), ("D", "z", None)], SHOW)
+    films = M.merge_titles(spark.createDataFrame([(0, i, t, "", True) for i, t in enumerate("ABCD")], RAW))
+    for parts in (1, 5):
+        got = M.with_stats(films, M.film_stats(shows.repartition(parts), theater_count=True))
+        assert {r.title_key: (r.screening_count, r.dated, r.theater_count, r.theater_names) for r in got.collect()} == {
+            "a": (4, 3, 2, ["x", "あ"]), "b": (2, 1, 0, []), "c": (0, 0, 0, []), "d": (3, 0, 2, ["", "z"])}
+        assert {r.title_key: r.theater_count for r in got.select("title_key", "theater_count").collect()} == {"a": 2, "b": 0, "c": 0, "d": 2}
+    assert "theater_count" not in M.with_stats(films, M.film_stats(shows)).columns
+
+
 @pytest.mark.parametrize("block", [3, 4096])
 def test_rank_all_against_a_plain_sort(spark, block):
     """A third of the films share one score; the blocks are small, so their offsets matter."""

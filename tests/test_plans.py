@@ -85,3 +85,13 @@ def test_records_are_thinned_before_they_are_sorted(spark):
     assert rows == [("t0", 0, 0, "/1000"), ("t1", 1, 1, "/1001"), ("t2", 0, 50, "/1050"), ("t3", None, 7, "/1051")]
     text = plan(merge_titles(films))
     assert text.index("Join") > text.index("SortAggregate") and "_first_poster" in text
+
+
+def test_theatres_are_counted_without_listing_them_in_one_task(spark, tmp_path):
+    from marquee.catalog.reports import pages_to_films
+    spark.sql("select id as o_orderkey, id as o_custkey, 'F' as o_orderstatus, timestamp_ntz'1998-06-03 00:00:00' as o_orderdate, 'HOT' as o_orderpriority "
+              "from range(40) union all select id, 7, 'F', timestamp_ntz'1998-06-04 00:00:00', 'HOT' from range(10)").write.parquet(f"{tmp_path}/orders.parquet")
+    films = pages_to_films(spark, str(tmp_path))
+    rows = sorted((r.title_key, r.first_page, r.poster_url, r.screening_count, r.theaters) for r in films.collect())
+    assert rows == [("f", 0, "https://cdn.example/0.png", 50, 40), ("hot&片", 0, "https://a.example/img/0.jpg", 100, 40)]
+    assert "collect_" not in films._jdf.queryExecution().optimizedPlan().toString()
